@@ -121,7 +121,8 @@ def payout_totals(t: OpsTables) -> DataFrame:
 
 def payout_statements(t: OpsTables, lines_per_part: int = 1000) -> DataFrame:
     """A plain-text statement per operator, in parts when it is long; every part names the total."""
-    amount = F.coalesce(F.format_string("$%.2f", F.col("amount").cast("double")), F.lit("amount open"))
+    dollars = F.format_string("$%.2f", F.col("amount").cast("double"))
+    amount = F.when(F.col("amount").isNull(), "amount open").otherwise(dollars)
     line = F.concat_ws(
         "  ", F.lit(""), F.col("work_date").cast("string"), F.col("storm_ref"), F.col("site_label"),
         F.coalesce(F.col("condition"), F.lit("-")), amount,

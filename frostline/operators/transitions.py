@@ -30,7 +30,8 @@ from frostline.sources.tables import OpsTables, storm_month
 
 def latest(commands: DataFrame, key: str) -> DataFrame:
     """One command per key. Columns are reduced one by one (largest value), which combines before the shuffle."""
-    return commands.groupBy(key).agg(*[F.max(c).alias(c) for c in commands.columns if c != key])
+    orders = [F.max(c).alias(c) for c in commands.columns if c != key]
+    return commands.groupBy(key).agg(*orders) if orders else commands.distinct()
 
 
 def apply_commands(
