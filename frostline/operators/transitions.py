@@ -132,7 +132,7 @@ def record_events(t: OpsTables, responses: DataFrame, audit_now: datetime) -> Da
 
 def record_shifts(t: OpsTables, responses: DataFrame, audit_now: datetime) -> DataFrame:
     """The clears table with new shift ids; answers to a swapped shift carry the suffixed key."""
-    plain = F.regexp_replace("idempotency_key", f"{SWAP_SUFFIX}$", "")
+    plain = F.regexp_replace("idempotency_key", f"^({SHIFT_KEY}-?[0-9]+){SWAP_SUFFIX}$", "$1")
     answers = _answers(responses.withColumn("idempotency_key", plain))
     joined = t.clears.withColumn("_key", keyed(SHIFT_KEY, F.col("clear_id"))).join(answers, "_key", "left")
     hit = F.col("ext_shift_id").isNull() & F.col("_ext_id").isNotNull()

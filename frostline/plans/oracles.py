@@ -824,7 +824,7 @@ GROUP BY window_start""",
     "stream_operator_sessions": f"""
 SELECT worker_id, {iso('min(moment)')} AS session_start, {iso('max(moment) + INTERVAL 2 HOUR')} AS session_end, count(*) AS punches
 FROM (SELECT *, sum(CASE WHEN moment <= before + INTERVAL 2 HOUR THEN 0 ELSE 1 END) OVER (
-        PARTITION BY worker_id ORDER BY moment ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+        PARTITION BY worker_id ORDER BY moment RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
       FROM (SELECT worker_id, {ts('punched_at')} AS moment,
               lag({ts('punched_at')}) OVER (PARTITION BY worker_id ORDER BY {ts('punched_at')}) AS before FROM punches))
 GROUP BY worker_id, run
