@@ -49,30 +49,37 @@ def proof_validation(proofs: DataFrame) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    """Lower-case words and numbers of a text."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    """Lower-case words and numbers of a text; an empty text is one empty word."""
+    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
 def name_mentions(texts: DataFrame, ident: str, text: str, names: DataFrame, name: str) -> DataFrame:
-    """(ident, name) for every name a text mentions as whole words.
+    """(ident, name) for every name a text mentions as whole words. ``ident`` must be unique.
 
-    Texts are cut into distinct word sequences of the lengths that names have, and met with the names by an equi
-    join; the whole text is read and no text meets every name. Longest name length is taken from the data.
+    The whole text is read, and no text meets every name: texts are first met by their distinct words with the
+    first words of names; only texts that share one are cut into word sequences, starting at those words and as
+    long as the longest name, and these are met with the names by an equi join.
     """
     known = names.select(F.array_join(words(F.col(name)), " ").alias("_said"), F.col(name).alias("name")).where(
         F.col("_said") != ""
     ).groupBy("_said").agg(F.min("name").alias("name"))
     longest = known.agg(F.coalesce(F.max(F.size(F.split("_said", " "))), F.lit(1))).scalar()
-    spans = texts.select(F.col(ident), words(F.col(text)).alias("_w")).where(F.size("_w") > 0).withColumn(
-        "_n", F.explode(F.sequence(F.lit(1), F.least(F.size("_w"), longest)))
+    first = known.select(F.element_at(F.split("_said", " "), 1).alias("_word")).distinct()
+    hits = (
+        texts.select(ident, F.explode(F.array_distinct(words(F.col(text)))).alias("_word"))
+        .join(first, "_word", "left_semi").groupBy(ident).agg(F.collect_set("_word").alias("_hits"))
     )
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size("_w") - F.col("_n") + 1),
-        lambda i: F.array_join(F.slice(F.col("_w"), i, F.col("_n")), " "),
+    cut = texts.join(hits, ident).select(ident, "_hits", words(F.col(text)).alias("_w"))
+    starts = F.filter(
+        F.sequence(F.lit(1), F.size("_w")), lambda i: F.array_contains("_hits", F.element_at(F.col("_w"), i))
     )
-    said = spans.select(ident, F.explode(F.array_distinct(grams)).alias("_said"))
-    return said.join(known, "_said").select(ident, "name")
+    spans = cut.select(ident, "_w", F.explode(starts).alias("_at")).select(
+        ident, F.slice(F.col("_w"), F.col("_at"), longest.cast("int")).alias("_span")
+    )
+    said = spans.select(ident, "_span", F.explode(F.sequence(F.lit(1), F.size("_span"))).alias("_n")).select(
+        ident, F.array_join(F.slice(F.col("_span"), F.lit(1), F.col("_n")), " ").alias("_said")
+    )
+    return said.join(known, "_said").select(ident, "name").distinct()
 
 
 def notes_leak_scan(texts: DataFrame, ident: str, text: str, names: DataFrame, name: str) -> DataFrame:

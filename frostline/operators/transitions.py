@@ -347,8 +347,13 @@ def upsert_settings(settings: DataFrame, seeds: DataFrame, updates: DataFrame) -
 
 
 def look_up_addresses(t: OpsTables, entries: DataFrame) -> DataFrame:
-    """Find the site of each typed ``(entry_id, address, city, state, zip)``; a miss has a NULL site."""
-    known = t.sites.select("normalized_address", "site_id", "ext_location_id")
+    """Find the site of each typed ``(entry_id, address, city, state, zip)``; a miss has a NULL site.
+
+    Should the book hold an address twice, the lowest site answers, so the result keeps one row per entry.
+    """
+    known = t.sites.groupBy("normalized_address").agg(
+        F.min("site_id").alias("site_id"), F.min_by("ext_location_id", "site_id").alias("ext_location_id")
+    )
     typed = entries.withColumn(
         "normalized_address", normalized_address(*[F.col(c) for c in ("address", "city", "state", "zip")])
     )
