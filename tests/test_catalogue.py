@@ -51,6 +51,7 @@ def test_every_finished_dollar_is_billed_once(t):
 
 def test_uncleared_and_done_make_up_the_board(t):
     pairs = boards.storm_site_pairs(boards.open_storms(t).select("storm_id"), boards.active_sites(t).select("site_id"))
+    pairs = pairs.select("storm_id", "site_id")
     left = boards.uncleared_rows(t).select("storm_id", "site_id")
     done = t.clears.where("status in ('completed', 'skipped')").select("storm_id", "site_id")
     assert pairs.exceptAll(left).exceptAll(done.join(pairs, ["storm_id", "site_id"], "left_semi")).isEmpty()
