@@ -17,6 +17,17 @@ from frostline.functions.money import deduction, or_zero, payout_amount
 from frostline.functions.settings import number_prefix, setting, setting_or
 from frostline.schemas import CLEARS, MILEAGE, MONEY, RATE, conform
 
+# What a column gets when a new row leaves it out.
+COLUMN_DEFAULTS: dict[str, dict[str, str | int]] = {
+    "contracts": {"contract_type": "commercial", "payment_terms_days": 30, "is_active": 1},
+    "sites": {"surface": "driveway", "is_active": 1},
+    "operators": {"is_owner": 0, "is_active": 1},
+    "storms": {"storm_type": "snow", "status": "active"},
+    "clears": {"is_adhoc": 0, "status": "planned", "photo_count": 0, "invoiced": 0, "paid_out": 0},
+    "invoices": {"paid": 0},
+    "payouts": {"paid": 0},
+}
+
 # Columns of a storm or clear whose change moves ``updated_at``.
 STORM_STAMPED = ("storm_ref", "storm_name", "storm_date", "storm_type", "sla_deadline", "status", "notes")
 CLEAR_STAMPED = tuple(
@@ -34,6 +45,26 @@ def touch(df: DataFrame, changed: Column, audit_now: datetime) -> DataFrame:
     return df.withColumn("updated_at", F.when(changed, stamp(audit_now)).otherwise(F.col("updated_at")))
 
 
+def stamp_changes(before: DataFrame, after: DataFrame, key: str, audit_now: datetime, columns: tuple[str, ...]) -> DataFrame:
+    """Move ``updated_at`` of the rows of ``after`` in which any of ``columns`` differs from ``before``.
+
+    For edits made elsewhere; NULLs compare equal and new rows are left alone.
+    """
+    known = before.select(key, F.struct(*columns).alias("_was"))
+    joined = after.join(known, key, "left")
+    changed = F.col("_was").isNotNull() & ~F.struct(*columns).eqNullSafe(F.col("_was"))
+    return touch(joined, changed, audit_now).select(*after.columns)
+
+
+def column_defaults(rows: DataFrame, table: str) -> DataFrame:
+    """New rows of ``table`` with left-out columns set to their declared defaults."""
+    have = set(rows.columns)
+    return rows.withColumns({
+        name: F.coalesce(F.col(name), F.lit(value)) if name in have else F.lit(value)
+        for name, value in COLUMN_DEFAULTS[table].items()
+    })
+
+
 def number_storms(storms: DataFrame) -> DataFrame:
     auto = numbered(F.lit("ST"), F.col("storm_date"), F.col("storm_id"))
     return storms.withColumn("storm_ref", F.coalesce("storm_ref", auto))

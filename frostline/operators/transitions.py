@@ -23,7 +23,7 @@ from frostline.functions.labels import (
     normalized_address,
 )
 from frostline.operators.boards import active_sites, open_storms, storm_site_pairs, uncleared_rows
-from frostline.operators.defaults import fill_clear_defaults, fill_mileage, touch
+from frostline.operators.defaults import column_defaults, fill_clear_defaults, fill_mileage, touch
 from frostline.schemas import CLEARS, MILEAGE, SITES, conform
 from frostline.sources.tables import OpsTables, storm_month
 
@@ -36,13 +36,21 @@ def latest(commands: DataFrame, key: str) -> DataFrame:
 
 def apply_commands(
     table: DataFrame, commands: DataFrame, key: str, changes: dict[str, Column], audit_now: datetime,
-    only: Column | None = None,
+    only: Column | None = None, delta: bool = False,
 ) -> DataFrame:
-    """Set ``changes`` on the rows named by ``commands`` (whose columns arrive prefixed ``new_``)."""
+    """Set ``changes`` on the rows named by ``commands`` (whose columns arrive prefixed ``new_``).
+
+    Returns the whole table, or with ``delta`` the changed rows only: then the join is an inner one, and a small
+    batch of commands is all that meets the table, without moving it.
+    """
     orders = latest(commands, key)
     orders = orders.select(key, F.lit(True).alias("_named"), *[F.col(c) for c in orders.columns if c != key])
     hit = F.col("_named").isNotNull() if only is None else F.col("_named").isNotNull() & only
-    joined = touch(table.join(orders, key, "left").withColumn("_hit", F.coalesce(hit, F.lit(False))), F.col("_hit"), audit_now)
+    if delta:
+        joined = table.join(orders, key).where(hit).withColumn("_hit", F.lit(True))
+    else:
+        joined = table.join(orders, key, "left").withColumn("_hit", F.coalesce(hit, F.lit(False)))
+    joined = touch(joined, F.col("_hit"), audit_now)
     changed = {
         name: F.when(F.col("_hit"), value).otherwise(F.col(name)).cast(table.schema[name].dataType)
         for name, value in changes.items()
@@ -65,11 +73,7 @@ def taken_slots(clears: DataFrame) -> DataFrame:
 def new_clears(t: OpsTables, rows: DataFrame) -> DataFrame:
     """Complete freshly inserted clears: planned, unpaid, without external ids, defaults filled."""
     months = t.storms.select("storm_id", storm_month(F.col("storm_date")).alias("storm_month"))
-    blank = rows.withColumns({
-        "status": F.lit("planned"), "photo_count": F.lit(0), "invoiced": F.lit(0), "paid_out": F.lit(0),
-    }).join(months, "storm_id", "left")
-    if "is_adhoc" not in rows.columns:
-        blank = blank.withColumn("is_adhoc", F.lit(0))
+    blank = column_defaults(rows, "clears").join(months, "storm_id", "left")
     return fill_clear_defaults(conform(blank, CLEARS), t.storms, t.sites, t.contracts, t.settings)
 
 
@@ -255,32 +259,32 @@ def append_trips(t: OpsTables, trips: DataFrame) -> DataFrame:
 # -- changes to planned clears --------------------------------------------------------------------------------
 
 
-def reschedule(t: OpsTables, commands: DataFrame, audit_now: datetime) -> DataFrame:
+def reschedule(t: OpsTables, commands: DataFrame, audit_now: datetime, delta: bool = False) -> DataFrame:
     """``commands(clear_id, new_start)``: same day, new time; event and shift stay."""
     return apply_commands(
-        t.clears, commands, "clear_id", {"scheduled_start": F.col("new_start")}, audit_now, only=_is_planned()
+        t.clears, commands, "clear_id", {"scheduled_start": F.col("new_start")}, audit_now, _is_planned(), delta
     )
 
 
-def cancel(t: OpsTables, commands: DataFrame, audit_now: datetime) -> DataFrame:
+def cancel(t: OpsTables, commands: DataFrame, audit_now: datetime, delta: bool = False) -> DataFrame:
     """``commands(clear_id)``: planned windows that are called off."""
     return apply_commands(
-        t.clears, commands, "clear_id", {"status": F.lit("cancelled")}, audit_now, only=_is_planned()
+        t.clears, commands, "clear_id", {"status": F.lit("cancelled")}, audit_now, _is_planned(), delta
     )
 
 
-def skip(t: OpsTables, commands: DataFrame, audit_now: datetime) -> DataFrame:
+def skip(t: OpsTables, commands: DataFrame, audit_now: datetime, delta: bool = False) -> DataFrame:
     """``commands(clear_id, new_other_fee)``: closed without a visit; a fee may be charged."""
     fee = F.coalesce(F.col("new_other_fee"), F.lit(0))
     return apply_commands(
-        t.clears, commands, "clear_id", {"status": F.lit("skipped"), "other_fee": fee}, audit_now, only=_is_planned()
+        t.clears, commands, "clear_id", {"status": F.lit("skipped"), "other_fee": fee}, audit_now, _is_planned(), delta
     )
 
 
-def swap_operator(t: OpsTables, commands: DataFrame, audit_now: datetime) -> DataFrame:
+def swap_operator(t: OpsTables, commands: DataFrame, audit_now: datetime, delta: bool = False) -> DataFrame:
     """``commands(clear_id, new_operator_id)``: another operator takes over, the old shift is given up."""
     changes = {"operator_id": F.col("new_operator_id"), "ext_shift_id": F.lit(None)}
-    return apply_commands(t.clears, commands, "clear_id", changes, audit_now, only=_is_planned())
+    return apply_commands(t.clears, commands, "clear_id", changes, audit_now, _is_planned(), delta)
 
 
 def cancellations(t: OpsTables, commands: DataFrame) -> DataFrame:
@@ -366,13 +370,13 @@ def look_up_addresses(t: OpsTables, entries: DataFrame) -> DataFrame:
 def append_sites(t: OpsTables, entries: DataFrame) -> DataFrame:
     """Judge new site rows: ``verdict`` is accepted, known address, repeated in batch or unknown contract.
 
+    Columns left out get their declared defaults.
+
     Within the batch the lowest ``site_id`` of an address wins. Write the accepted rows, hand back the others.
     """
-    rows = entries.withColumns({
-        "normalized_address": normalized_address(*[F.col(c) for c in ("address", "city", "state", "zip")]),
-        "surface": F.coalesce(F.col("surface"), F.lit("driveway")),
-        "is_active": F.coalesce(F.col("is_active"), F.lit(1)) if "is_active" in entries.columns else F.lit(1),
-    })
+    rows = column_defaults(entries, "sites").withColumn(
+        "normalized_address", normalized_address(*[F.col(c) for c in ("address", "city", "state", "zip")])
+    )
     first = rows.groupBy("normalized_address").agg(F.min("site_id").alias("_first"))
     known = t.sites.select("normalized_address").distinct().withColumn("_known", F.lit(True))
     payers = t.contracts.select("contract_id").distinct().withColumn("_payer", F.lit(True))

@@ -9,20 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DateType, DecimalType, StructType
 
 from frostline.operators import defaults
+from frostline.operators.defaults import COLUMN_DEFAULTS
 from frostline.schemas import PROOFS, PUNCHES, SETTING_SEEDS, TABLES
 from frostline.sources.tables import OpsTables, with_storm_month
 
-DEFAULTS = {
-    "contracts": {"contract_type": "commercial", "payment_terms_days": 30, "is_active": 1},
-    "sites": {"surface": "driveway", "is_active": 1},
-    "operators": {"is_owner": 0, "is_active": 1},
-    "storms": {"storm_type": "snow", "status": "active"},
-    "clears": {"is_adhoc": 0, "status": "planned", "photo_count": 0, "invoiced": 0, "paid_out": 0},
-    "invoices": {"paid": 0},
-    "payouts": {"paid": 0},
-}
-
-
 def rows(spark: SparkSession, schema: StructType, *records: dict) -> DataFrame:
     def value(field, record):
         v = record.get(field.name)
@@ -40,7 +30,7 @@ def rows(spark: SparkSession, schema: StructType, *records: dict) -> DataFrame:
 
 
 def table(spark: SparkSession, name: str, *records: dict) -> DataFrame:
-    return rows(spark, TABLES[name], *[{**DEFAULTS.get(name, {}), **r} for r in records])
+    return rows(spark, TABLES[name], *[{**COLUMN_DEFAULTS.get(name, {}), **r} for r in records])
 
 
 def settings(spark: SparkSession, **changed) -> DataFrame:

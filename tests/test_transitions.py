@@ -8,7 +8,7 @@ from decimal import Decimal
 from frames import proofs, punches, settings, table, tables
 from pyspark.sql import functions as F
 
-from frostline.operators import outbox, quality, transitions
+from frostline.operators import defaults, outbox, quality, transitions
 from frostline.operators.proofs import name_mentions, notes_leak_scan, option_keys, proof_validation
 
 NOW = datetime(2026, 1, 14, 5, 41)
@@ -178,3 +178,28 @@ def test_option_keys(spark):
     labels = spark.createDataFrame([("Pre-treated",), ("Pre treated",), ("Lot",), ("Lot",)], "label string")
     got = {r.label: (r.option_key, r.uses, r.labels_with_key) for r in option_keys(labels, "label").collect()}
     assert got == {"Pre-treated": ("pre_treated", 1, 2), "Pre treated": ("pre_treated", 1, 2), "Lot": ("lot", 2, 1)}
+
+
+def test_delta_holds_the_changed_rows_only(spark):
+    t = book(spark, [{"clear_id": 1}, {"clear_id": 2, "site_id": 2}, {"clear_id": 3, "site_id": 3, "status": "completed"}])
+    order = spark.createDataFrame([(1,), (3,)], "clear_id long")
+    delta = transitions.cancel(t, order, NOW, delta=True)
+    assert ids(delta, "clear_id", "status") == {(1, "cancelled")} and delta.columns == t.clears.columns
+    whole = transitions.cancel(t, order, NOW)
+    assert whole.where(F.col("updated_at").isNotNull()).exceptAll(delta).isEmpty() and whole.count() == 3
+
+
+def test_change_stamps(spark):
+    before = table(spark, "storms", {"storm_id": 1, "storm_date": "2026-01-14", "notes": "a"}, {"storm_id": 2, "storm_date": "2026-01-14"},
+                   {"storm_id": 3, "storm_date": "2026-01-14", "notes": "c"})
+    after = before.withColumn("notes", F.when(F.col("storm_id") == 1, "b").when(F.col("storm_id") == 2, F.col("notes")))
+    stamped = defaults.stamp_changes(before, after, "storm_id", NOW, defaults.STORM_STAMPED)
+    assert {r.storm_id: r.updated_at for r in stamped.collect()} == {1: NOW, 2: None, 3: NOW}
+    unlisted = before.withColumn("created_at", F.lit("2026-01-14").cast("timestamp"))
+    assert defaults.stamp_changes(before, unlisted, "storm_id", NOW, defaults.STORM_STAMPED).where("updated_at is not null").isEmpty()
+
+
+def test_declared_defaults(spark):
+    rows = spark.createDataFrame([(1, None), (2, "hoa")], "contract_id long, contract_type string")
+    assert ids(defaults.column_defaults(rows, "contracts"), "contract_id", "contract_type", "payment_terms_days", "is_active") == {
+        (1, "commercial", 30, 1), (2, "hoa", 30, 1)}
