@@ -8,6 +8,7 @@ import comparing
 import pytest
 
 import __spark_entry__ as entry_points
+from frostline.plans import catalogue, oracles
 from frostline.operators import billing, boards, transitions
 from frostline.plans.commands import AS_OF_A
 from frostline.plans.workspace import tables
@@ -15,8 +16,8 @@ from frostline.plans.workspace import tables
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables not present")
 
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+QUERIES = catalogue.queries()
+SQL = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
