@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frostline.llm import quality_rules
+from frostline.llm import quality_rules, simhash
 from frostline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_quality_rules,)}
+    return {f.__name__: f for f in (op9_simhash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
