@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frostline.llm import quality_rules, simhash
+from frostline.llm import compression_quality, language_id, quality_rules, simhash
 from frostline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
@@ -21,7 +29,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op9_simhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_compression_quality, op4_language_id, op9_simhash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
