@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frostline.llm import compression_quality, language_id, quality_rules, simhash
+from frostline.llm import compression_quality, language_id, quality_rules, sentencepiece_codec, simhash
 from frostline.llm.common import table
 
+#: Where the public tokenizer models lie; the operator takes any path.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,6 +24,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", ids=False)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
@@ -29,7 +37,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_compression_quality, op4_language_id, op9_simhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_compression_quality, op4_language_id, op5_sentencepiece, op9_simhash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
