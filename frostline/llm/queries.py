@@ -7,7 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frostline.llm import compression_quality, language_id, quality_rules, sentencepiece_codec, simhash
+from frostline.llm import (
+    compression_quality,
+    decontamination,
+    language_id,
+    line_dedup,
+    quality_rules,
+    sentencepiece_codec,
+    simhash,
+)
 from frostline.llm.common import table
 
 #: Where the public tokenizer models lie; the operator takes any path.
@@ -16,6 +24,10 @@ TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,6 +40,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", ids=False)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
@@ -37,7 +53,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_compression_quality, op4_language_id, op5_sentencepiece, op9_simhash, op10_quality_rules)}
+    made = (
+        op2_decontamination, op3_compression_quality, op4_language_id, op5_sentencepiece, op7_line_dedup, op9_simhash,
+        op10_quality_rules,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
