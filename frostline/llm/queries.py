@@ -12,6 +12,7 @@ from frostline.llm import (
     decontamination,
     language_id,
     line_dedup,
+    pii,
     quality_rules,
     sentencepiece_codec,
     simhash,
@@ -24,6 +25,10 @@ TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     made = (
-        op2_decontamination, op3_compression_quality, op4_language_id, op5_sentencepiece, op7_line_dedup, op9_simhash,
+        op1_pii, op2_decontamination, op3_compression_quality, op4_language_id, op5_sentencepiece, op7_line_dedup, op9_simhash,
         op10_quality_rules,
     )
     return {f.__name__: f for f in made}
