@@ -16,6 +16,7 @@ from frostline.llm import (
     quality_rules,
     sentencepiece_codec,
     simhash,
+    suffix_dedup,
 )
 from frostline.llm.common import table
 
@@ -45,6 +46,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", ids=False)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     made = (
-        op1_pii, op2_decontamination, op3_compression_quality, op4_language_id, op5_sentencepiece, op7_line_dedup, op9_simhash,
+        op1_pii, op2_decontamination, op3_compression_quality, op4_language_id, op5_sentencepiece, op6_suffix_dedup, op7_line_dedup, op9_simhash,
         op10_quality_rules,
     )
     return {f.__name__: f for f in made}
