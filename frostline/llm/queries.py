@@ -6,11 +6,13 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from frostline.llm import (
     compression_quality,
     decontamination,
     language_id,
+    license_scan,
     line_dedup,
     pii,
     quality_rules,
@@ -54,6 +56,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a tree of files: their source, then a directory for every hundred."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100), F.concat(F.col("doc_id"), F.lit(".txt")))
+    return license_scan.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
@@ -64,8 +73,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     made = (
-        op1_pii, op2_decontamination, op3_compression_quality, op4_language_id, op5_sentencepiece, op6_suffix_dedup, op7_line_dedup, op9_simhash,
-        op10_quality_rules,
+        op1_pii, op2_decontamination, op3_compression_quality, op4_language_id, op5_sentencepiece, op6_suffix_dedup, op7_line_dedup,
+        op8_license_scan, op9_simhash, op10_quality_rules,
     )
     return {f.__name__: f for f in made}
 
