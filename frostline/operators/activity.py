@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from frostline.functions.clock import day, local_ts, month_of, wall_seconds, whole_minutes
 from frostline.operators.billing import STORM_KEY, billable_clears, storm_facts, work_date
-from frostline.operators.boards import flag, uncleared_rows, with_surroundings
+from frostline.operators.boards import active_sites, flag, open_storms, served_sites, with_surroundings
 from frostline.schemas import MILES, SALTED
 from frostline.sources.tables import OpsTables
 
@@ -145,7 +145,10 @@ def storm_cost(t: OpsTables) -> DataFrame:
 
 
 def storm_recap(t: OpsTables) -> DataFrame:
-    """Per storm and contract: what was done, in what condition, what it bills and (open storms) what is left."""
+    """Per storm and contract: what was done, in what condition, what it bills and (open storms) what is left.
+
+    The contracts that have no clear at all on an open storm share one row without a contract: the count of their sites.
+    """
 
     def counted(condition: Column) -> Column:
         return F.sum(flag(condition))
@@ -161,19 +164,28 @@ def storm_recap(t: OpsTables) -> DataFrame:
         F.sum("billable_total").alias("billable"),
         F.sum(F.when(F.col("invoiced") == 0, F.col("billable_total"))).alias("receivable"),
     )
-    left = uncleared_rows(t).groupBy("storm_id", "contract_id").agg(F.count("*").alias("uncleared"))
     names = t.contracts.select("contract_id", "contract_name")
     storms = t.storms.select("storm_id", "storm_ref", "storm_date")
     none = F.lit(0).cast("long")
-    return (
-        work.join(left, ["storm_id", "contract_id"], "left")
-        .withColumn("uncleared", F.coalesce(F.col("uncleared"), none))
-        .join(storms, "storm_id").join(names, "contract_id")
-        .select(
-            "storm_id", "storm_ref", "storm_date", "contract_id", "contract_name", "completed", "salted", "bare",
-            "packed", "icy", "skipped", "uncleared", "billable", "receivable",
-        )
+    # What is left of a contract: its active sites less the served ones, plus what is still planned there. No pairs.
+    sites = active_sites(t).groupBy("contract_id").agg(F.count("*").alias("_sites"))
+    counts = work.join(sites, "contract_id", "left").join(served_sites(t), ["storm_id", "contract_id"], "left")
+    counts = counts.join(open_storms(t).select("storm_id", F.lit(True).alias("_open")), "storm_id", "left")
+    left = F.coalesce("_sites", none) - F.coalesce("served", none) + F.coalesce("planned", none)
+    counts = counts.withColumn("uncleared", F.when(F.col("_open"), left).otherwise(none))
+    # Contracts without a clear on an open storm share a row: all active sites less those of the contracts above.
+    every = active_sites(t).agg(F.count("*")).scalar()
+    seen = counts.where("_open").groupBy("storm_id").agg(F.sum(F.coalesce("_sites", none)).alias("_seen"))
+    rest = open_storms(t).select("storm_id").join(seen, "storm_id", "left").select(
+        "storm_id", (every - F.coalesce("_seen", none)).alias("uncleared")
+    ).where("uncleared > 0")
+    zero = [F.lit(0).cast("long").alias(c) for c in ("completed", "salted", "bare", "packed", "icy", "skipped")]
+    money = [F.lit(None).cast(counts.schema[c].dataType).alias(c) for c in ("billable", "receivable")]
+    rest = rest.join(storms, "storm_id").select(
+        "storm_id", "storm_ref", "storm_date", F.lit(None).cast("long").alias("contract_id"),
+        F.lit(None).cast("string").alias("contract_name"), *zero, "uncleared", *money,
     )
+    return counts.join(storms, "storm_id").join(names, "contract_id").select(*rest.columns).unionByName(rest)
 
 
 def operator_hours(t: OpsTables) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frostline.functions.clock import day, local_date
@@ -12,8 +12,8 @@ from frostline.functions.labels import street_address
 from frostline.functions.money import billable_total, salt_billed
 from frostline.functions.settings import setting
 from frostline.operators.defaults import number_invoices, touch
-from frostline.operators.documents import in_parts
-from frostline.schemas import FINISHED, INVOICES, conform
+from frostline.operators.documents import as_rows
+from frostline.schemas import FINISHED, INVOICES, LINE_ITEM, MONEY, conform
 from frostline.sources.tables import OpsTables, storm_month
 
 STORM_KEY = ["storm_id", "storm_month"]
@@ -129,18 +129,25 @@ def aging_summary(t: OpsTables, as_of: datetime) -> DataFrame:
     return totals.withColumn("bucket_rank", rank[F.col("aging_bucket")]).orderBy("bucket_rank")
 
 
-def invoice_run(t: OpsTables, as_of: datetime, first_id: int = 0) -> DataFrame:
+def next_invoice_id(t: OpsTables) -> Column:
+    """Ids of a run start after the largest one in the table."""
+    return t.invoices.agg(F.coalesce(F.max("invoice_id"), F.lit(0).cast("long"))).scalar()
+
+
+def invoice_run(t: OpsTables, as_of: datetime, first_id: int | None = None) -> DataFrame:
     """One invoice per contract with open items, completed and numbered.
 
-    Ids are ``first_id + contract_id``: reproducible and unique within the run without a global ordering.
-    Line items are a table of their own (:func:`invoice_lines`), so no invoice is gathered into one row here.
+    Ids are the contract's id above the largest id so far (or above ``first_id``): no two runs over the tables they left
+    behind share an id or a number, and no global ordering is needed. Line items are a table of their own
+    (:func:`invoice_lines`), so no invoice is gathered into one row here.
     """
     totals = _open_items(t).groupBy("contract_id").agg(
         F.sum("billable_total").alias("total_amount"), F.count("*").alias("line_count")
     )
     terms = t.contracts.select("contract_id", "payment_terms_days")
+    base = next_invoice_id(t) if first_id is None else F.lit(first_id).cast("long")
     issued = totals.join(terms, "contract_id").select(
-        (F.col("contract_id") + F.lit(first_id).cast("long")).alias("invoice_id"),
+        (F.col("contract_id") + base).alias("invoice_id"),
         "contract_id",
         F.lit(None).cast("string").alias("invoice_number"),
         day(as_of).alias("invoice_date"),
@@ -150,13 +157,13 @@ def invoice_run(t: OpsTables, as_of: datetime, first_id: int = 0) -> DataFrame:
     return number_invoices(issued, t.settings)
 
 
-def invoices_after_run(t: OpsTables, as_of: datetime, first_id: int = 0) -> DataFrame:
+def invoices_after_run(t: OpsTables, as_of: datetime, first_id: int | None = None) -> DataFrame:
     """The invoice table with the run appended."""
     fresh = invoice_run(t, as_of, first_id).withColumn("paid", F.lit(0))
     return t.invoices.unionByName(conform(fresh, INVOICES))
 
 
-def invoice_lines(t: OpsTables, as_of: datetime, first_id: int = 0) -> DataFrame:
+def invoice_lines(t: OpsTables, as_of: datetime, first_id: int | None = None) -> DataFrame:
     """One row per billed clear, with the number of the invoice it is on."""
     numbers = invoice_run(t, as_of, first_id).select("contract_id", "invoice_number", "line_count")
     return _open_items(t).join(numbers, "contract_id").select(
@@ -167,22 +174,21 @@ def invoice_lines(t: OpsTables, as_of: datetime, first_id: int = 0) -> DataFrame
     )
 
 
-def line_item_json():
-    """A line item as the JSON object stored on an invoice; NULL fields stay in."""
-    amounts = [F.col(c).cast("double").alias(c) for c in ("fee", "salt_fee", "other_fee", "billable")]
-    fields = F.struct(
-        "storm_ref", F.col("storm_date").cast("string").alias("storm_date"), "street", "surface", "condition",
-        "salt_applied", "status", *amounts,
-    )
-    return F.to_json(fields, {"ignoreNullFields": "false"})
+def invoice_line_items(t: OpsTables, as_of: datetime, first_id: int | None = None) -> DataFrame:
+    """The line items of every invoice, as an array for each of its storms, ordered by clear.
+
+    Invoice and storm are the unit at every size: a contract has one standing clear per site and storm.
+    """
+    item = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LINE_ITEM.fields])
+    lines = invoice_lines(t, as_of, first_id).select("invoice_number", "storm_ref", F.struct("clear_id", item.alias("item")).alias("x"))
+    return lines.groupBy("invoice_number", "storm_ref").agg(F.count("*").alias("lines"), F.sort_array(F.collect_list("x"))["item"].alias("line_items"))
 
 
-def invoice_line_items(t: OpsTables, as_of: datetime, first_id: int = 0, lines_per_part: int = 1000) -> DataFrame:
-    """The JSON array of every invoice, ordered by clear; an invoice past ``lines_per_part`` comes in parts."""
-    lines = invoice_lines(t, as_of, first_id).withColumn("body", line_item_json())
-    parts = in_parts(lines, ["invoice_number"], "line_count", "clear_id", "body", lines_per_part)
-    array = F.concat(F.lit("["), F.array_join("bodies", ","), F.lit("]"))
-    return parts.select("invoice_number", "part", "parts", "lines", array.alias("line_items"))
+def as_json(items: DataFrame) -> DataFrame:
+    """Line items as JSON text; NULL fields stay in."""
+    kinds = {f.name: "double" if f.dataType == MONEY else "string" for f in LINE_ITEM.fields}
+    plain = F.transform("line_items", lambda x: F.struct(*[x[name].cast(kind).alias(name) for name, kind in kinds.items()]))
+    return items.withColumn("line_items", F.to_json(plain, {"ignoreNullFields": "false"}))
 
 
 def mark_invoiced(t: OpsTables, audit_now: datetime, contract_ids: DataFrame | None = None) -> DataFrame:
@@ -206,10 +212,14 @@ def mark_invoiced(t: OpsTables, audit_now: datetime, contract_ids: DataFrame | N
 
 
 def mark_invoices(invoices: DataFrame, commands: DataFrame) -> DataFrame:
-    """Apply ``commands(invoice_number, paid_date, sent_date)``; a NULL date leaves that side alone."""
-    orders = commands.groupBy("invoice_number").agg(
-        F.max("paid_date").alias("_paid_date"), F.max("sent_date").alias("_sent_date")
-    )
+    """Apply ``commands(invoice_number, paid_date, sent_date)`` in the order of their ``seq``, if they have one; a NULL
+    date leaves that side alone."""
+    seq = F.col("seq") if "seq" in commands.columns else F.lit(0)
+
+    def last(name: str) -> Column:
+        return F.max(F.when(F.col(name).isNotNull(), F.struct(seq.alias("seq"), F.col(name).alias("at"))))["at"].alias(f"_{name}")
+
+    orders = commands.groupBy("invoice_number").agg(last("paid_date"), last("sent_date"))
     return (
         invoices.join(orders, "invoice_number", "left")
         .withColumns({
@@ -221,8 +231,8 @@ def mark_invoices(invoices: DataFrame, commands: DataFrame) -> DataFrame:
     )
 
 
-def invoice_documents(t: OpsTables, as_of: datetime, first_id: int = 0, lines_per_part: int = 1000) -> DataFrame:
-    """Plain-text invoices, one text per part; only the last part carries the total. No local-only field is read."""
+def invoice_documents(t: OpsTables, as_of: datetime, first_id: int | None = None) -> DataFrame:
+    """Plain-text invoices as rows (:func:`as_rows`), lines ordered by clear. No local-only field is read."""
     salt = (
         F.when(F.col("salt_applied") == "yes", "Salted").when(F.col("salt_applied") == "pretreated", "Pretreated")
         .when(F.col("salt_applied") == "no", "No salt").otherwise("-")
@@ -231,15 +241,14 @@ def invoice_documents(t: OpsTables, as_of: datetime, first_id: int = 0, lines_pe
         "  ", F.lit(""), F.col("storm_ref"), F.col("street_label"), F.initcap(F.coalesce("surface", "status")),
         F.initcap(F.coalesce(F.col("condition"), F.lit("-"))), salt, F.format_string("$%.2f", F.col("billable").cast("double")),
     )
-    lines = invoice_lines(t, as_of, first_id).withColumn("body", line)
-    parts = in_parts(lines, ["invoice_number"], "line_count", "clear_id", "body", lines_per_part)
     heads = invoice_run(t, as_of, first_id).join(
         t.contracts.select("contract_id", "contract_name", "billing_email", "payment_terms_days"), "contract_id"
     )
+
     def said(d):
         return F.date_format(d, "MMM d, yyyy")
 
-    header = F.concat_ws(
+    heading = F.concat_ws(
         "\n",
         setting(t.settings, "business_name"),
         F.concat(F.lit("Invoice "), F.col("invoice_number")),
@@ -248,13 +257,6 @@ def invoice_documents(t: OpsTables, as_of: datetime, first_id: int = 0, lines_pe
             F.lit("Date: "), said(F.col("invoice_date")), F.lit("    Due: "), said(F.col("due_date")),
             F.lit(" (net "), F.col("payment_terms_days").cast("string"), F.lit(")"),
         ),
-        F.lit(""),
-    )
-    footer = F.when(
-        F.col("part") == F.col("parts") - 1,
-        F.format_string("\n\nTotal due: $%.2f", F.col("total_amount").cast("double")),
-    ).otherwise("")
-    return parts.join(heads, "invoice_number").select(
-        "invoice_number", "contract_id", "part", "parts", "lines", "total_amount",
-        F.concat(header, F.lit("\n"), F.array_join("bodies", "\n"), footer).alias("document"),
     )
+    total = F.format_string("Total due: $%.2f", F.col("total_amount").cast("double"))
+    return as_rows(heads, invoice_lines(t, as_of, first_id), ["invoice_number", "contract_id"], "clear_id", heading, line, total)

@@ -181,6 +181,19 @@ def storm_site_pairs(storms: DataFrame, sites: DataFrame, blocks: int = 64) -> D
     return dealt.join(repeated, "_block").drop("_block")
 
 
+def served_sites(t: OpsTables) -> DataFrame:
+    """``(storm_id, contract_id, served, planned)`` of open storms: active sites with a clear that stands, and clears
+    that are still planned there. Combined per site first, so one big storm is spread over its sites."""
+    sites = active_sites(t).select("site_id", "contract_id")
+    standing = t.clears.where(F.col("status") != "cancelled").join(
+        storm_facts(open_storms(t)).select(*STORM_KEY), STORM_KEY, "left_semi"
+    )
+    per_site = standing.groupBy("storm_id", "site_id").agg(F.sum(flag(F.col("status") == "planned")).alias("planned"))
+    return per_site.join(sites, "site_id").groupBy("storm_id", "contract_id").agg(
+        F.count("*").alias("served"), F.sum("planned").alias("planned")
+    )
+
+
 UNCLEARED_COLUMNS = (
     *_STORM, "site_id", "address", "city", "state", "zip", "street_name", "street_address", "location_name",
     "event_title", "site_surface", "site_access_notes", "ext_location_id", "needs_location", *_PAYER, "sla_deadline",

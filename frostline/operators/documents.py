@@ -1,25 +1,22 @@
-"""Gathering lines into documents without gathering a whole hot group into one row."""
+"""Documents as rows: a heading, lines in order, a total. One form for a document of any size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+HEADING, LINE, TOTAL = 0, 1, 2
 
-def in_parts(
-    lines: DataFrame, keys: list[str], count: str, order: str, body: str, lines_per_part: int
-) -> DataFrame:
-    """Arrays of ``body`` per document, sorted by ``order``, about ``lines_per_part`` lines each.
 
-    ``count`` holds the number of lines of the row's document. A document that fits is one part; a longer one is
-    spread over ``ceil(count / lines_per_part)`` parts by a hash of ``order``, so every line is kept and no task
-    ever holds more than about one part of a hot document.
+def as_rows(heads: DataFrame, lines: DataFrame, keys: list[str], order: str, heading: Column, body: Column, total: Column) -> DataFrame:
+    """``keys, section, position, line``: sort a document's rows by section and position to read it.
+
+    ``heads`` has one row per document, ``lines`` one per line with its place in ``order``. Nothing is gathered, so a
+    document of any length is written by as many tasks as its lines need.
     """
-    parts = F.greatest(F.ceil(F.col(count) / F.lit(lines_per_part)), F.lit(1)).cast("int")
-    dealt = lines.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(order), F.col("parts")).cast("int"))
-    gathered = dealt.groupBy(*keys, "part", "parts").agg(
-        F.sort_array(F.collect_list(F.struct(F.col(order).alias("_at"), F.col(body).alias("_body")))).alias("_lines")
-    )
-    return gathered.select(
-        *keys, "part", "parts", F.size("_lines").alias("lines"), F.col("_lines")["_body"].alias("bodies")
-    )
+
+    def part(rows: DataFrame, section: int, position: Column, text: Column) -> DataFrame:
+        return rows.select(*keys, F.lit(section).alias("section"), position.cast("long").alias("position"), text.alias("line"))
+
+    none = F.lit(0)
+    return part(heads, HEADING, none, heading).unionByName(part(lines, LINE, F.col(order), body)).unionByName(part(heads, TOTAL, none, total))

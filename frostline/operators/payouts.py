@@ -11,7 +11,7 @@ from frostline.functions.clock import day
 from frostline.operators.billing import STORM_KEY, billable_facts, storm_facts, work_date
 from frostline.operators.boards import flag
 from frostline.operators.defaults import fill_payout_amount, touch
-from frostline.operators.documents import in_parts
+from frostline.operators.documents import as_rows
 from frostline.schemas import PAYOUTS, conform
 from frostline.sources.tables import OpsTables
 
@@ -119,21 +119,14 @@ def payout_totals(t: OpsTables) -> DataFrame:
     )
 
 
-def payout_statements(t: OpsTables, lines_per_part: int = 1000) -> DataFrame:
-    """A plain-text statement per operator, in parts when it is long; every part names the total."""
+def payout_statements(t: OpsTables) -> DataFrame:
+    """A plain-text statement per operator as rows (:func:`as_rows`), lines ordered by payout."""
     dollars = F.format_string("$%.2f", F.col("amount").cast("double"))
     amount = F.when(F.col("amount").isNull(), "amount open").otherwise(dollars)
     line = F.concat_ws(
         "  ", F.lit(""), F.col("work_date").cast("string"), F.col("storm_ref"), F.col("site_label"),
         F.coalesce(F.col("condition"), F.lit("-")), amount,
     )
-    parts = in_parts(
-        due_rows(t).withColumn("body", line), ["operator_id"], "operator_rows", "payout_id", "body", lines_per_part
-    )
     total = F.format_string("Total due: $%.2f", F.coalesce(F.col("total_due"), F.lit(0)).cast("double"))
-    return parts.join(payout_totals(t), "operator_id").select(
-        "operator_id", "operator_name", "part", "parts", "lines", "total_due",
-        F.concat_ws(
-            "\n", F.concat(F.lit("Statement for "), F.col("operator_name")), F.array_join("bodies", "\n"), total
-        ).alias("document"),
-    )
+    heading = F.concat(F.lit("Statement for "), F.col("operator_name"))
+    return as_rows(payout_totals(t), due_rows(t), ["operator_id", "operator_name"], "payout_id", heading, line, total)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline.functions.clock import iso_seconds, local_date
@@ -22,16 +22,20 @@ from frostline.functions.labels import (
     keyed,
     normalized_address,
 )
-from frostline.operators.boards import active_sites, open_storms, storm_site_pairs, uncleared_rows
+from frostline.operators.boards import active_sites, open_storms, served_sites, storm_site_pairs
 from frostline.operators.defaults import column_defaults, fill_clear_defaults, fill_mileage, touch
 from frostline.schemas import CLEARS, MILEAGE, SITES, conform
 from frostline.sources.tables import OpsTables, storm_month
 
 
 def latest(commands: DataFrame, key: str) -> DataFrame:
-    """One command per key. Columns are reduced one by one (largest value), which combines before the shuffle."""
-    orders = [F.max(c).alias(c) for c in commands.columns if c != key]
-    return commands.groupBy(key).agg(*orders) if orders else commands.distinct()
+    """One command per key: the one with the highest ``seq``, whole. Without a ``seq`` a batch has no order; of several
+    commands for a key the largest one counts. Combines before the shuffle."""
+    rest = [c for c in commands.columns if c not in (key, "seq")]
+    if not rest and "seq" not in commands.columns:
+        return commands.distinct()
+    ordered = F.struct(*[c for c in ("seq",) if c in commands.columns], *rest)
+    return commands.groupBy(key).agg(F.max(ordered).alias("_last")).select(key, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
 def apply_commands(
@@ -79,12 +83,13 @@ def new_clears(t: OpsTables, rows: DataFrame) -> DataFrame:
 
 def open_storm(
     t: OpsTables, opening: DataFrame, require_active_contract: bool = False, among: Column | None = None,
-    id_stride: int = 1_000_000_000,
+    id_stride: int = 1_000_000_000, again_stride: int = 10_000_000_000_000_000,
 ) -> DataFrame:
     """The planned clears of the storms being opened: one per active site, except where one already stands.
 
     ``opening`` holds storm rows. ``among`` restricts the sites (a contract, a list). Ids are
-    ``storm_id * id_stride + site_id``: reproducible, unique while site ids stay below the stride.
+    ``storm_id * id_stride + site_id``, plus ``again_stride`` for every clear the storm and site had before:
+    reproducible, and unique when a cancelled storm is opened again.
     """
     if require_active_contract:
         sites = active_sites(t)
@@ -94,13 +99,20 @@ def open_storm(
         sites = sites.where(among)
     pairs = storm_site_pairs(opening.select("storm_id"), sites.select("site_id"))
     free = pairs.join(taken_slots(t.clears), ["storm_id", "site_id"], "left_anti")
-    return new_clears(t, free.withColumn("clear_id", F.col("storm_id") * id_stride + F.col("site_id")))
+    before = t.clears.groupBy("storm_id", "site_id").agg(F.count("*").alias("_before"))
+    again = F.coalesce(F.col("_before"), F.lit(0).cast("long")) * again_stride
+    ident = (F.col("storm_id") * id_stride + F.col("site_id") + again).alias("clear_id")
+    return new_clears(t, free.join(before, ["storm_id", "site_id"], "left").select("storm_id", "site_id", ident))
 
 
 def close_storms(t: OpsTables, audit_now: datetime) -> DataFrame:
-    """The storms table with every open storm closed that has nothing left to clear."""
-    unfinished = uncleared_rows(t).select("storm_id").distinct()
-    done = open_storms(t).select("storm_id").join(unfinished, "storm_id", "left_anti")
+    """The storms table with every open storm closed that has nothing left to clear: as many active sites served as
+    there are, and none of their clears planned."""
+    every = active_sites(t).agg(F.count("*")).scalar()
+    served = served_sites(t).groupBy("storm_id").agg(F.sum("served").alias("served"), F.sum("planned").alias("planned"))
+    none = F.lit(0).cast("long")
+    left = every - F.coalesce("served", none) + F.coalesce("planned", none)
+    done = open_storms(t).select("storm_id").join(served, "storm_id", "left").where(left == 0).select("storm_id")
     return apply_commands(t.storms, done, "storm_id", {"status": F.lit("closed")}, audit_now)
 
 
@@ -207,16 +219,16 @@ def shift_results(punches: DataFrame) -> DataFrame:
 
 
 def unread_proofs(t: OpsTables, proofs: DataFrame) -> DataFrame:
-    """First submission per event that is not stored on any clear yet."""
+    """Submissions that are not stored on any clear yet, numbered within their event by time."""
     known = t.clears.where(F.col("report_id").isNotNull()).select(F.col("report_id").alias("submission_id"))
     photos = F.size(F.filter("media", lambda m: m["field"] == "after"))
-    fresh = proofs.join(known, "submission_id", "left_anti").select(
-        "event_id", "submission_id", "data.*", F.greatest(photos, F.lit(0)).alias("photos")
+    fresh = proofs.join(known, "submission_id", "left_anti").dropDuplicates(["submission_id"]).select(
+        F.col("event_id").alias("ext_event_id"), "submitted_at",
+        F.struct("submission_id", "data.*", F.greatest(photos, F.lit(0)).alias("photos")).alias("p"),
     )
-    kept = fresh.groupBy("event_id").agg(F.min(F.struct(
-        "submission_id", "surface", "condition", "salt_applied", "notes", "photos"
-    )).alias("p"))
-    return kept.select(F.col("event_id").alias("ext_event_id"), "p")
+    # An event is one site on one day, so its window is a handful of rows.
+    by_time = Window.partitionBy("ext_event_id").orderBy("submitted_at", "p.submission_id")
+    return fresh.select("ext_event_id", "p", F.row_number().over(by_time).alias("turn"))
 
 
 def apply_results(t: OpsTables, punches: DataFrame, proofs: DataFrame, audit_now: datetime) -> DataFrame:
@@ -227,9 +239,12 @@ def apply_results(t: OpsTables, punches: DataFrame, proofs: DataFrame, audit_now
     planned = t.clears.where(_is_planned() & F.col("ext_shift_id").isNotNull()).select(
         "clear_id", "ext_shift_id", "ext_event_id"
     )
-    pulled = planned.join(shift_results(punches), "ext_shift_id").join(
-        unread_proofs(t, proofs), "ext_event_id", "left"
-    ).select("clear_id", "in_at", "out_at", "in_verified", "in_distance", "p")
+    # The visits of an event in order of check-in take its submissions in order of time, each one once.
+    by_time = Window.partitionBy("ext_event_id").orderBy("in_at", "clear_id")
+    visits = planned.join(shift_results(punches), "ext_shift_id").withColumn("turn", F.row_number().over(by_time))
+    pulled = visits.join(unread_proofs(t, proofs), ["ext_event_id", "turn"], "left").select(
+        "clear_id", "in_at", "out_at", "in_verified", "in_distance", "p"
+    )
     joined = touch(t.clears.join(pulled, "clear_id", "left"), F.col("in_at").isNotNull(), audit_now)
     hit = F.col("in_at").isNotNull()
 

@@ -255,7 +255,7 @@ def queries() -> dict[str, Query]:
         "receivables_by_contract": billing.receivables_by_contract,
         "invoice_run": lambda t: billing.invoice_run(t, a),
         "invoice_lines": lambda t: billing.invoice_lines(t, a),
-        "invoice_line_items": lambda t: billing.invoice_line_items(t, a),
+        "invoice_line_items": lambda t: billing.as_json(billing.invoice_line_items(t, a)),
         "invoice_documents": lambda t: billing.invoice_documents(t, a),
         "clears_invoiced": lambda t: _stamped(billing.mark_invoiced(t, AUDIT), "clear_id", "status", "invoiced"),
         "invoices_outstanding": lambda t: billing.invoices_outstanding(t, a),

@@ -162,7 +162,9 @@ def _dispatch(as_of: str) -> str:
 _PLANNED = "timed WHERE status = 'planned'"
 _OPEN_ITEMS = """(SELECT * FROM wide WHERE invoiced = 0 AND status <> 'planned' AND bill_cents > 0)"""
 _RUN = f"""(SELECT contract_id, sum(bill_cents) AS total_cents, count(*) AS line_count,
-    'INV-2001-' || printf('%04d', contract_id) AS invoice_number FROM {_OPEN_ITEMS} GROUP BY contract_id)"""
+    contract_id + (SELECT coalesce(max(invoice_id), 0) FROM invoices) AS invoice_id,
+    'INV-2001-' || printf('%04d', contract_id + (SELECT coalesce(max(invoice_id), 0) FROM invoices)) AS invoice_number
+  FROM {_OPEN_ITEMS} GROUP BY contract_id)"""
 
 _CLEAR_STATE = f"""clear_id, storm_id, site_id, operator_id, scheduled_start, duration_minutes, status,
   {usd('fee_cents')} AS fee, {usd('salt_fee_cents')} AS salt_fee, {usd('other_fee_cents')} AS other_fee, ext_event_id,
@@ -241,7 +243,7 @@ SELECT contract_id, ct.contract_name, ct.contract_type, contact_name, billing_em
   {iso('min(storm_date)')} AS first_date, {iso('max(coalesce(work_day, storm_date))')} AS last_date
 FROM {_OPEN_ITEMS} i JOIN contracts ct USING (contract_id) GROUP BY ALL""",
     "invoice_run": f"""
-SELECT contract_id AS invoice_id, contract_id, invoice_number, '2001-08-01' AS invoice_date,
+SELECT r.invoice_id, contract_id, r.invoice_number, '2001-08-01' AS invoice_date,
   {iso("DATE '2001-08-01' + payment_terms_days")} AS due_date, {usd('total_cents')} AS total_amount, line_count
 FROM {_RUN} r JOIN contracts USING (contract_id)""",
     "invoice_lines": f"""
@@ -286,29 +288,32 @@ def _title_case(x: str) -> str:
     return f"upper(substr({x}, 1, 1)) || substr({x}, 2)"
 
 
-# Documents in one part: at checking scale no invoice or statement is long enough to be split.
+# Documents are rows: heading (0), lines (1) by their id, total (2).
 _BILLING.update({
     "invoice_line_items": f"""
-SELECT invoice_number, 0 AS part, 1 AS parts, CAST(count(*) AS INTEGER) AS lines,
+SELECT invoice_number, storm_ref, count(*) AS lines,
   '[' || string_agg(CAST(json_object('storm_ref', storm_ref, 'storm_date', CAST(storm_date AS VARCHAR), 'street', street_name,
     'surface', surface, 'condition', condition, 'salt_applied', salt_applied, 'status', status, 'fee', {usd('fee_cents')},
     'salt_fee', {usd('salt_cents')}, 'other_fee', {usd('other_fee_cents')}, 'billable', {usd('bill_cents')}) AS VARCHAR),
     ',' ORDER BY clear_id) || ']' AS line_items
-FROM {_OPEN_ITEMS} i JOIN {_RUN} r USING (contract_id) GROUP BY invoice_number""",
+FROM {_OPEN_ITEMS} i JOIN {_RUN} r USING (contract_id) GROUP BY invoice_number, storm_ref""",
     "invoice_documents": f"""
-SELECT invoice_number, r.contract_id, 0 AS part, 1 AS parts, CAST(count(*) AS INTEGER) AS lines,
-  {usd('total_cents')} AS total_amount,
+SELECT invoice_number, contract_id, 0 AS section, CAST(0 AS BIGINT) AS position,
   'My Snow Service' || chr(10) || 'Invoice ' || invoice_number || chr(10) || 'To: ' || ct.contract_name || ' (' || ct.billing_email
     || ')' || chr(10) || 'Date: Aug 1, 2001    Due: ' || strftime(DATE '2001-08-01' + ct.payment_terms_days, '%b %-d, %Y')
-    || ' (net ' || ct.payment_terms_days || ')' || chr(10) || chr(10)
-    || string_agg('  ' || storm_ref || '  ' || label || '  ' || {_title_case('coalesce(surface, status)')} || '  '
-      || {_title_case("coalesce(condition, '-')")} || '  ' || {_SALT_WORD} || '  $' || printf('%.2f', {usd('bill_cents')}),
-      chr(10) ORDER BY clear_id)
-    || chr(10) || chr(10) || 'Total due: $' || printf('%.2f', {usd('total_cents')}) AS document
-FROM {_OPEN_ITEMS} i JOIN {_RUN} r USING (contract_id) JOIN contracts ct ON ct.contract_id = r.contract_id
-GROUP BY invoice_number, r.contract_id, total_cents, ct.contract_name, ct.billing_email, ct.payment_terms_days""",
+    || ' (net ' || ct.payment_terms_days || ')' AS line
+FROM {_RUN} r JOIN contracts ct USING (contract_id)
+UNION ALL
+SELECT invoice_number, contract_id, 1, clear_id, '  ' || storm_ref || '  ' || label || '  '
+  || {_title_case('coalesce(surface, status)')} || '  ' || {_title_case("coalesce(condition, '-')")} || '  ' || {_SALT_WORD}
+  || '  $' || printf('%.2f', {usd('bill_cents')})
+FROM {_OPEN_ITEMS} i JOIN {_RUN} r USING (contract_id)
+UNION ALL
+SELECT invoice_number, contract_id, 2, 0, 'Total due: $' || printf('%.2f', {usd('total_cents')}) FROM {_RUN}""",
 })
 
+_LEFT = "(SELECT storm_id, contract_id, count(*) AS uncleared FROM left_over GROUP BY 1, 2)"
+
 _DUE = """(SELECT p.*, o.operator_name, o.payout_type, o.payout_value, w.storm_id, w.storm_ref, w.label, w.status,
     w.work_day, w.surface, w.condition, w.salt_applied, w.bill_cents, w.invoiced
   FROM payouts p JOIN operators o USING (operator_id) JOIN wide w ON w.clear_id = p.clear_id
@@ -347,12 +352,13 @@ FROM payouts""",
 SELECT clear_id, operator_id, CASE WHEN hit THEN 1 ELSE paid_out END AS paid_out, CASE WHEN hit THEN 1 ELSE 0 END AS touched
 FROM (SELECT *, clear_id IN (SELECT clear_id FROM payouts WHERE paid = 1 AND {_PER_CLEAR}) AS hit FROM clears)""",
     "payout_statements": f"""
-SELECT operator_id, operator_name, 0 AS part, 1 AS parts, CAST(count(*) AS INTEGER) AS lines,
-  {usd('sum(amount_cents)')} AS total_due,
-  'Statement for ' || operator_name || chr(10)
-    || string_agg('  ' || CAST(work_day AS VARCHAR) || '  ' || storm_ref || '  ' || label || '  ' || coalesce(condition, '-')
-      || '  ' || coalesce('$' || printf('%.2f', {usd('amount_cents')}), 'amount open'), chr(10) ORDER BY payout_id)
-    || chr(10) || 'Total due: $' || printf('%.2f', {usd('coalesce(sum(amount_cents), 0)')}) AS document
+SELECT operator_id, operator_name, 0 AS section, CAST(0 AS BIGINT) AS position, 'Statement for ' || operator_name AS line
+FROM {_DUE} GROUP BY ALL
+UNION ALL
+SELECT operator_id, operator_name, 1, payout_id, '  ' || CAST(work_day AS VARCHAR) || '  ' || storm_ref || '  ' || label || '  '
+  || coalesce(condition, '-') || '  ' || coalesce('$' || printf('%.2f', {usd('amount_cents')}), 'amount open') FROM {_DUE}
+UNION ALL
+SELECT operator_id, operator_name, 2, 0, 'Total due: $' || printf('%.2f', {usd('coalesce(sum(amount_cents), 0)')})
 FROM {_DUE} GROUP BY operator_id, operator_name""",
     "payout_totals": f"""
 SELECT operator_id, operator_name, CAST(NULL AS VARCHAR) AS email, count(*) AS clear_count,
@@ -432,9 +438,13 @@ SELECT storm_id, storm_ref, {iso('storm_date')} AS storm_date, contract_id, cont
   count(*) FILTER (status = 'completed' AND condition = 'icy') AS icy,
   count(*) FILTER (status = 'skipped') AS skipped, coalesce(any_value(l.uncleared), 0) AS uncleared,
   {usd('sum(bill_cents)')} AS billable, {usd('sum(bill_cents) FILTER (invoiced = 0)')} AS receivable
-FROM wide w LEFT JOIN (SELECT storm_id, contract_id, count(*) AS uncleared FROM left_over GROUP BY 1, 2) l
-  USING (storm_id, contract_id)
-GROUP BY storm_id, storm_ref, storm_date, contract_id, contract_name""",
+FROM wide w LEFT JOIN {_LEFT} l USING (storm_id, contract_id)
+GROUP BY storm_id, storm_ref, storm_date, contract_id, contract_name
+UNION ALL
+SELECT storm_id, storm_ref, {iso('storm_date')}, NULL, NULL, 0, 0, 0, 0, 0, 0, CAST(sum(uncleared) AS BIGINT), NULL, NULL
+FROM {_LEFT} l JOIN storms USING (storm_id)
+WHERE NOT EXISTS (FROM wide w WHERE w.storm_id = l.storm_id AND w.contract_id = l.contract_id)
+GROUP BY storm_id, storm_ref, storm_date""",
 }
 
 _DEFAULTS = {
@@ -548,7 +558,8 @@ _SHIFT_REQUEST = """clear_id, event_or_sibling AS event_id, ext_worker_id AS wor
 
 _DISPATCH = {
     "storm_open_clears": _fresh(
-        "st.storm_id", "st.storm_id * 1000000000 + si.site_id", "CAST(st.storm_date AS VARCHAR) || 'T04:00'", "180",
+        "st.storm_id", """st.storm_id * 1000000000 + si.site_id + 10000000000000000
+          * (SELECT count(*) FROM clears e WHERE e.storm_id = st.storm_id AND e.site_id = si.site_id)""", "CAST(st.storm_date AS VARCHAR) || 'T04:00'", "180",
         """(SELECT * FROM storms WHERE status = 'forecast') st JOIN (SELECT * FROM sites WHERE is_active = 1) si ON NOT EXISTS (
     FROM clears c WHERE c.storm_id = st.storm_id AND c.site_id = si.site_id AND c.status <> 'cancelled')""",
     ),
@@ -645,11 +656,12 @@ _LAST_OUT = f"(SELECT max(moment) - INTERVAL 10 MINUTE FROM {_OUT})"
 
 _CHANGES = {
     "adhoc_candidates": """
-SELECT si.site_id, street_name, address, ext_location_id, c.clear_id, c.ext_event_id, c.ext_shift_id, c.scheduled_start,
-  st.storm_ref
-FROM sites si LEFT JOIN clears c ON c.site_id = si.site_id AND c.status = 'planned'
-LEFT JOIN storms st ON st.storm_id = c.storm_id AND st.status IN ('forecast', 'active')
-WHERE lower(address) LIKE '%ring%' OR lower(street_name) LIKE '%ring%'""",
+WITH waiting AS (
+    SELECT w.*, CASE WHEN w.storm_status IN ('active', 'forecast') THEN w.storm_ref END AS open_ref FROM wide w WHERE w.status = 'planned'),
+  found AS (FROM sites WHERE contains(lower(concat_ws(chr(10), street_name, address)), 'ring'))
+SELECT f.site_id, f.street_name, f.address, f.ext_location_id, clear_id, ext_event_id, ext_shift_id, scheduled_start,
+  open_ref AS storm_ref
+FROM waiting RIGHT JOIN found f ON waiting.site_id = f.site_id""",
     "adhoc_inserts": "SELECT *, 1 AS is_adhoc FROM (" + _fresh(
         _LATEST_STORM, "-si.site_id", "'2001-07-20T05:40'", "30",
         f"""(SELECT * FROM sites WHERE surface = 'lot' AND ext_location_id IS NOT NULL
@@ -734,10 +746,14 @@ SELECT clear_id, storm_id, site_id, operator_id, scheduled_start, duration_minut
   CASE WHEN hit THEN 1 ELSE gps_verified END AS gps_verified,
   CASE WHEN hit THEN metres ELSE checkin_distance_m END AS checkin_distance_m,
   CASE WHEN hit THEN 1 ELSE 0 END AS touched
-FROM (SELECT c.*, s.in_text, s.out_text, s.metres, c.status = 'planned' AND s.out_text IS NOT NULL AS hit, f.sub
-      FROM clears c LEFT JOIN shifts s USING (clear_id)
-      LEFT JOIN (SELECT ext_event_id AS event_id, min(-clear_id) AS sub FROM clears
-                 WHERE status = 'planned' AND ext_event_id IS NOT NULL GROUP BY 1) f ON f.event_id = c.ext_event_id)""",
+FROM (SELECT v.*, f.sub
+      FROM (SELECT *, CASE WHEN hit THEN row_number() OVER (PARTITION BY ext_event_id, hit ORDER BY in_text, clear_id) END AS turn
+            FROM (SELECT c.*, s.in_text, s.out_text, s.metres, c.status = 'planned' AND s.out_text IS NOT NULL AS hit
+                  FROM clears c LEFT JOIN shifts s USING (clear_id))) v
+      LEFT JOIN (SELECT ext_event_id AS event_id, -clear_id AS sub,
+                   row_number() OVER (PARTITION BY ext_event_id ORDER BY scheduled_start, -clear_id) AS turn
+                 FROM clears WHERE status = 'planned' AND ext_event_id IS NOT NULL) f
+        ON f.event_id = v.ext_event_id AND f.turn = v.turn)""",
 }
 _WITH_FEEDS = {"clears_with_results"}
 _MEMBERS = """,

@@ -60,33 +60,33 @@ def tables(spark: SparkSession, filled: bool = True, **records) -> OpsTables:
 
 def worked_example(spark: SparkSession) -> OpsTables:
     """Two contracts, four sites, one storm, two operators: the book before the storm is opened."""
-    town = {"city": "Bloomington", "state": "MN", "zip": "55431"}
+    town = {"city": "Ashfield", "state": "MN", "zip": "55002"}
     return tables(
         spark,
         settings=settings(
-            spark, business_name="Northland Snow & Ice", state="MN", default_operator_id="1", proof_form_id="601"
+            spark, business_name="Halvorsen Winter Works", state="MN", default_operator_id="1", proof_form_id="601"
         ),
         operators=[
-            {"operator_id": 1, "operator_name": "Sam Rivera", "ext_worker_id": 801, "is_owner": 1},
-            {"operator_id": 2, "operator_name": "Pat Okonkwo", "ext_worker_id": 802, "payout_type": "per_clear", "payout_value": 40},
+            {"operator_id": 1, "operator_name": "Tove Lindqvist", "ext_worker_id": 801, "is_owner": 1},
+            {"operator_id": 2, "operator_name": "Ines Halvorsen", "ext_worker_id": 802, "payout_type": "per_clear", "payout_value": 40},
         ],
         contracts=[
-            {"contract_id": 1, "contract_name": "Cedar Ridge HOA", "contract_type": "hoa", "contact_name": "Dana",
-             "billing_email": "hoa@cedarridge.example", "per_clear_fee": 45, "salt_fee": 15, "sla_deadline": "07:00"},
-            {"contract_id": 2, "contract_name": "Metro Plaza LLC", "billing_email": "ap@metroplaza.example",
+            {"contract_id": 1, "contract_name": "Larkspur Row HOA", "contract_type": "hoa", "contact_name": "Oskar",
+             "billing_email": "books@larkspurrow.example", "per_clear_fee": 45, "salt_fee": 15, "sla_deadline": "07:00"},
+            {"contract_id": 2, "contract_name": "Quarry Market LLC", "billing_email": "pay@quarrymarket.example",
              "per_clear_fee": 150, "salt_fee": 40, "sla_deadline": "06:00"},
         ],
         sites=[
-            {"site_id": 1, "contract_id": 1, "address": "4100 Maple Ave", "street_name": "Maple Ave",
-             "place_label": "Driveway - Maple Ave", "access_notes": "Gate 4412", "normalized_address": "4100 maple ave bloomington mn 55431", **town},
-            {"site_id": 2, "contract_id": 1, "address": "880 Oak Circle", "street_name": "Oak Circle",
-             "place_label": "Driveway - Oak Circle", "normalized_address": "880 oak circle bloomington mn 55431", **town},
-            {"site_id": 3, "contract_id": 1, "address": "12 Pine Ct", "street_name": "Pine Ct",
-             "place_label": "Driveway - Pine Ct", "normalized_address": "12 pine ct bloomington mn 55431", **town},
-            {"site_id": 4, "contract_id": 2, "address": "5500 France Ave S", "city": "Edina", "state": "MN", "zip": "55435",
-             "street_name": "France Ave S", "place_label": "Lot - France Ave S", "surface": "lot", "sla_deadline": "06:00",
-             "access_notes": "North entrance.", "normalized_address": "5500 france ave s edina mn 55435"},
+            {"site_id": 1, "contract_id": 1, "address": "31 Thistle Way", "street_name": "Thistle Way",
+             "place_label": "Driveway - Thistle Way", "access_notes": "Gate 9037", "normalized_address": "31 thistle way ashfield mn 55002", **town},
+            {"site_id": 2, "contract_id": 1, "address": "602 Heron Loop", "street_name": "Heron Loop",
+             "place_label": "Driveway - Heron Loop", "normalized_address": "602 heron loop ashfield mn 55002", **town},
+            {"site_id": 3, "contract_id": 1, "address": "7 Tansy Ct", "street_name": "Tansy Ct",
+             "place_label": "Driveway - Tansy Ct", "normalized_address": "7 tansy ct ashfield mn 55002", **town},
+            {"site_id": 4, "contract_id": 2, "address": "118 Mill Pond Rd", "city": "Brookmoor", "state": "MN", "zip": "55003",
+             "street_name": "Mill Pond Rd", "place_label": "Lot - Mill Pond Rd", "surface": "lot", "sla_deadline": "06:00",
+             "access_notes": "Ring at the side door.", "normalized_address": "118 mill pond rd brookmoor mn 55003"},
         ],
-        storms=[{"storm_id": 1, "storm_name": "Jan 14 snow 4-8in", "storm_date": "2026-01-14", "sla_deadline": "07:00"}],
+        storms=[{"storm_id": 1, "storm_name": "January squall", "storm_date": "2026-01-14", "sla_deadline": "07:00"}],
         clears=[],
     )

@@ -65,3 +65,11 @@ def test_opening_again_adds_nothing(t):
     assert added.count() > 0
     after = t.having(clears=t.clears.unionByName(added))
     assert transitions.open_storm(after, storms).isEmpty()
+
+
+def test_recap_counts_what_the_board_lists(t):
+    from frostline.operators import activity
+
+    left = activity.storm_recap(t).groupBy("storm_id").agg({"uncleared": "sum"}).where("`sum(uncleared)` > 0")
+    board = boards.uncleared_rows(t).groupBy("storm_id").count()
+    assert {tuple(r) for r in left.collect()} == {tuple(r) for r in board.collect()}

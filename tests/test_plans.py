@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from frostline.operators import boards, payouts
-from frostline.operators.documents import in_parts
+from frostline.operators.documents import as_rows
 from frostline.plans.commands import AS_OF_A
 from frostline.plans.workspace import tables
 from frostline.sources.shared import shared_folder
@@ -48,11 +48,13 @@ def test_scans_are_pruned(spark):
     assert "EqualTo(paid,0)" in due and "Window" not in due
 
 
-def test_a_hot_document_is_split(spark):
-    lines = spark.range(5000).select(F.lit("hot").alias("doc"), F.col("id"), F.col("id").cast("string").alias("body")).withColumn("n", F.lit(5000))
-    parts = in_parts(lines, ["doc"], "n", "id", "body", 500).collect()
-    assert len(parts) == 10 and sum(r.lines for r in parts) == 5000 and max(r.lines for r in parts) < 700
-    assert sorted(int(b) for r in parts for b in r.bodies) == list(range(5000))
+def test_documents_have_one_form_at_any_size(spark):
+    for n in (5, 5000):
+        lines = spark.range(n).select(F.lit("doc").alias("doc"), "id", F.col("id").cast("string").alias("text")).repartition(7)
+        heads = spark.createDataFrame([("doc", n)], "doc string, n int")
+        rows = as_rows(heads, lines, ["doc"], "id", F.lit("head"), F.col("text"), F.concat(F.lit("total "), F.col("n")))
+        read = [r.line for r in rows.orderBy("doc", "section", "position").collect()]
+        assert read == ["head", *map(str, range(n)), f"total {n}"]
 
 
 def test_tables_survive_a_round_trip(spark):

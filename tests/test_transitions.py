@@ -18,11 +18,11 @@ def book(spark, clears=(), **more):
     given = {
         "settings": settings(spark, default_operator_id="1"),
         "contracts": [{"contract_id": 1, "contract_name": "C", "per_clear_fee": 45, "salt_fee": 15}, {"contract_id": 2, "contract_name": "D", "is_active": 0}],
-        "sites": [{"site_id": i, "contract_id": 1, "address": f"{i} Maple Ave", "street_name": "Maple Ave", "normalized_address": f"{i} maple ave"} for i in (1, 2)]
+        "sites": [{"site_id": i, "contract_id": 1, "address": f"{i} Thistle Way", "street_name": "Thistle Way", "normalized_address": f"{i} thistle way"} for i in (1, 2)]
         + [{"site_id": 3, "contract_id": 2, "address": "3 Oak", "normalized_address": "3 oak"},
            {"site_id": 4, "contract_id": 1, "address": "4 Oak", "normalized_address": "4 oak", "is_active": 0}],
         "storms": [{"storm_id": 1, "storm_date": "2026-01-14"}, {"storm_id": 2, "storm_date": "2026-01-15"}, {"storm_id": 3, "storm_date": "2026-01-16", "status": "closed"}],
-        "operators": [{"operator_id": 1, "operator_name": "Sam", "ext_worker_id": 801}, {"operator_id": 2, "operator_name": "Pat"}],
+        "operators": [{"operator_id": 1, "operator_name": "Tove", "ext_worker_id": 801}, {"operator_id": 2, "operator_name": "Ines"}],
         "clears": [{"storm_id": 1, "site_id": 1, **c} for c in clears],
     }
     return tables(spark, **{**given, **more})
@@ -44,7 +44,7 @@ def test_open_storm_guards(spark):
 
 def test_adhoc(spark):
     t = book(spark, [{"clear_id": 1}, {"clear_id": 2, "site_id": 2, "storm_id": 2, "status": "completed"}])
-    assert ids(transitions.adhoc_candidates(t, "%MAPLE%"), "site_id", "clear_id", "storm_ref") == {
+    assert ids(transitions.adhoc_candidates(t, "%THISTLE%"), "site_id", "clear_id", "storm_ref") == {
         (1, 1, "ST-2026-0001"), (2, None, None)}
     asked = spark.createDataFrame([(10, 1, 2), (11, 2, 2), (12, 3, 2), (12, 3, 2)], "clear_id long, site_id long, operator_id long")
     rows = transitions.adhoc_inserts(t, asked.withColumn("at", F.lit("2026-01-14 05:41:30").cast("timestamp_ntz"))).collect()
@@ -109,7 +109,7 @@ def test_settings(spark):
 def test_appends(spark):
     t = book(spark)
     entries = spark.createDataFrame(
-        [(10, 1, "1 MAPLE Ave."), (11, 1, "#9 Elm"), (12, 1, "9  elm"), (13, 99, "8 Elm")], "site_id long, contract_id long, address string"
+        [(10, 1, "1 THISTLE Way."), (11, 1, "#9 Elm"), (12, 1, "9  elm"), (13, 99, "8 Elm")], "site_id long, contract_id long, address string"
     ).withColumns({c: F.lit(None).cast("string") for c in ("city", "state", "zip", "surface")})
     assert ids(transitions.append_sites(t, entries), "site_id", "verdict") == {
         (10, "known address"), (11, "accepted"), (12, "repeated in batch"), (13, "unknown contract")}
@@ -165,12 +165,12 @@ def test_proof_checks(spark):
 
 
 def test_leaks_in_notes(spark):
-    names = spark.createDataFrame([("Dana",), ("Mary Lou Smith",), ("",)], "name string")
+    names = spark.createDataFrame([("Oskar",), ("Mary Lou Smith",), ("",)], "name string")
     notes = spark.createDataFrame([
-        (1, "Call building manager Dana, gate 4412"), (2, "Lot, bare, salted, 3 after photos"), (3, "Danang trip; met mary-lou  SMITH."),
+        (1, "Call building manager Oskar, gate 9037"), (2, "Lot, bare, salted, 3 after photos"), (3, "Oskarng trip; met mary-lou  SMITH."),
         (4, "lockbox code: 99812"), (5, None), (6, "Mary Lou")], "id long, text string")
     got = {r.id: (r.gate_code, r.names, r.first_name) for r in notes_leak_scan(notes, "id", "text", names, "name").collect()}
-    assert got == {1: (1, 1, "Dana"), 3: (0, 1, "Mary Lou Smith"), 4: (1, 0, None)}
+    assert got == {1: (1, 1, "Oskar"), 3: (0, 1, "Mary Lou Smith"), 4: (1, 0, None)}
     assert name_mentions(notes, "id", "text", names.limit(0), "name").isEmpty()
 
 
@@ -203,3 +203,44 @@ def test_declared_defaults(spark):
     rows = spark.createDataFrame([(1, None), (2, "hoa")], "contract_id long, contract_type string")
     assert ids(defaults.column_defaults(rows, "contracts"), "contract_id", "contract_type", "payment_terms_days", "is_active") == {
         (1, "commercial", 30, 1), (2, "hoa", 30, 1)}
+
+
+def test_opening_again_after_a_cancellation_gives_new_ids(spark):
+    t = tables(
+        spark, contracts=[{"contract_id": 1}], sites=[{"site_id": s, "contract_id": 1, "address": str(s)} for s in (1, 2)],
+        storms=[{"storm_id": 7, "storm_date": "2026-01-14"}], clears=[],
+    )
+    seen = set()
+    for _ in range(3):
+        opened = transitions.open_storm(t, t.storms)
+        now = {r.clear_id for r in opened.collect()}
+        assert len(now) == 2 and not now & seen
+        seen |= now
+        cancelled = t.clears.unionByName(opened).withColumn("status", F.lit("cancelled"))
+        t = t.having(clears=spark.createDataFrame(cancelled.collect(), cancelled.schema))
+
+
+def test_the_last_command_counts_whole(spark):
+    rows = [(1, 1, "05:00", 2), (1, 2, "06:00", 1), (2, 9, "06:00", 1), (2, 3, "07:00", 5)]
+    for order in (rows, rows[::-1]):
+        batch = spark.createDataFrame(order, "clear_id long, seq int, new_start string, new_operator_id int")
+        got = {tuple(r) for r in transitions.latest(batch, "clear_id").collect()}
+        assert got == {(1, "06:00", 1), (2, "06:00", 1)}
+
+
+def test_each_submission_of_an_event_is_used_once(spark):
+    t = tables(
+        spark, contracts=[{"contract_id": 1}], sites=[{"site_id": 1, "contract_id": 1, "address": "a"}],
+        storms=[{"storm_id": s, "storm_date": "2026-01-14"} for s in (1, 2)],
+        clears=[{"clear_id": c, "storm_id": c, "site_id": 1, "ext_event_id": 5, "ext_shift_id": 50 + c} for c in (1, 2)],
+    )
+    feed = punches(spark, *[
+        {"shift_id": 50 + c, "punch_type": k, "punched_at": f"2026-01-14T0{h}:00:00-06:00"}
+        for c, k, h in ((2, "in", 4), (2, "out", 5), (1, "in", 6), (1, "out", 7))
+    ])
+    sent = proofs(spark, *[
+        {"submission_id": s, "event_id": 5, "submitted_at": at, "data": ("lot", "bare", "no", None), "media": []}
+        for s, at in ((11, "2026-01-14T07:01:00"), (12, "2026-01-14T05:01:00"))
+    ])
+    done = transitions.apply_results(t, feed, sent, NOW)
+    assert {(r.clear_id, r.report_id) for r in done.collect()} == {(2, 12), (1, 11)}
