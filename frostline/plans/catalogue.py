@@ -178,9 +178,10 @@ def all_notes(t: OpsTables, spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = [
         t.clears.where(F.col("notes").isNotNull()).select(F.concat(F.lit("clear-"), "clear_id").alias("text_id"), F.col("notes").alias("text")),
         read("documents").select(F.concat(F.lit("document-"), "doc_id").alias("text_id"), "text"),
-        read("conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).select(
-            F.concat(F.lit("turn-"), "conv_id", F.lit("-"), "turn").alias("text_id"), "text"
-        ),
+        # Two texts of one turn stay two texts: the role and a digest of the text are part of the id.
+        read("conversations").select(
+            F.concat_ws("-", F.lit("turn"), "conv_id", "turn", "role", F.md5(F.col("text").cast("binary"))).alias("text_id"), "text"
+        ).distinct(),
     ]
     return reduce(DataFrame.unionByName, texts)
 
@@ -225,8 +226,8 @@ def stream_punch_match(t: OpsTables) -> DataFrame:
 
 
 def stream_sla_alerts(t: OpsTables) -> DataFrame:
-    watched = as_stream(alerts.watch_list(t), "watch")
-    return drain(alerts.sla_alerts(watched, as_stream(cmd.punch_feed(t), "punches")), "alerts")
+    watched, ticks = as_stream(alerts.watch_list(t), "watch"), as_stream(cmd.closing_tick(t), "ticks")
+    return drain(alerts.sla_alerts(watched, as_stream(cmd.punch_feed(t), "punches"), ticks=ticks), "alerts")
 
 
 def stream_sla_clears(t: OpsTables) -> DataFrame:
@@ -235,16 +236,18 @@ def stream_sla_clears(t: OpsTables) -> DataFrame:
 
 
 def stream_shift_state(t: OpsTables) -> DataFrame:
-    windows = as_stream(punches.shift_windows(t), "windows")
-    return drain(alerts.shift_states(windows, as_stream(cmd.punch_feed(t), "punches")), "states")
+    windows, ticks = as_stream(punches.shift_windows(t), "windows"), as_stream(cmd.closing_tick(t), "ticks")
+    return drain(alerts.shift_states(windows, as_stream(cmd.punch_feed(t), "punches"), ticks=ticks), "states")
 
 
 def stream_checkins_windowed(t: OpsTables) -> DataFrame:
-    return drain(punches.checkins_per_window(as_stream(cmd.punch_feed(t), "punches")), "windowed")
+    feed, ticks = as_stream(cmd.punch_feed(t), "punches"), as_stream(cmd.closing_tick(t), "ticks")
+    return drain(punches.checkins_per_window(feed, ticks=ticks), "checkins")
 
 
 def stream_operator_sessions(t: OpsTables) -> DataFrame:
-    return drain(punches.operator_sessions(as_stream(cmd.punch_feed(t), "punches")), "sessions")
+    feed, ticks = as_stream(cmd.punch_feed(t), "punches"), as_stream(cmd.closing_tick(t), "ticks")
+    return drain(punches.operator_sessions(feed, ticks=ticks), "sessions")
 
 
 def queries() -> dict[str, Query]:

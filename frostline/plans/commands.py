@@ -141,6 +141,11 @@ def punch_feed(t: OpsTables) -> DataFrame:
     )
 
 
+def closing_tick(t: OpsTables) -> DataFrame:
+    """A clock tick long after everything in the tables, which lets a drained stream finish."""
+    return t.storms.agg(F.date_add(F.max("storm_date"), 60).cast("timestamp").alias("at"))
+
+
 def proof_feed(t: OpsTables) -> DataFrame:
     """One submission per completed clear (already stored) and per planned clear with an event (not yet read)."""
     photos = F.transform(

@@ -649,19 +649,15 @@ watched AS (
 """
 _IN = f"(SELECT shift_id, {ts('punched_at')} AS moment FROM punches WHERE punch_type = 'in')"
 _OUT = f"(SELECT shift_id, {ts('punched_at')} AS moment FROM punches WHERE punch_type = 'out')"
-# A watermark trails the newest record of each side; what lies before it is final.
-_LAST_PUNCH = f"(SELECT max({ts('punched_at')}) - INTERVAL 10 MINUTE FROM punches)"
-_LAST_IN = f"(SELECT max(moment) - INTERVAL 10 MINUTE FROM {_IN})"
-_LAST_OUT = f"(SELECT max(moment) - INTERVAL 10 MINUTE FROM {_OUT})"
 
 _CHANGES = {
     "adhoc_candidates": """
-WITH waiting AS (
+SELECT * FROM (WITH waiting AS (
     SELECT w.*, CASE WHEN w.storm_status IN ('active', 'forecast') THEN w.storm_ref END AS open_ref FROM wide w WHERE w.status = 'planned'),
   found AS (FROM sites WHERE contains(lower(concat_ws(chr(10), street_name, address)), 'ring'))
 SELECT f.site_id, f.street_name, f.address, f.ext_location_id, clear_id, ext_event_id, ext_shift_id, scheduled_start,
   open_ref AS storm_ref
-FROM waiting RIGHT JOIN found f ON waiting.site_id = f.site_id""",
+FROM waiting RIGHT JOIN found f ON waiting.site_id = f.site_id)""",
     "adhoc_inserts": "SELECT *, 1 AS is_adhoc FROM (" + _fresh(
         _LATEST_STORM, "-si.site_id", "'2001-07-20T05:40'", "30",
         f"""(SELECT * FROM sites WHERE surface = 'lot' AND ext_location_id IS NOT NULL
@@ -794,7 +790,7 @@ _TEXTS = """,
 texts AS (
   SELECT 'clear-' || clear_id AS text_id, notes AS text FROM clears WHERE notes IS NOT NULL
   UNION ALL SELECT 'document-' || doc_id, text FROM documents
-  UNION ALL SELECT 'turn-' || conv_id || '-' || turn, text FROM conversations)
+  UNION ALL SELECT DISTINCT concat_ws('-', 'turn', conv_id, turn, role, md5(text)), text FROM conversations)
 """
 
 _STREAMS = {
@@ -813,29 +809,22 @@ FROM (SELECT * FROM punches WHERE punch_type = 'in') p LEFT JOIN shift_windows U
     "stream_sla_alerts": f"""
 SELECT shift_id, clear_id, site_id, {iso('alert_at')} AS alert_at, {iso('deadline')} AS deadline_at
 FROM watched w
-WHERE NOT EXISTS (FROM {_IN} i WHERE i.shift_id = w.shift_id AND i.moment <= w.alert_at AND i.moment >= w.alert_at - INTERVAL 2 DAY)
-  AND alert_at < least((SELECT max(alert_at) FROM watched), {_LAST_IN})""",
+WHERE NOT EXISTS (FROM {_IN} i WHERE i.shift_id = w.shift_id AND i.moment <= w.alert_at)""",
     "stream_sla_clears": f"""
 SELECT shift_id, clear_id, site_id, {iso('moment')} AS in_at, CASE WHEN moment > deadline THEN 1 ELSE 0 END AS missed
-FROM watched JOIN {_IN} i USING (shift_id) WHERE moment > alert_at AND moment <= alert_at + INTERVAL 2 DAY""",
+FROM watched JOIN {_IN} i USING (shift_id) WHERE moment > alert_at""",
     "stream_shift_state": f"""
 SELECT shift_id, 'scheduled' AS state, {iso('starts_at')} AS "at" FROM shift_windows
 UNION ALL SELECT shift_id, CASE punch_type WHEN 'in' THEN 'checked_in' ELSE 'checked_out' END, {iso(ts('punched_at'))} FROM punches
 UNION ALL SELECT shift_id, 'missed', {iso('ends_at + INTERVAL 45 MINUTE')} FROM shift_windows w
   WHERE NOT EXISTS (FROM {_IN} i WHERE i.shift_id = w.shift_id AND i.moment <= ends_at + INTERVAL 45 MINUTE)
-    AND ends_at + INTERVAL 45 MINUTE < WATERMARK
 UNION ALL SELECT shift_id, 'forgot_check_out', {iso('ends_at + INTERVAL 15 MINUTE')} FROM shift_windows w
   WHERE NOT EXISTS (FROM {_OUT} o WHERE o.shift_id = w.shift_id AND o.moment <= ends_at + INTERVAL 15 MINUTE)
-    AND EXISTS (FROM {_IN} i WHERE i.shift_id = w.shift_id AND i.moment <= ends_at + INTERVAL 15 MINUTE)
-    AND ends_at + INTERVAL 15 MINUTE < WATERMARK""".replace(
-        "WATERMARK", f"least((SELECT max(ends_at) FROM shift_windows) + INTERVAL 15 MINUTE, {_LAST_IN}, {_LAST_OUT}, "
-        "(SELECT max(TRY_CAST(substr(punched_at, 1, 19) AS TIMESTAMP)) - INTERVAL 1 DAY FROM punches))"
-    ),
+    AND EXISTS (FROM {_IN} i WHERE i.shift_id = w.shift_id AND i.moment <= ends_at + INTERVAL 15 MINUTE)""",
     "stream_checkins_windowed": f"""
 SELECT {iso('window_start')} AS window_start, {iso('window_start + INTERVAL 15 MINUTE')} AS window_end,
   count(*) AS checkins, count(*) FILTER (verified = 1) AS verified
 FROM (SELECT time_bucket(INTERVAL 15 MINUTE, {ts('punched_at')}) AS window_start, verified FROM punches WHERE punch_type = 'in')
-WHERE window_start + INTERVAL 15 MINUTE <= (SELECT max(moment) - INTERVAL 2 HOUR FROM {_IN})
 GROUP BY window_start""",
     "stream_operator_sessions": f"""
 SELECT worker_id, {iso('min(moment)')} AS session_start, {iso('max(moment) + INTERVAL 2 HOUR')} AS session_end, count(*) AS punches
@@ -843,8 +832,7 @@ FROM (SELECT *, sum(CASE WHEN moment <= before + INTERVAL 2 HOUR THEN 0 ELSE 1 E
         PARTITION BY worker_id ORDER BY moment RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
       FROM (SELECT worker_id, {ts('punched_at')} AS moment,
               lag({ts('punched_at')}) OVER (PARTITION BY worker_id ORDER BY {ts('punched_at')}) AS before FROM punches))
-GROUP BY worker_id, run
-HAVING max(moment) + INTERVAL 2 HOUR <= (SELECT max({ts('punched_at')}) - INTERVAL 2 HOUR FROM punches)""",
+GROUP BY worker_id, run""",
 }
 
 

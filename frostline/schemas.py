@@ -133,9 +133,12 @@ WALL_CLOCK = TimestampNTZType()
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
-    """Project ``df`` onto ``schema``: cast what is there, add absent columns as NULL, drop the rest."""
+    """Project ``df`` onto ``schema``: cast what is there, add absent columns as NULL, drop the rest.
+
+    What does not fit its type becomes NULL instead of stopping the job; the quality rules report it.
+    """
     have = set(df.columns)
     return df.selectExpr(*[
-        f"CAST({f'`{f.name}`' if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
+        f"TRY_CAST({f'`{f.name}`' if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
         for f in schema.fields
     ])
