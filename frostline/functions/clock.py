@@ -6,7 +6,7 @@ text is read as TIMESTAMP_NTZ and differences are taken from calendar fields.
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +23,19 @@ def local_date(text: Column) -> Column:
     return local_ts(text).cast("date")
 
 
+def on_days(name: str, first: date, last: date | None = None) -> Column:
+    """Whether the local start in a column lies on the days from ``first`` to ``last`` (open when None).
+
+    The range of the raw ISO text stands beside the exact condition: it reaches the Parquet statistics.
+    """
+    text, exact = F.col(name), local_date(F.col(name)) >= day(first)
+    raw = text >= first.strftime("%Y-%m-%d")
+    if last is None:
+        return raw & exact
+    until = (last + timedelta(days=1)).strftime("%Y-%m-%d")
+    return raw & (text < until) & exact & (local_date(text) <= day(last))
+
+
 def ntz(moment: datetime) -> Column:
     return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
 

@@ -31,8 +31,11 @@ def mileage_by_month(t: OpsTables) -> DataFrame:
 
 def operator_activity(t: OpsTables, as_of: datetime, days: int = 30) -> DataFrame:
     """Per operator: completed work of the last ``days`` days (both ends included, no upper bound) and plans ahead."""
-    since = day(as_of - timedelta(days=days))
-    recent = t.clears.where((F.col("status") == "completed") & (work_date() >= since))
+    first = as_of - timedelta(days=days)
+    since, unseen = first.strftime("%Y-%m-%d"), F.col("checked_in_at").isNull()
+    # The raw texts on their own, so that the range reaches the scan; the exact day beside it.
+    raw = (F.col("checked_in_at") >= since) | (unseen & (F.col("scheduled_start") >= since))
+    recent = t.clears.where((F.col("status") == "completed") & raw & (work_date() >= day(first)))
 
     def counted(condition: Column) -> Column:
         return F.sum(flag(condition))

@@ -14,6 +14,7 @@ from frostline.functions.clock import (
     epoch_wall_seconds,
     iso_seconds,
     local_date,
+    on_days,
     local_ts,
     minutes_until,
     plus_minutes,
@@ -143,14 +144,13 @@ def clears_planned(t: OpsTables, as_of: datetime) -> DataFrame:
 
 def clears_upcoming(t: OpsTables, as_of: datetime, days: int = 7) -> DataFrame:
     """Planned clears from today through the next ``days - 1`` days."""
-    starts = local_date(F.col("scheduled_start"))
-    week = starts.between(day(as_of), day(as_of + timedelta(days=days - 1)))
+    week = on_days("scheduled_start", as_of, as_of + timedelta(days=days - 1))
     return planned_rows(t, as_of, week).orderBy("scheduled_start", "clear_id").select(*PLANNED_COLUMNS)
 
 
 def clears_today(t: OpsTables, as_of: datetime) -> DataFrame:
     """Planned and completed clears that start today."""
-    on_board = F.col("status").isin("planned", "completed") & (local_date(F.col("scheduled_start")) == day(as_of))
+    on_board = F.col("status").isin("planned", "completed") & on_days("scheduled_start", as_of, as_of)
     rows = dispatch_rows(t, t.clears.where(on_board), as_of, default_minutes=180)
     return rows.orderBy("scheduled_start", "street_name", "clear_id").select(*TODAY_COLUMNS)
 

@@ -40,7 +40,8 @@ def due_rows(t: OpsTables) -> DataFrame:
     )
     unpaid = t.payouts.where(F.col("paid") == 0).select("payout_id", "operator_id", "clear_id", "amount")
     # The payout names its own operator, which need not be the one on the clear.
-    work = _billed_work(t, t.clears).select(
+    # The few unpaid payouts meet the clears first; storms and sites join what is left.
+    work = _billed_work(t, t.clears.join(unpaid.select("clear_id"), "clear_id", "left_semi")).select(
         "clear_id", "storm_id", "storm_ref", "site_label", F.col("status").alias("clear_status"), "work_date",
         "surface", "condition", "salt_applied", "billable_total", F.col("invoiced").alias("contract_invoiced"),
     )

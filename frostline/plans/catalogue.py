@@ -23,6 +23,7 @@ from frostline.operators import (
 from frostline.plans import commands as cmd
 from frostline.plans.commands import AS_OF_A, AS_OF_B, AUDIT
 from frostline.plans.projection import load_raw
+from frostline.plans.staging import spoiled
 from frostline.plans.workspace import tables
 from frostline.schemas import MILES, RATE, SETTING_SEEDS
 from frostline.sources.tables import OpsTables
@@ -301,6 +302,7 @@ def queries() -> dict[str, Query]:
         "mileage_recomputed": mileage_recomputed,
         # quality
         "dq_violations": quality.dq_violations,
+        "dq_staged_violations": lambda t: quality.dq_violations(spoiled(t)),
         "dq_violation_counts": quality.dq_violation_counts,
         "delete_plan": delete_plan,
         # dispatch

@@ -8,6 +8,7 @@ terms, with joins, subqueries and windows where the Spark side uses aggregates,
 from __future__ import annotations
 
 from frostline.plans import projection as p
+from frostline.plans.staging import SPOILED
 
 DIALECT = {"days": "date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE))", "ntz": "TIMESTAMP"}
 
@@ -509,7 +510,7 @@ _VIOLATIONS = "\nUNION ALL ".join([
     _value_rule("proof_surface", "clears", "clear_id", "surface", "surface NOT IN ('driveway', 'lot', 'walk', 'all')"),
     _value_rule("proof_condition", "clears", "clear_id", "condition", "condition NOT IN ('bare', 'packed', 'icy')"),
     _value_rule("proof_salt", "clears", "clear_id", "salt_applied", "salt_applied NOT IN ('yes', 'no', 'pretreated')"),
-    _value_rule("miles", "mileage", "trip_id", usd("miles_cents"), "miles_cents < 0"),
+    _value_rule("miles", "mileage", "trip_id", "printf('%.2f', miles_cents / 100.0)", "miles_cents < 0"),
     _unique_rule("unique_address", "sites", "site_id", "normalized_address"),
     _unique_rule("unique_worker", "operators", "operator_id", "ext_worker_id"),
     _unique_rule("unique_storm_ref", "storms", "storm_id", "storm_ref"),
@@ -527,8 +528,25 @@ _VIOLATIONS = "\nUNION ALL ".join([
     _reference_rule("payout_clear", "payouts", "payout_id", "clear_id", "clears"),
 ])
 
+def _spoiled_tables() -> str:
+    """The spoiled tables under their own names; miles are kept in hundredths here."""
+    made = []
+    for table, columns in SPOILED.items():
+        own = {k.replace("miles", "miles_cents"): v.replace("miles > 10", "miles > 1000").replace("miles", "miles_cents") for k, v in columns.items()} if table == "mileage" else columns
+        replaced = ", ".join(f"{v} AS {k}" for k, v in own.items())
+        made.append(f"bad_{table} AS (SELECT * REPLACE ({replaced}) FROM {table})")
+    made.append("bad_settings AS (FROM settings UNION ALL FROM settings WHERE key LIKE 'default%')")
+    made += [f"{table} AS (FROM bad_{table})" for table in [*SPOILED, "settings"]]
+    return ",\n".join(made)
+
+
+_STAGED = f"""SELECT * FROM (WITH {_spoiled_tables()}
+{_VIOLATIONS}
+UNION ALL SELECT 'unique_setting', 'settings', NULL, key FROM settings GROUP BY key HAVING count(*) > 1)"""
+
 _QUALITY = {
     "dq_violations": _VIOLATIONS,
+    "dq_staged_violations": _STAGED,
     "dq_violation_counts": f"""
 SELECT rule, "table", count(*) AS violations, min(row_id) AS first_row, max(row_id) AS last_row
 FROM ({_VIOLATIONS}) GROUP BY ALL""",

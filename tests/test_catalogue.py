@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from frostline.plans import catalogue, oracles
-from frostline.operators import billing, boards, transitions
+from frostline.operators import billing, boards, quality, transitions
 from frostline.plans.commands import AS_OF_A
 from frostline.plans.workspace import tables
 
@@ -73,3 +73,10 @@ def test_recap_counts_what_the_board_lists(t):
     left = activity.storm_recap(t).groupBy("storm_id").agg({"uncleared": "sum"}).where("`sum(uncleared)` > 0")
     board = boards.uncleared_rows(t).groupBy("storm_id").count()
     assert {tuple(r) for r in left.collect()} == {tuple(r) for r in board.collect()}
+
+
+def test_every_integrity_rule_has_rows_that_break_it(spark):
+    found = {r.rule for r in QUERIES["dq_staged_violations"](spark, SF).select("rule").distinct().collect()}
+    rules = {c.rule for _, checks in quality.value_checks().values() for c in checks}
+    rules |= {u[0] for u in quality.UNIQUE} | {r[0] for r in quality.REFERENCES} | {"unique_setting", "one_clear_per_site_storm"}
+    assert rules <= found

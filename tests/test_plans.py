@@ -10,9 +10,9 @@ import pytest
 from frames import tables as small_tables
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_points
-from frostline.operators import boards, payouts
+from frostline.operators import activity, boards, payouts
 from frostline.operators.documents import as_rows
+from frostline.plans import catalogue
 from frostline.plans.commands import AS_OF_A
 from frostline.plans.workspace import tables
 from frostline.sources.shared import shared_folder
@@ -30,9 +30,9 @@ def plan(df) -> str:
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(n for n in entry_points.queries() if not n.startswith("stream_")))
+@pytest.mark.parametrize("name", sorted(n for n in catalogue.queries() if not n.startswith("stream_")))
 def test_no_products_and_no_python(spark, name):
-    text = plan(entry_points.queries()[name](spark, SF))
+    text = plan(catalogue.queries()[name](spark, SF))
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"):
         assert word not in text, word
 
@@ -44,6 +44,8 @@ def test_scans_are_pruned(spark):
     assert "EqualTo(status,planned)" in risk and "IsNull(checked_in_at)" in risk
     assert "LessThanOrEqual(storm_date,2001-08-01)" in risk
     assert "dynamicpruning" in plan(boards.storms_open(t)), "open storms prune the month partitions of clears"
+    assert "GreaterThanOrEqual(scheduled_start,2001-08-01), LessThan(scheduled_start,2001-08-02)" in plan(boards.clears_today(t, AS_OF_A))
+    assert "Or(GreaterThanOrEqual(checked_in_at,2001-07-02),And(IsNull(checked_in_at),GreaterThanOrEqual(scheduled_start,2001-07-02)))" in plan(activity.operator_activity(t, AS_OF_A))
     due = plan(payouts.payouts_due(t))
     assert "EqualTo(paid,0)" in due and "Window" not in due
 
