@@ -65,9 +65,10 @@ def outbox_swapped_shifts(t: OpsTables, as_of: datetime, swapped: DataFrame) ->
 
 def outbox_workers(operators: DataFrame) -> DataFrame:
     """One invitation per operator with an address and no worker id yet."""
-    return operators.where(F.col("ext_worker_id").isNull() & F.col("email").isNotNull()).select(
+    asked = operators.where(F.col("ext_worker_id").isNull() & F.col("email").isNotNull())
+    return asked.groupBy("email").agg(F.min("operator_id").alias("operator_id")).select(
         "operator_id", "email", keyed(WORKER_KEY, F.col("email")).alias("idempotency_key")
-    ).dropDuplicates(["email"])
+    )
 
 
 def leaks(t: OpsTables, requests: DataFrame, *texts: str) -> DataFrame:

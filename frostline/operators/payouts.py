@@ -12,6 +12,7 @@ from frostline.operators.billing import STORM_KEY, billable_facts, storm_facts,
 from frostline.operators.boards import flag
 from frostline.operators.defaults import fill_payout_amount, touch
 from frostline.operators.documents import as_rows
+from frostline.operators.transitions import latest
 from frostline.schemas import PAYOUTS, conform
 from frostline.sources.tables import OpsTables
 
@@ -86,6 +87,14 @@ def payout_run(t: OpsTables) -> DataFrame:
     return fill_payout_amount(fresh, t.operators, missing)
 
 
+def set_amounts(t: OpsTables, commands: DataFrame) -> DataFrame:
+    """The payouts table after ``commands(payout_id, new_amount)`` priced unpaid payouts that have no amount."""
+    orders = latest(commands, "payout_id")
+    open_price = F.col("amount").isNull() & (F.col("paid") == 0) & F.col("new_amount").isNotNull()
+    priced = F.when(open_price, F.col("new_amount")).otherwise(F.col("amount")).cast(t.payouts.schema["amount"].dataType)
+    return t.payouts.join(orders, "payout_id", "left").withColumn("amount", priced).select(*t.payouts.columns)
+
+
 def settle_payouts(t: OpsTables, operators: DataFrame, as_of: datetime) -> DataFrame:
     """The payouts table once everything unpaid of ``operators(operator_id)`` has been paid."""
     named = operators.select("operator_id").distinct().withColumn("_paid_now", F.lit(True))

@@ -184,6 +184,26 @@ def latest_open_storm(t: OpsTables) -> Column:
     return open_storms(t).agg(F.max(stamped)["storm_id"]).scalar()
 
 
+def adhoc_verdicts(t: OpsTables, requests: DataFrame) -> DataFrame:
+    """What becomes of every request: ``planned clear`` (use that one), ``already served`` (needs a new storm),
+    ``no open storm``, ``unknown site``, ``repeated`` (another request for the site counts) or ``inserted``."""
+    counted = latest(requests, "site_id").select(F.col("clear_id").alias("_counts"), F.col("site_id"))
+    planned = t.clears.where(_is_planned()).select("site_id").distinct().withColumn("_planned", F.lit(True))
+    storm = latest_open_storm(t)
+    served = taken_slots(t.clears).where(F.col("storm_id") == storm).select("site_id").distinct().withColumn("_served", F.lit(True))
+    known = t.sites.select("site_id").withColumn("_site", F.lit(True))
+    verdict = (
+        F.when(F.col("_site").isNull(), "unknown site")
+        .when(F.col("_planned"), "planned clear")
+        .when(storm.isNull(), "no open storm")
+        .when(F.col("_served"), "already served")
+        .when(F.col("clear_id") != F.col("_counts"), "repeated")
+        .otherwise("inserted")
+    )
+    judged = requests.join(counted, "site_id", "left").join(planned, "site_id", "left").join(served, "site_id", "left").join(known, "site_id", "left")
+    return judged.select("clear_id", "site_id", "operator_id", verdict.alias("verdict"))
+
+
 def adhoc_inserts(t: OpsTables, requests: DataFrame, minutes: int = 30) -> DataFrame:
     """Clears to insert for ``requests(clear_id, site_id, operator_id, at)``.
 
@@ -410,6 +430,8 @@ def append_sites(t: OpsTables, entries: DataFrame) -> DataFrame:
 
 def append_unique(table: DataFrame, entries: DataFrame, key: str, ident: str) -> DataFrame:
     """Judge new contracts or operators by a key that must be unique when it is present."""
+    if key not in entries.columns:
+        raise ValueError(f"entries lack {key}")
     first = entries.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(ident).alias("_first"))
     known = table.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_known", F.lit(True))
     verdict = (

@@ -162,6 +162,12 @@ def sites_merged(t: OpsTables) -> DataFrame:
     return transitions.merge_sites(t, lot)
 
 
+def new_operators(t: OpsTables) -> DataFrame:
+    """Every operator as if just hired: an address, no worker id; colleagues of one first name share an address."""
+    address = F.concat(F.lit("crew"), F.substring("operator_name", -1, 1), F.lit("@example.com"))
+    return t.operators.withColumns({"email": address, "ext_worker_id": F.lit(None).cast("long")})
+
+
 def payers(t: OpsTables) -> DataFrame:
     """Operators that are settled: everyone paid per clear."""
     return t.operators.where(F.col("payout_type") == "per_clear").select("operator_id")
@@ -283,6 +289,9 @@ def queries() -> dict[str, Query]:
         "payouts_settled": lambda t: payouts.settle_payouts(t, payers(t), a).select(
             "payout_id", "operator_id", "clear_id", "amount", "paid", "paid_date"
         ),
+        "payouts_amounts_set": lambda t: payouts.set_amounts(t, cmd.agreed_amounts(t)).select(
+            "payout_id", "operator_id", "clear_id", "amount", "paid"
+        ),
         "clears_paid_out": lambda t: _stamped(
             payouts.flag_paid_out(t, payers(t), AUDIT), "clear_id", "operator_id", "paid_out"
         ),
@@ -324,6 +333,7 @@ def queries() -> dict[str, Query]:
         # ad hoc
         "adhoc_candidates": lambda t: transitions.adhoc_candidates(t, "%RING%"),
         "adhoc_inserts": lambda t: transitions.adhoc_inserts(t, cmd.here_now(t, b)).select(*CLEAR_STATE, "is_adhoc"),
+        "adhoc_verdicts": lambda t: transitions.adhoc_verdicts(t, cmd.here_now(t, b)),
         # changes to clears
         "clears_with_results": clears_with_results,
         "clears_rescheduled": lambda t: _clear_state(transitions.reschedule(t, cmd.delay_ice(t), AUDIT)),
@@ -347,6 +357,10 @@ def queries() -> dict[str, Query]:
         ),
         "settings_upserted": settings_upserted,
         "dimension_appends": dimension_appends,
+        "contract_appends": lambda t: transitions.append_unique(
+            t.contracts, cmd.contract_entries(t), "billing_email", "contract_id"
+        ).select("contract_id", "contract_type", "billing_email", "verdict"),
+        "worker_invitations": lambda t: outbox.outbox_workers(new_operators(t)),
         "mileage_append": lambda t: transitions.append_trips(t, cmd.trips_to_log(t, a)).select(
             "trip_id", "clear_id", "trip_date", "miles", "to_label", "rate", "deduction"
         ),

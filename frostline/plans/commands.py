@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from frostline.functions.clock import day, iso_seconds, local_date, local_ts, ntz, plus_minutes
 from frostline.functions.settings import setting
 from frostline.operators import outbox
+from frostline.operators.billing import billable_facts
 from frostline.schemas import MONEY
 from frostline.sources.tables import OpsTables
 
@@ -91,6 +92,25 @@ def here_now(t: OpsTables, as_of: datetime) -> DataFrame:
     )
 
 
+def agreed_amounts(t: OpsTables) -> DataFrame:
+    """Operators without a split are paid what the clear bills; a first offer of half of it came before."""
+    bills = billable_facts(t.clears).select("clear_id", "billable_total")
+    open_rows = t.payouts.where(F.col("amount").isNull()).select("payout_id", "clear_id").join(bills, "clear_id")
+    offers = F.explode(F.array(
+        F.struct(F.lit(1).alias("seq"), (F.col("billable_total") / 2).cast(MONEY).alias("new_amount")),
+        F.struct(F.lit(2).alias("seq"), F.col("billable_total").cast(MONEY).alias("new_amount")),
+    ))
+    return open_rows.select("payout_id", offers.alias("o")).select("payout_id", "o.*")
+
+
+def contract_entries(t: OpsTables) -> DataFrame:
+    """Every contract entered again twice, under its own billing address and under a new one."""
+    twice = F.explode(F.array(F.lit(1_000_000_000), F.lit(2_000_000_000))).alias("base")
+    rows = t.contracts.select("contract_id", "contract_name", "contract_type", "billing_email", twice)
+    fresh = F.when(F.col("contract_type") == "hoa", F.concat(F.lit("new-"), "billing_email")).otherwise(F.col("billing_email"))
+    return rows.withColumns({"contract_id": F.col("base") + F.col("contract_id"), "billing_email": fresh}).drop("base")
+
+
 def location_answers(t: OpsTables, as_of: datetime) -> DataFrame:
     return outbox.outbox_locations(t, as_of).select(
         "idempotency_key", (F.col("site_id") + 500_000_000).alias("ext_id")

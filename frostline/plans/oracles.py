@@ -349,6 +349,9 @@ SELECT payout_id, operator_id, clear_id, {usd('amount_cents')} AS amount,
   CASE WHEN {_PER_CLEAR} THEN 1 ELSE paid END AS paid,
   CASE WHEN {_PER_CLEAR} AND paid = 0 THEN '2001-08-01' END AS paid_date
 FROM payouts""",
+    "payouts_amounts_set": f"""
+SELECT payout_id, p.operator_id, p.clear_id, {usd('CASE WHEN amount_cents IS NULL AND p.paid = 0 THEN bill_cents ELSE amount_cents END')} AS amount, p.paid
+FROM payouts p LEFT JOIN billed b ON b.clear_id = p.clear_id""",
     "clears_paid_out": f"""
 SELECT clear_id, operator_id, CASE WHEN hit THEN 1 ELSE paid_out END AS paid_out, CASE WHEN hit THEN 1 ELSE 0 END AS touched
 FROM (SELECT *, clear_id IN (SELECT clear_id FROM payouts WHERE paid = 1 AND {_PER_CLEAR}) AS hit FROM clears)""",
@@ -682,6 +685,22 @@ FROM waiting RIGHT JOIN found f ON waiting.site_id = f.site_id)""",
       AND site_id NOT IN (SELECT site_id FROM clears WHERE status = 'planned')
       AND site_id NOT IN (SELECT site_id FROM clears WHERE status <> 'cancelled' AND storm_id = {_LATEST_STORM})) si""",
     ) + ")",
+    "adhoc_verdicts": f"""
+SELECT -site_id AS clear_id, site_id, CAST(1 AS BIGINT) AS operator_id, CASE
+    WHEN site_id IN (SELECT site_id FROM clears WHERE status = 'planned') THEN 'planned clear'
+    WHEN {_LATEST_STORM} IS NULL THEN 'no open storm'
+    WHEN site_id IN (SELECT site_id FROM clears WHERE status <> 'cancelled' AND storm_id = {_LATEST_STORM}) THEN 'already served'
+    ELSE 'inserted' END AS verdict
+FROM sites WHERE surface = 'lot' AND ext_location_id IS NOT NULL""",
+    "contract_appends": """
+SELECT base + contract_id AS contract_id, contract_type,
+  CASE WHEN contract_type = 'hoa' THEN 'new-' ELSE '' END || billing_email AS billing_email,
+  CASE WHEN contract_type <> 'hoa' THEN 'known key' WHEN base = 1000000000 THEN 'accepted' ELSE 'repeated in batch' END AS verdict
+FROM contracts CROSS JOIN (VALUES (1000000000), (2000000000)) AS two(base)""",
+    "worker_invitations": """
+SELECT min(operator_id) AS operator_id, 'crew' || right(operator_name, 1) || '@example.com' AS email,
+  'worker-crew' || right(operator_name, 1) || '@example.com' AS idempotency_key
+FROM operators GROUP BY right(operator_name, 1)""",
     "clears_rescheduled": _changed(
         "storm_type = 'ice'", scheduled_start="strftime(start_at + INTERVAL 30 MINUTE, '%Y-%m-%dT%H:%M')"
     ),
