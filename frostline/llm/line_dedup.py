@@ -4,9 +4,10 @@ Method: equal lines are collapsed first. Each distinct line is split into ``edit
 within the threshold, one segment of the shorter one is untouched and stands in the longer one near its old place. So
 the index holds every segment under (length of the line, number of the segment, its text), and a line probes, for each
 length from its own down to ``edits`` less and each segment, the few substrings that the multi-match-aware bounds allow.
-Segments and substrings travel as 64-bit hashes beside the line's own number. Lines that meet are verified: first by
-comparing which characters they hold, inside the join, so that a segment that many lines share yields no pairs but
-those that can be near; then by a banded bit-parallel edit distance on the texts.
+Segments and substrings travel as packed hashes beside the line's number, to ranges of hashes that keep those which
+several lines share; only these are joined. Lines that meet are verified: first by comparing which characters they hold,
+inside the join, so that a segment that many lines share yields no pairs but those that can be near; then by a banded
+bit-parallel edit distance on the texts.
 
 A line is removed if an equal line or a line within the threshold stands earlier, in order of document key, then place.
 Lines under ``min_chars`` code points are never duplicates of anything and stay.
@@ -22,56 +23,136 @@ given once and written down. Extra columns are kept. An empty table gives an emp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.common import free_name, named, stored
+from frostline.llm.common import bucketed, free_name, named, stored
 
 
 #: Characters whose counts are compared before texts are.
 COUNTED = "aeioubcdfghlmnprstvwy0123456789"
 
 
-def segment_bounds(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of each segment of an even split; the last segments are longer by one."""
-    short = F.floor(length / (edits + 1)).cast("int")
-    longer = length % (edits + 1)
-    sizes = [short + (F.lit(i) >= F.lit(edits + 1) - longer).cast("int") for i in range(edits + 1)]
-    starts = [F.lit(1)]
-    for size in sizes[:-1]:
-        starts.append(starts[-1] + size)
-    return list(zip(starts, sizes))
+#: Ranges for each shuffle partition: what a task holds at once is one range.
+RANGES = 4
+#: A mark in its range: 40 bits of its hash, and the line's place in its chunk.
+ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("at", "<u2")])
+#: A line's number is its chunk's number times this, plus its place.
+CHUNK = 1 << 16
 
 
-def signature(length: Column, number: int, piece: Column) -> Column:
-    return F.xxhash64(length, F.lit(number), piece)
+@cache
+def segments(length: int, edits: int) -> list[tuple[int, int]]:
+    """Start and end of each segment of an even split; the last segments are longer by one."""
+    short, longer = divmod(length, edits + 1)
+    ends = np.cumsum([short + (i >= edits + 1 - longer) for i in range(edits + 1)]).tolist()
+    return list(zip([0, *ends], ends))
 
 
-def index_entries(lines: DataFrame, edits: int) -> DataFrame:
-    """``(mark, a, held_a)``: one row per segment of every line ``(line, text, held)``."""
-    n = F.length("text")
-    marks = [signature(n, i, F.substring(F.col("text"), s, k)) for i, (s, k) in enumerate(segment_bounds(n, edits))]
-    return lines.select(F.explode(F.array(*marks)).alias("mark"), F.col("line").alias("a"), F.col("held").alias("held_a"))
-
-
-def probe_entries(lines: DataFrame, edits: int) -> DataFrame:
-    """``(mark, b, held_b)``: one row per substring that may be a segment of a line as long or up to ``edits`` shorter.
+@cache
+def probes(length: int, edits: int) -> list[tuple[int, int, int]]:
+    """``(start, end, seed)`` of the substrings of a line that may be a segment of a line as long or up to ``edits``
+    shorter, its own segments left out.
 
     Seen from the left at most ``i`` edits stand before segment ``i``, seen from the right at most ``edits - i`` after
     it; together they bound how far it can have moved.
     """
-    n = F.length("text")
     found = []
-    for less in range(edits + 1):
-        for i, (start, size) in enumerate(segment_bounds(n - less, edits)):
+    for less in range(min(edits, length) + 1):
+        for i, (start, end) in enumerate(segments(length - less, edits)):
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                at = start + shift
-                fits = (at >= 1) & (at + size - 1 <= n)
-                found.append(F.when(fits, signature(n - less, i, F.substring(F.col("text"), at, size))))
-    marks = F.explode(F.array_distinct(F.array_compact(F.array(*found))))
-    return lines.select(marks.alias("mark"), F.col("line").alias("b"), F.col("held").alias("held_b"))
+                if (less or shift) and start + shift >= 0 and end + shift <= length:
+                    found.append((start + shift, end + shift, (length - less) * (edits + 1) + i))
+    return found
+
+
+def marks_of(text: str, edits: int) -> tuple[list[int], list[int]]:
+    """Hashes of the segments of a line, under its length and their number, and of what it probes."""
+    n = len(text)
+    own = [xxhash.xxh64_intdigest(text[a:b].encode(), n * (edits + 1) + i) for i, (a, b) in enumerate(segments(n, edits))]
+    return own, [xxhash.xxh64_intdigest(text[a:b].encode(), seed) for a, b, seed in probes(n, edits)]
+
+
+def chunked(lines: DataFrame) -> DataFrame:
+    """``(chunk, texts, firsts)``: distinct lines ``(text, first)``, one row for each Arrow batch, numbered once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 20
+        for batch in batches:
+            for a in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(a, CHUNK)
+                whole = pa.array([0, part.num_rows], pa.int32())
+                columns = [pa.ListArray.from_arrays(whole, pa.concat_arrays([c])) for c in part.columns]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns], ["chunk", "texts", "firsts"])
+                number += 1
+
+    first = lines.schema["first"].dataType.simpleString()
+    return bucketed(lines.select("text", "first").mapInArrow(run, f"chunk long, texts array<string>, firsts array<{first}>"), "chunk", "lines")
+
+
+def marked(chunks: DataFrame, edits: int, n: int) -> DataFrame:
+    """``(range, chunk, own, probed)``: the marks of the lines of each chunk, packed, by range of hash."""
+
+    def packed(marks: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Entries in order of range, and the range of each."""
+        flat = np.fromiter(chain.from_iterable(marks), np.uint64)
+        rows = np.zeros(len(flat), ENTRY)
+        rows["low"], rows["high"] = flat & np.uint64(0xFFFFFFFF), (flat >> np.uint64(32)) & np.uint64(0xFF)
+        rows["at"] = np.repeat(np.arange(len(marks)), [len(m) for m in marks])
+        where = ((flat >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)
+        order = np.argsort(where, kind="stable")
+        return rows[order], where[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = [marks_of(t, edits) for t in texts.as_py()]
+                (own, own_range), (probed, probed_range) = packed([f[0] for f in found]), packed([f[1] for f in found])
+                every = np.arange(n + 1, dtype=np.uint64)
+                x, y = np.searchsorted(own_range, every), np.searchsorted(probed_range, every)
+                used = np.flatnonzero((np.diff(x) > 0) | (np.diff(y) > 0)).tolist()
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(used, pa.int32()), pa.array([chunk] * len(used), pa.int64()),
+                    pa.array([own[x[r] : x[r + 1]].tobytes() for r in used], pa.binary()),
+                    pa.array([probed[y[r] : y[r + 1]].tobytes() for r in used], pa.binary()),
+                ], ["range", "chunk", "own", "probed"])
+
+    return chunks.select("chunk", "texts").mapInArrow(run, "range int, chunk long, own binary, probed binary")
+
+
+def shared_marks(marks: DataFrame) -> DataFrame:
+    """``(mark, line, own)``: the marks that more than one line has, as a segment of at least one. Most lines share none
+    and are out after this."""
+
+    def opened(group: pd.DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
+        rows = [np.frombuffer(b, ENTRY) for b in group[name]]
+        flat = np.concatenate(rows)
+        lines = np.repeat(group["chunk"].to_numpy() * CHUNK, [len(r) for r in rows]) + flat["at"]
+        return flat["low"].astype(np.int64) | (flat["high"].astype(np.int64) << 32), lines
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        own, own_line = opened(group, "own")
+        probed, probed_line = opened(group, "probed")
+        found, count = np.unique(own, return_counts=True)
+        asked = np.isin(found, probed)
+        again = found[(count > 1) | asked]
+        keep, ask = np.isin(own, again), np.isin(probed, again)
+        mark = np.concatenate([own[keep], probed[ask]])
+        # The range is part of a mark.
+        return pd.DataFrame({
+            "mark": mark | (np.int64(group["range"].iloc[0]) << 40), "line": np.concatenate([own_line[keep], probed_line[ask]]),
+            "own": np.arange(len(mark)) < keep.sum(),
+        }) if len(mark) else pd.DataFrame({"mark": [], "line": [], "own": []}).astype({"mark": "int64", "line": "int64", "own": bool})
+
+    return marks.groupBy("range").applyInPandas(meet, "mark long, line long, own boolean")
 
 
 def held_characters(text: Column) -> Column:
@@ -132,10 +213,26 @@ def shared(a: str, b: str) -> int:
     return low
 
 
-def near_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """``line`` of every line of ``(line, text, held, first)`` that has one before it within ``edits`` edits."""
+def lines_at(chunks: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``(line, text, first)`` of the numbered lines; only their numbers move to the chunks."""
+    places = numbers.select(F.floor(F.col("line") / CHUNK).alias("chunk"), (F.col("line") % CHUNK).cast("int").alias("at"))
+    wanted = places.groupBy("chunk").agg(F.collect_set("at").alias("places"))
+    found = F.transform("places", lambda i: F.struct(
+        (F.col("chunk") * CHUNK + i).alias("line"), F.get("texts", i).alias("text"), F.get("firsts", i).alias("first")))
+    return chunks.join(wanted, "chunk").select(F.explode(found).alias("x")).select("x.*")
+
+
+def near_lines(chunks: DataFrame, edits: int) -> DataFrame:
+    """``line`` of every line of the chunks that has one before it within ``edits`` edits."""
+    n = RANGES * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    common = stored(shared_marks(marked(chunks, edits, n)), "marks").distinct()
+    lines = lines_at(chunks, common.select("line").distinct())
+    lines = stored(lines.select("line", "text", "first", held_characters(F.col("text")).alias("held")), "candidates")
+    common = common.join(lines.select("line", "held"), "line")
+    left = common.where("own").select("mark", F.col("line").alias("a"), F.col("held").alias("held_a"))
+    right = common.select("mark", F.col("line").alias("b"), F.col("held").alias("held_b"))
     likely = F.bit_count(F.col("held_a").bitwiseXOR(F.col("held_b"))) <= 2 * edits
-    met = index_entries(lines, edits).join(probe_entries(lines, edits), "mark").where((F.col("a") != F.col("b")) & likely)
+    met = left.join(right, "mark").where((F.col("a") != F.col("b")) & likely)
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda x: lines.select(F.col("line").alias(x), F.col("text").alias(f"text_{x}"), F.col("first").alias(f"first_{x}"))
     later = F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b"))
@@ -154,10 +251,10 @@ def kept_places(docs: DataFrame, row: str, key: str, text: str, edits: int, min_
     lines = docs.select(named(row).alias("row"), named(key).alias("key"), F.posexplode(F.split(named(text), "\n")).alias("place", "text"))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row", "place")).alias("first")
     distinct = lines.where(F.length("text") >= min_chars).groupBy("text").agg(first)
-    distinct = stored(
-        distinct.select(F.monotonically_increasing_id().alias("line"), "text", held_characters(F.col("text")).alias("held"), "first"), "lines"
-    )
-    stay = distinct.select("line", "first").join(near_lines(distinct, edits), "line", "left_anti")
+    chunks = chunked(distinct)
+    number = (F.col("chunk") * CHUNK + F.col("at")).alias("line")
+    every = chunks.select("chunk", F.posexplode("firsts").alias("at", "first")).select(number, "first")
+    stay = every.join(near_lines(chunks, edits), "line", "left_anti")
     return stay.groupBy(F.col("first.row").alias("row")).agg(F.sort_array(F.collect_list("first.place")).alias("places"))
 
 
