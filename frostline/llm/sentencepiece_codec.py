@@ -39,7 +39,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters given to the library at once; bounds the memory of its results.
 BATCH_CHARS = 1_000_000
 #: Different segments a task remembers.
-KNOWN = 300_000
+KNOWN = 1_000_000
+#: Threads of the library in each task.
+THREADS = 2
 
 
 def _number(data: bytes, at: int) -> tuple[int, int]:
@@ -131,14 +133,16 @@ def backend(data: bytes) -> Tokenizer:
 class Codec:
     """Encodes batches of texts; remembers the segments met so far, as far as memory is set aside for it."""
 
-    def __init__(self, data: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+    def __init__(self, data: bytes, threads: int = THREADS):
+        # Read by the library when its threads start, which is with the first batch of this process.
+        os.environ |= {"TOKENIZERS_PARALLELISM": "true", "RAYON_NUM_THREADS": str(threads)}
         self.ours, self.model = backend(data), Model(data)
         self.theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
         inside = any(re.search(f"[^{MARK}]{MARK}", p) for p, _, _ in self.model.pieces)
         self.cuts = self.model.escapes and self.model.prefix and not (inside or self.model.trims or self.model.charsmap)
         self.segment = re.compile(f"{MARK}+[^{MARK}]*")
-        self.known: dict[str, list[int]] = {}
+        #: Segment -> its ids, as bytes.
+        self.known: dict[str, bytes] = {}
         #: Segments whose tokens differ from the other library's, or that decode to something else.
         self.differ: set[str] = set()
         self.lost: set[str] = set()
@@ -147,17 +151,22 @@ class Codec:
         text = text.replace(MARK, " ") if self.model.escapes else text
         return re.sub(" {2,}", " ", text).strip(" ") if self.model.trims else text
 
-    def _learn(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool | None]]:
+    def _learn(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool | None]]:
         """Ids, parity and round trip of whole texts. With a character map there is no plain text to compare with."""
         made = [e.ids for e in self.ours.encode_batch_fast(texts, add_special_tokens=False)]
-        back = self.ours.decode_batch(made, skip_special_tokens=False)
         same = [m == n for m, n in zip(made, self.theirs.encode(texts, num_threads=1))]
-        return made, same, [None if self.model.charsmap else b == self._plain(t) for b, t in zip(back, texts)]
+        flat = np.fromiter(chain.from_iterable(made), "<i4").tobytes()
+        ends = np.cumsum([4 * len(m) for m in made]).tolist()
+        ids = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        if self.model.charsmap:
+            return ids, same, [None] * len(texts)
+        back = self.ours.decode_batch(made, skip_special_tokens=False)
+        return ids, same, [b == p for b, p in zip(back, map(self._plain, texts))]
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool | None]]:
         if not self.cuts:
             made, same, back = self._learn(texts)
-            return [np.array(m, "<i4") for m in made], same, back
+            return [np.frombuffer(m, "<i4") for m in made], same, back
         cut = [self.segment.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         every = set().union(*cut)
         if len(self.known) + len(every) > KNOWN:
@@ -170,14 +179,15 @@ class Codec:
         self.lost.update(s for s, ok in zip(fresh, back) if not ok)
         if MARK in every:
             self._learn_marker()
-        ids = [np.fromiter(chain.from_iterable(map(self.known.__getitem__, c)), "<i4") for c in cut]
+        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, c)), "<i4") for c in cut]
         return ids, [self.differ.isdisjoint(c) for c in cut], [self.lost.isdisjoint(c) for c in cut]
 
     def _learn_marker(self) -> None:
         """The tokens of a marker followed by nothing: what a text ending in a letter gains by a space at its end."""
         ours = lambda t: self.ours.encode(t, add_special_tokens=False).ids
-        self.known[MARK] = ours("a ")[len(ours("a")) :]
-        if self.known[MARK] != self.theirs.encode("a ")[len(self.theirs.encode("a")) :]:
+        gain = ours("a ")[len(ours("a")) :]
+        self.known[MARK] = np.array(gain, "<i4").tobytes()
+        if gain != self.theirs.encode("a ")[len(self.theirs.encode("a")) :]:
             self.differ.add(MARK)
         if self.ours.decode(ours("a "), skip_special_tokens=False) != "a ":
             self.lost.add(MARK)
