@@ -8,8 +8,8 @@ exact to floating point, and the byte at any place costs what its last ``ORDER +
 to one table per order with the cost of every byte sequence any language has seen, escapes included, and texts are
 coded by looking up all their places at once.
 
-Bounds: each language learns from at most ``per_language`` whole texts of at most ``max_chars`` characters (those first
-by a hash of the key); ``max_languages`` is the most languages there can be. Counting is distributed; what comes to the
+Bounds: each language learns from about ``per_language`` whole texts of at most ``max_chars`` characters (a share of its
+keys by hash, all of them if there are fewer); ``max_languages`` is the most languages there can be. Counting is distributed; what comes to the
 driver is at most the sequences of that sample.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing was learned. Equal code
@@ -163,15 +163,17 @@ class Model:
 def learn(docs: DataFrame, key: str, text: str, language: str, per_language: int = 300, max_chars: int = 20_000, max_languages: int = 256) -> Model | None:
     rows = docs.select(named(key).alias("key"), named(text).alias("text"), named(language).alias("lang"))
     rows = rows.where(~held_out(F.col("key")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= max_chars))
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(max_languages + 1).collect())
-    if not languages:
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_languages + 1).collect()}
+    if not sizes:
         return None
-    if len(languages) > max_languages:
+    if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    sample = None
-    for lang in languages:
-        own = rows.where(F.col("lang") == lang).orderBy(F.xxhash64("key"), "text").limit(per_language).select("lang", "text")
-        sample = own if sample is None else sample.union(own)
+    languages = sorted(sizes)
+    # Each language's share of its keys, by hash: the sample never passes through one task.
+    limit = F.lit(0)
+    for lang, n in sizes.items():
+        limit = F.when(F.col("lang") == lang, int(min(1.0, per_language / n) * (1 << 30))).otherwise(limit)
+    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < limit).select("lang", "text")
     seen: dict[str, dict[int, dict[int, int]]] = {x: {n: {} for n in range(1, ORDER + 2)} for x in languages}
     for r in counts(sample).toLocalIterator():
         seen[r["lang"]][r["length"]][r["sequence"]] = r["n"]
