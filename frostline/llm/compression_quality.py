@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.common import named
+from frostline.llm.common import named, stored
 
 
 @dataclass(frozen=True)
@@ -41,16 +41,6 @@ class Training:
     reach: float = 0.2
 
 
-@dataclass(frozen=True)
-class Model:
-    """Both dictionaries (None: nothing was learned) and the curve ``1 / (1 + exp(-(slope * evidence + bias)))``."""
-
-    good: bytes | None
-    bad: bytes | None
-    slope: float = 0.0
-    bias: float = 0.0
-
-
 def held_out(key: Column) -> Column:
     """Rows that are never learned from: crc32 of the key as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -59,7 +49,7 @@ def held_out(key: Column) -> Column:
 class Evidence:
     """Compressed-size difference per byte; made once for a task."""
 
-    def __init__(self, model: Model, training: Training):
+    def __init__(self, good: bytes, bad: bytes, training: Training):
         shape = zstandard.ZstdCompressionParameters.from_level(
             training.level, write_content_size=False, write_checksum=False, write_dict_id=False
         )
@@ -69,7 +59,7 @@ class Evidence:
             known.precompute_compress(compression_params=shape)
             return zstandard.ZstdCompressor(dict_data=known, compression_params=shape)
 
-        self.good, self.bad, self.block = packer(model.good), packer(model.bad), training.block_bytes
+        self.good, self.bad, self.block = packer(good), packer(bad), training.block_bytes
 
     def __call__(self, text: str) -> float:
         data = text.encode()
@@ -78,40 +68,50 @@ class Evidence:
         return gain / max(1, len(data))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    """``(key, text, good)`` of the rows that may be learned from."""
+def labels_of(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """``(key, good)``: one row per key that may be learned from."""
     marks = labels.where(named(label).isNotNull()).groupBy(named(key).alias("key")).agg(F.min(named(label)).alias("good"))
-    rows = docs.select(named(key).alias("key"), named(text).alias("text")).where("text is not null and text != ''")
-    return rows.where(~held_out(F.col("key"))).join(marks, "key")
+    return marks.where(F.col("key").isNotNull() & ~held_out(F.col("key")))
 
 
-def train(known: DataFrame, training: Training = Training()) -> Model:
-    half = F.pmod(F.xxhash64("key", F.lit("dictionary")), F.lit(2))
-    short = known.where((half == 0) & (F.length("text") <= training.max_chars))
-    # The bounded sample, a third of the bound or more for either class where it exists.
-    samples = {}
-    for good in (0, 1):
-        rows = short.where(F.col("good") == good).orderBy(F.xxhash64("key"), "text").select("text").limit(training.per_class).collect()
-        samples[good] = [r["text"].encode() for r in rows]
-    if min(map(len, samples.values())) < 8:
-        return Model(None, None)
+def in_dictionary(key: Column) -> Column:
+    """Half of the labelled keys may make the dictionaries, the other half the curve."""
+    return F.pmod(F.xxhash64(key, F.lit("dictionary")), F.lit(2)) == 0
 
-    def dictionary(texts: list[bytes]) -> bytes:
-        blocks = [t[i : i + training.block_bytes] for t in texts for i in range(0, len(t), training.block_bytes)]
+
+def dictionaries(rows: DataFrame, marks: DataFrame, training: Training) -> tuple[bytes, bytes] | None:
+    """Good and bad dictionary. Keys are drawn first, beside nothing but lengths; only the texts drawn are then read."""
+    sizes = rows.where(F.length("text").between(1, training.max_chars)).select("key").distinct()
+    known = marks.where(in_dictionary(F.col("key"))).join(sizes, "key")
+    texts = {}
+    for good in (0, 1):
+        keys = known.where(F.col("good") == good).orderBy(F.xxhash64("key"), "key").select("key").limit(training.per_class)
+        drawn = [r["key"] for r in keys.collect()]
+        if len(drawn) < 8:
+            return None
+        own = rows.where(F.col("key").isin(drawn) & F.length("text").between(1, training.max_chars))
+        texts[good] = [r["text"].encode() for r in own.orderBy(F.xxhash64("key"), "key", "text").select("text").limit(training.per_class).collect()]
+
+    def dictionary(held: list[bytes]) -> bytes:
+        blocks = [t[i : i + training.block_bytes] for t in held for i in range(0, len(t), training.block_bytes)]
         return zstandard.train_dictionary(training.dictionary_bytes, blocks).as_bytes()
 
     try:
-        model = Model(dictionary(samples[1]), dictionary(samples[0]))
+        return dictionary(texts[1]), dictionary(texts[0])
     except zstandard.ZstdError:  # too little text to make a dictionary
-        return Model(None, None)
+        return None
+
+
+def calibrated(measured: DataFrame, marks: DataFrame, training: Training) -> tuple[float, float]:
+    """Slope and bias, from the evidence of all labelled texts that are not the dictionaries'."""
     width = 2 * training.reach / training.bins
-    rest = evidence(known.where(half == 1).select("key", "text", "good"), model, training)
     bin_ = F.least(F.greatest(F.floor((F.col("evidence") + training.reach) / width), F.lit(0)), F.lit(training.bins - 1))
+    rest = measured.where(~F.col("empty")).join(marks.where(~in_dictionary(F.col("key"))), "key")
     counts = rest.groupBy(bin_.alias("bin"), "good").count().collect()
     x = np.array([(r["bin"] + 0.5) * width - training.reach for r in counts])
     y = np.array([float(r["good"]) for r in counts])
     n = np.array([float(r["count"]) for r in counts])
-    return Model(model.good, model.bad, *curve(x, y, n))
+    return curve(x, y, n)
 
 
 def curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -133,33 +133,36 @@ def curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / scale), float(beta[1])
 
 
-def evidence(rows: DataFrame, model: Model, training: Training) -> DataFrame:
-    """``rows (key, text, ...)`` with ``evidence`` in place of the text."""
-    names = [c for c in rows.columns if c != "text"]
-    schema = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in names] + ["evidence double"])
+def evidence(rows: DataFrame, good: bytes, bad: bytes, training: Training) -> DataFrame:
+    """``(key, empty, evidence)`` of ``rows (key, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = Evidence(model, training)
+        measure = Evidence(good, bad, training)
         for batch in batches:
-            values = [measure(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(values, pa.float64())], [*names, "evidence"])
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            columns = [batch.column(0), pa.array([not t for t in texts], pa.bool_()), pa.array(map(measure, texts), pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "empty", "evidence"])
 
-    return rows.mapInArrow(run, schema)
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(run, f"key {kind}, empty boolean, evidence double")
 
 
 def score(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
     training: Training = Training(),
 ) -> DataFrame:
-    """One row per document: key, ``held_out``, ``score``, ``predicted``."""
-    model = train(labelled(docs, labels, key, text, label), training)
+    """One row per document: key, ``held_out``, ``score``, ``predicted``. Texts are compressed once and never shuffled."""
     rows = docs.select(named(key).alias("key"), named(text).alias("text"))
-    if model.good is None:
-        scored = rows.select("key", F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0.0).otherwise(0.5).alias("score"))
+    marks = labels_of(labels, key, label)
+    learned = dictionaries(rows, marks, training)
+    if learned is None:
+        empty = F.coalesce(F.length("text"), F.lit(0)) == 0
+        scored = rows.select("key", F.when(empty, 0.0).otherwise(0.5).alias("score"))
     else:
-        filled = rows.withColumn("empty", F.coalesce(F.length("text"), F.lit(0)) == 0)
-        z = F.col("evidence") * model.slope + model.bias
-        scored = evidence(filled, model, training).select("key", F.when(F.col("empty"), 0.0).otherwise(1 / (1 + F.exp(-z))).alias("score"))
+        measured = stored(evidence(rows, *learned, training), "evidence")
+        slope, bias = calibrated(measured, marks, training)
+        z = F.col("evidence") * slope + bias
+        scored = measured.select("key", F.when(F.col("empty"), 0.0).otherwise(1 / (1 + F.exp(-z))).alias("score"))
     return scored.select(
         F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
