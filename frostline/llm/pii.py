@@ -2,11 +2,15 @@
 
 Method: generators with high recall propose spans that may overlap: the base patterns of the four kinds, and wider ones
 (addresses written with "at" and "dot", numbers with other separators, single groups of a longer run of digits, numbers
-without a country code). Gradient-boosted trees judge a candidate by its format (digits, letters, separators, checksum,
-parts) and its context (what stands before and after). They learn from the candidates that are base matches, whose
-rule says whether they hold personal data, and score the rest. A threshold for each kind is calibrated on base
-candidates that the trees have not seen: the lowest at which precision reaches ``Settings.precision``. Base spans always
-stay; a scored candidate is added if it reaches its threshold, overlaps no base span, and no better candidate overlaps it.
+without a country code). A candidate is judged twice, by views that share nothing: the rule of its kind judges its
+characters (digits, checksum, parts), gradient-boosted trees judge its context (what stands before and after). The trees
+learn from base matches, in what contexts the rule accepts; nothing that the rule looks at is a feature. A base match
+that the rule accepts is a labelled one, one that it refuses is not labelled rather than wrong: a context in which the
+rule accepts a share ``g`` is right with ``g / c``, ``c`` being the mean of ``g`` over accepted matches. A threshold for
+each kind is calibrated on base matches that the trees have not seen: the lowest whose contexts at or above it are right
+with ``Settings.precision`` together, and those of its bin by half. Base spans always stay; another candidate is added if
+its rule accepts it, its context reaches the threshold, it overlaps no base span, and no better candidate overlaps it.
+Where contexts tell nothing (one share in all of them) the rule decides alone.
 
 Only DataFrame functions and Spark's own tree learner are used. Positions come from splitting a text at its matches:
 the lengths of gaps and matches, summed in order. Only texts with matches leave the scan, without their text. Training
@@ -104,8 +108,10 @@ def candidates(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     each = rows.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.gen", "f.n", "f.m.*")
     up_to = Window.partitionBy("row", "gen").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("hit")).over(up_to)
+    # Spans of a run, with nothing but separators between them, stand in the context of its first.
+    lead = F.last(F.when(~F.col("before").rlike(r"^[\x20,;/|]{1,3}$"), F.col("before")), ignorenulls=True).over(up_to)
     kind = F.element_at(F.array(*[F.lit(k) for _, k, _, _ in generators()]), F.col("gen") + 1)
-    spans = each.withColumn("end", end).select(
+    spans = each.withColumns({"end": end, "before": F.coalesce(lead, "before")}).select(
         "row", "gen", kind.alias("kind"), (F.col("gen") < len(KINDS)).alias("base"),
         (F.col("end") - F.length("hit")).alias("start"), "end", "before", "hit", "after",
     )
@@ -131,7 +137,8 @@ def luhn(digits: Column) -> Column:
 
 
 def with_formats(spans: DataFrame) -> DataFrame:
-    """Adds ``digits``, and ``valid``: what the rule of the kind says of the span once separators are made plain."""
+    """Adds ``rule``: what the rule of the kind says of the span once separators are made plain, and ``valid``: whether it
+    counts if it is a base match, as addresses do without a rule."""
     hit = F.col("hit")
     digits = F.regexp_replace(hit, "[^0-9]", "")
     n = F.length("digits")
@@ -139,25 +146,20 @@ def with_formats(spans: DataFrame) -> DataFrame:
     small = F.forall(parts, lambda p: (F.length(p) <= 3) & (F.coalesce(F.try_to_number(F.lpad(p, 3, "0"), F.lit("999")), F.lit(0)) <= 255))
     plain = F.regexp_replace(F.regexp_replace(hit, AT, "@"), DOT, ".")
     return spans.withColumn("digits", digits).withColumn(
-        "valid",
-        F.when(F.col("kind") == "email", plain.rlike(rf"^{LOCAL}+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z][A-Za-z0-9-]+$") | F.col("base"))
+        "rule",
+        F.when(F.col("kind") == "email", plain.rlike(rf"^{LOCAL}+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z][A-Za-z0-9-]+$"))
         .when(F.col("kind") == "ip", (F.size(parts) == 4) & small)
         .when(F.col("kind") == "card", n.between(13, 19) & F.when(n.between(13, 19), luhn(F.col("digits"))).otherwise(F.lit(False)))
         .otherwise(n.between(9, 15)),
-    )
+    ).withColumn("valid", F.col("rule") | (F.col("base") & (F.col("kind") == "email"))).drop("digits")
 
 
 def with_features(spans: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Adds one double column per feature; their names are returned."""
-    hit, n = F.col("hit"), F.length("hit")
-    count = lambda p: F.regexp_count(hit, F.lit(p))
+    """Adds one double column per feature, the kind and what the context says; their names are returned. The characters
+    of the span are left out: the rule that labels is a function of them."""
     last, first = F.right("before", F.lit(1)), F.left("after", F.lit(1))
     made = {f"f_kind_{k}": F.col("kind") == k for k in KINDS}
     made |= {
-        "f_length": n, "f_digits": F.length("digits"), "f_letters": count("[A-Za-z]"), "f_groups": count("[0-9]+"),
-        "f_longest": F.array_max(F.transform(F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0)), F.length)),
-        "f_seps": count(r"[\x20./_()\[\]-]"), "f_valid": F.col("valid"), "f_plus": hit.startswith("+"),
-        "f_kinds_of_digit": F.size(F.array_distinct(F.split("digits", ""))),
         "f_word_before": last.rlike(r"[\p{L}0-9]"), "f_word_after": first.rlike(r"[\p{L}0-9]"),
         "f_quote_before": last.rlike("[\"'=]"), "f_stop_after": first.rlike("[.,;:!?]"),
         "f_digits_near": F.regexp_count(F.concat("before", "after"), F.lit("[0-9]")),
@@ -168,10 +170,10 @@ def with_features(spans: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def scored(spans: DataFrame, settings: Settings) -> DataFrame | None:
-    """Spans that are not base matches, with ``score`` and the ``threshold`` of their kind; None if nothing was learned."""
+    """Spans that are not base matches and whose rule holds, with ``score`` and the ``threshold`` of their kind; None if nothing was learned."""
     featured, names = with_features(spans)
     featured = stored(VectorAssembler(inputCols=names, outputCol="features").transform(featured).drop(*names), "features")
-    label = F.col("valid").cast("double")
+    label = F.col("rule").cast("double")
     known = featured.where("base").withColumn("label", label)
     part = F.pmod(F.xxhash64("hit", "before"), F.lit(1 << 20))
     sizes = {r["label"]: r["count"] for r in known.where(part % 2 == 0).groupBy("label").count().collect()}
@@ -189,13 +191,16 @@ def scored(spans: DataFrame, settings: Settings) -> DataFrame | None:
     counts = judge(known.where(part % 2 == 1)).groupBy("kind", bin_.alias("bin")).agg(F.sum("label").alias("right"), F.count("*").alias("n")).collect()
     levels = {}
     for kind in KINDS:
+        own = sorted((r for r in counts if r["kind"] == kind), key=lambda r: -r["bin"])
+        accepted = sum(r["right"] for r in own)
+        labelled = sum(r["right"] ** 2 / r["n"] for r in own) / accepted if accepted else 1.0
         right = n = 0
-        for r in sorted((r for r in counts if r["kind"] == kind), key=lambda r: -r["bin"]):
+        for r in own:
             right, n = right + r["right"], n + r["n"]
-            if right >= settings.precision * n:
+            if right >= settings.precision * labelled * n and r["right"] >= 0.5 * labelled * r["n"]:
                 levels[kind] = r["bin"] / settings.bins
     threshold = reduce(lambda c, k: F.when(F.col("kind") == k, levels[k]).otherwise(c), levels, F.lit(2.0))
-    return judge(featured.where("not base")).select("row", "kind", "start", "end", "score", threshold.alias("threshold"))
+    return judge(featured.where("not base and rule")).select("row", "kind", "start", "end", "score", threshold.alias("threshold"))
 
 
 def additions(base: DataFrame, judged: DataFrame) -> DataFrame:

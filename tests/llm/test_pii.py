@@ -67,6 +67,27 @@ def test_the_trees_add_written_out_addresses_and_single_numbers(frame):
     assert got[5000] in ("email:9:41", "") and got[5002] == ""
 
 
+def test_the_context_decides_between_equal_candidates(frame):
+    pairs = [(i, f"you may call me on +1 555 {1000 + i} 444 any day") for i in range(200)]
+    pairs += [(300 + i, f"the build id=+1 {i} was made") for i in range(200)]
+    pairs += [(600 + i, f"please write to person{i}@mail{i}.example.org soon") for i in range(200)]
+    pairs += [(900 + i, f"the build id=pack{i}@1.{i}.7 was made") for i in range(200)]
+    asked = {5000: "you may call me on (555) 555-1234 any day", 5001: "the build id=(555) 555-1234 was made",
+             5002: "please write to jane (at) mail.example (dot) org soon", 5003: "the build id=jane (at) mail.example (dot) org was made"}
+    pairs += asked.items()
+    got = {r["doc_id"]: r["spans"] for r in same(pii.find(frame(pairs)), pairs)}
+    assert [got[k] for k in asked] == ["phone:19:33", "", "email:16:48", ""]
+
+
+def test_no_feature_tells_what_the_rule_says(frame):
+    """Two spans in one context, of which the rule accepts one, have the same features."""
+    pairs = [(1, "at 4111111111111111 now"), (2, "at 4111111111111112 now"), (3, "at 12 now")]
+    spans = pii.with_formats(pii.candidates(frame(pairs), "doc_id", "text")[1]).where("base")
+    full, names = pii.with_features(spans)
+    rows = full.collect()
+    assert {r["rule"] for r in rows} == {True, False} and len({tuple(r[n] for n in names) for r in rows}) == 1
+
+
 def test_plan_has_no_python(frame):
     rows, spans = pii.candidates(frame(ODD), "doc_id", "text")
     plan = pii.with_features(pii.with_formats(spans))[0]._jdf.queryExecution().toString()
