@@ -2,13 +2,14 @@
 
 Method: a file's candidates are its header lines (those that speak of licences) and, if it is a licence file (by its
 name, or a text of at most ``Settings.file_words`` words), its whole text. Tokens weigh by inverse document frequency
-over all files; only the templates' tokens are counted, all others weigh as if no file had them. Candidate and template
-vectors are sparse rows ``(token, weight)``, joined on the token; the template of the highest cosine is the file's
+over all files, every token counted; one in fewer than ``RARE`` of the files weighs like one in that share, so that names
+and numbers weigh the same in a table of any size. Candidate and template vectors are sparse rows ``(token, weight)``, joined on the token; the template of the highest cosine is the file's
 licence if it reaches ``Settings.cosine``. A licence file speaks for its directory. A file without a licence of its own
 inherits from the nearest directory above it that has one; directories, not files, are joined with their ancestors, so a
 directory that holds a third of all files is one row, and Spark splits the join that brings its answer to the files.
 
-Only DataFrame functions are used. The templates are a fixed list; their rows are the only side that is broadcast.
+Only DataFrame functions are used. The templates are a fixed list; only their rows and weights are broadcast by request.
+The counts of all tokens are combined before they are shuffled, and joined to the candidates by token.
 
 Defined results: null and empty texts have no licence of their own; a null path inherits nothing. Ties of the cosine: the
 first licence by name; several licence files in a directory: the highest cosine, then the first path. Repeated rows and
@@ -42,6 +43,8 @@ TEMPLATES = {
 }
 SPEAKS = r"(?i)licen[cs]e|copyright|spdx|permission is hereby|redistribution and use|creative commons"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
+#: Share of files below which a token weighs no more.
+RARE = 0.001
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -65,8 +68,7 @@ def parent(path: Column) -> Column:
 
 
 def candidates(files: DataFrame, key: str, path: str, text: str, settings: Settings) -> DataFrame:
-    """``(row, key, path, is_file, known, found)``, written once: template tokens a file holds, and its candidates."""
-    vocabulary = sorted({t for _, _, c in template_counts() for t in c})
+    """``(row, key, path, is_file, found)``, written once: all files and their candidates."""
     body = F.coalesce(named(text), F.lit(""))
     short = F.size(F.filter(F.split(body, r"\s+"), lambda w: w != "")).between(1, settings.file_words)
     is_file = F.coalesce(named(path).rlike(FILE_NAME), F.lit(False)) | short
@@ -74,26 +76,35 @@ def candidates(files: DataFrame, key: str, path: str, text: str, settings: Setti
     found = F.when(body.rlike(SPEAKS), F.concat(F.transform(lines, tokens), F.when(is_file, F.array(tokens(body))).otherwise(F.array().cast("array<array<string>>"))))
     return stored(files.select(
         F.monotonically_increasing_id().alias("row"), named(key).alias("key"), named(path).alias("path"), is_file.alias("is_file"),
-        F.array_intersect(tokens(body), F.array(*map(F.lit, vocabulary))).alias("known"), found.alias("found"),
+        found.alias("found"),
     ), "license-candidates")
 
 
-def own_licences(rows: DataFrame, settings: Settings) -> DataFrame:
+def file_counts(files: DataFrame, text: str) -> DataFrame:
+    """``(token, files)``: in how many files each token stands."""
+    each = files.select(F.explode(F.array_distinct(tokens(named(text)))).alias("token"))
+    return each.groupBy("token").agg(F.count("*").alias("files"))
+
+
+def own_licences(rows: DataFrame, files: DataFrame, text: str, settings: Settings) -> DataFrame:
     """``(row, best)`` with ``best`` the struct ``cosine, licence`` of each row's best candidate."""
     spark = rows.sparkSession
     n = rows.count()
-    counted = {r["token"]: r["n"] for r in rows.select(F.explode("known").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
-    idf = lambda t: math.log((1 + n) / (1 + counted.get(t, 0))) + 1.0
+    most = math.log(1 / RARE) + 1.0
+    each = rows.where(F.size("found") > 0).select("row", F.posexplode("found").alias("place", "tokens"))
+    terms = each.select("row", "place", F.explode("tokens").alias("token")).groupBy("row", "place", "token").agg(F.count("*").alias("n"))
+    vocabulary = sorted({t for _, _, c in template_counts() for t in c})
+    wanted = terms.select("token").distinct().unionByName(spark.createDataFrame([(t,) for t in vocabulary], "token string")).distinct()
+    counts = stored(file_counts(files, text).join(wanted, "token", "left_semi"), "license-tokens")
+    counted = {r["token"]: r["files"] for r in counts.where(F.col("token").isin(vocabulary)).collect()}
+    idf = lambda t: min(math.log((1 + n) / (1 + counted.get(t, 0))) + 1.0, most)
     listed = []
     for name, i, c in template_counts():
         norm = math.sqrt(sum((k * idf(t)) ** 2 for t, k in c.items()))
         listed += [(t, name, i, k * idf(t) / norm) for t, k in c.items()]
     templates = spark.createDataFrame(listed, "token string, licence string, version int, share double")
-    weights = spark.createDataFrame([(t, idf(t)) for t in sorted({x[0] for x in listed})], "token string, idf double")
-    each = rows.where(F.size("found") > 0).select("row", F.posexplode("found").alias("place", "tokens"))
-    terms = each.select("row", "place", F.explode("tokens").alias("token")).groupBy("row", "place", "token").agg(F.count("*").alias("n"))
-    terms = terms.join(F.broadcast(weights), "token", "left")
-    terms = terms.withColumn("weight", F.col("n") * F.coalesce("idf", F.lit(math.log(1 + n) + 1.0)))
+    weights = counts.select("token", F.least(F.log((1 + n) / (1 + F.col("files"))) + 1.0, F.lit(most)).alias("idf"))
+    terms = terms.join(weights, "token").withColumn("weight", F.col("n") * F.col("idf"))
     norms = terms.groupBy("row", "place").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     dots = terms.join(F.broadcast(templates), "token").groupBy("row", "place", "licence", "version").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
@@ -118,7 +129,7 @@ def inherited(rows: DataFrame) -> DataFrame:
 def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row per file: key, ``path``, ``licence`` and ``cosine`` of its own, ``inherited`` and ``inherited_from``."""
     rows = candidates(files, key, path, text, settings)
-    own = rows.select("row", "key", "path", "is_file", parent(F.col("path")).alias("dir")).join(own_licences(rows, settings), "row", "left")
+    own = rows.select("row", "key", "path", "is_file", parent(F.col("path")).alias("dir")).join(own_licences(rows, files, text, settings), "row", "left")
     own = stored(own, "own-licences")
     from_above = inherited(own).withColumnsRenamed({"licence": "inherited", "source": "inherited_from"})
     bare = F.col("best").isNull()

@@ -42,6 +42,21 @@ def test_inheritance_and_odd_rows(spark):
     assert ls.scan(df).count() == len(rows) and ls.scan(df.limit(0)).isEmpty()
 
 
+def test_a_header_with_extra_words_at_two_sizes(spark):
+    """Extra words that most files hold, or that nobody else uses, weigh the same in a small and in a larger table."""
+    headers = ["This project is licensed under the Apache License, Version 2.0, see the file by its name in this place", "Released under the MIT License by Jane Doe."]
+    common = "see the file by its name in this place under project is " + "word " * 60
+
+    def cosines(n):
+        rows = [(k, f"d{k}/x", f"{common}\n{headers[k % 100]}" if k % 100 < 2 else common) for k in range(n)]
+        found = ls.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).where("licence is not null").collect()
+        return {r["doc_id"]: (r["licence"], r["cosine"]) for r in found}
+
+    small, large = cosines(400), cosines(20_000)
+    assert {k: v[0] for k, v in small.items()} == {k: ("Apache-2.0", "MIT")[k % 100] for k in range(400) if k % 100 < 2}
+    assert len(large) == 400 and all(large[k][0] == v[0] and abs(large[k][1] - v[1]) < 0.05 for k, v in small.items())
+
+
 def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "a/b", "Released under the MIT License")], "doc_id long, path string, text string")
     assert not re.search("Python|Pandas|Arrow", ls.scan(df)._jdf.queryExecution().toString())
