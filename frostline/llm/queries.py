@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from frostline.llm import (
     compression_quality,
     decontamination,
+    hard_negatives,
     language_id,
     license_scan,
     line_dedup,
+    merkle_manifest,
     pii,
     quality_rules,
     sentencepiece_codec,
@@ -71,13 +73,46 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.tampered(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.relabelled(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
     made = (
         op1_pii, op2_decontamination, op3_compression_quality, op4_language_id, op5_sentencepiece, op6_suffix_dedup, op7_line_dedup,
-        op8_license_scan, op9_simhash, op10_quality_rules,
+        op8_license_scan, op9_simhash, op10_quality_rules, op12_merkle_manifest, op13_hard_negatives,
     )
     return {f.__name__: f for f in made}
 
 
+#: Scores as sums of products of integers; the windows and ranks as they are defined.
+HARD_NEGATIVES_SQL = """
+WITH used AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+), scored AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+           CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+    FROM used a JOIN used r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), negatives AS (
+    SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+    FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+    WHERE 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_hard_negatives": HARD_NEGATIVES_SQL}
