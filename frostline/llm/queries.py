@@ -21,6 +21,7 @@ from frostline.llm import (
     sentencepiece_codec,
     simhash,
     suffix_dedup,
+    suffix_tree_lm,
 )
 from frostline.llm.common import table
 
@@ -73,6 +74,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score_by_key(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.tampered(table(spark, sf_dir, "documents"))
 
@@ -85,7 +90,8 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     made = (
         op1_pii, op2_decontamination, op3_compression_quality, op4_language_id, op5_sentencepiece, op6_suffix_dedup, op7_line_dedup,
-        op8_license_scan, op9_simhash, op10_quality_rules, op12_merkle_manifest, op13_hard_negatives,
+        op8_license_scan, op9_simhash, op10_quality_rules, op11_suffix_tree_lm, op12_merkle_manifest,
+        op13_hard_negatives,
     )
     return {f.__name__: f for f in made}
 
