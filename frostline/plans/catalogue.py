@@ -27,7 +27,7 @@ from frostline.plans.staging import spoiled
 from frostline.plans.workspace import tables
 from frostline.schemas import MILES, RATE, SETTING_SEEDS
 from frostline.sources.tables import OpsTables
-from frostline.streaming import alerts, punches
+from frostline.streaming import alerts, punches, shifts
 from frostline.streaming.runner import as_stream, drain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,17 +234,24 @@ def stream_punch_match(t: OpsTables) -> DataFrame:
 
 def stream_sla_alerts(t: OpsTables) -> DataFrame:
     watched, ticks = as_stream(alerts.watch_list(t), "watch"), as_stream(cmd.closing_tick(t), "ticks")
-    return drain(alerts.sla_alerts(watched, as_stream(cmd.punch_feed(t), "punches"), ticks=ticks), "alerts")
+    return drain(alerts.sla_alerts(watched, as_stream(cmd.punch_feed(t), "punches"), ticks=ticks), "alerts", rocksdb=True)
 
 
 def stream_sla_clears(t: OpsTables) -> DataFrame:
     watched = as_stream(alerts.watch_list(t), "watch")
-    return drain(alerts.sla_clears(watched, as_stream(cmd.punch_feed(t), "punches")), "clears")
+    return drain(alerts.sla_clears(watched, as_stream(cmd.punch_feed(t), "punches")), "clears", rocksdb=True)
 
 
 def stream_shift_state(t: OpsTables) -> DataFrame:
     windows, ticks = as_stream(punches.shift_windows(t), "windows"), as_stream(cmd.closing_tick(t), "ticks")
-    return drain(alerts.shift_states(windows, as_stream(cmd.punch_feed(t), "punches"), ticks=ticks), "states")
+    return drain(alerts.shift_states(windows, as_stream(cmd.punch_feed(t), "punches"), ticks=ticks), "states", rocksdb=True)
+
+
+def stream_shift_events(t: OpsTables) -> DataFrame:
+    """States, alerts and their ends in one pass."""
+    windows, ticks = as_stream(alerts.watched_windows(t), "windows"), as_stream(cmd.closing_tick(t), "ticks")
+    told = drain(shifts.follow(windows, as_stream(cmd.punch_feed(t), "punches"), ticks), "shifts", rocksdb=True)
+    return told.select("shift_id", "clear_id", "state", "at", "deadline_at", "missed")
 
 
 def stream_checkins_windowed(t: OpsTables) -> DataFrame:
@@ -375,6 +382,7 @@ def queries() -> dict[str, Query]:
         "stream_sla_alerts": stream_sla_alerts,
         "stream_sla_clears": stream_sla_clears,
         "stream_shift_state": stream_shift_state,
+        "stream_shift_events": stream_shift_events,
         "stream_checkins_windowed": stream_checkins_windowed,
         "stream_operator_sessions": stream_operator_sessions,
     }

@@ -856,6 +856,21 @@ UNION ALL SELECT shift_id, CASE punch_type WHEN 'in' THEN 'checked_in' ELSE 'che
 UNION ALL SELECT shift_id, 'missed', {iso('ends_at + INTERVAL 45 MINUTE')} FROM shift_windows w
   WHERE NOT EXISTS (FROM {_IN} i WHERE i.shift_id = w.shift_id AND i.moment <= ends_at + INTERVAL 45 MINUTE)
 UNION ALL SELECT shift_id, 'forgot_check_out', {iso('ends_at + INTERVAL 15 MINUTE')} FROM shift_windows w
+  WHERE NOT EXISTS (FROM {_OUT} o WHERE o.shift_id = w.shift_id AND o.moment <= ends_at + INTERVAL 15 MINUTE)
+    AND EXISTS (FROM {_IN} i WHERE i.shift_id = w.shift_id AND i.moment <= ends_at + INTERVAL 15 MINUTE)""",
+    "stream_shift_events": f"""
+SELECT shift_id, clear_id, 'scheduled' AS state, {iso('starts_at')} AS "at", {iso('deadline')} AS deadline_at, CAST(NULL AS INTEGER) AS missed
+  FROM shift_windows LEFT JOIN (SELECT clear_id, deadline FROM watched) USING (clear_id)
+UNION ALL SELECT shift_id, NULL, CASE punch_type WHEN 'in' THEN 'checked_in' ELSE 'checked_out' END, {iso(ts('punched_at'))}, NULL, NULL FROM punches
+UNION ALL SELECT shift_id, clear_id, 'alert', {iso('alert_at')}, {iso('deadline')}, NULL FROM watched w
+  WHERE NOT EXISTS (FROM {_IN} i WHERE i.shift_id = w.shift_id AND i.moment <= w.alert_at)
+UNION ALL SELECT shift_id, clear_id, 'alert_ended', {iso('moment')}, {iso('deadline')}, CASE WHEN moment > deadline THEN 1 ELSE 0 END
+  FROM watched JOIN {_IN} i USING (shift_id) WHERE moment > alert_at
+UNION ALL SELECT shift_id, clear_id, 'missed', {iso('ends_at + INTERVAL 45 MINUTE')}, {iso('deadline')}, NULL
+  FROM shift_windows w LEFT JOIN (SELECT clear_id, deadline FROM watched) USING (clear_id)
+  WHERE NOT EXISTS (FROM {_IN} i WHERE i.shift_id = w.shift_id AND i.moment <= ends_at + INTERVAL 45 MINUTE)
+UNION ALL SELECT shift_id, clear_id, 'forgot_check_out', {iso('ends_at + INTERVAL 15 MINUTE')}, {iso('deadline')}, NULL
+  FROM shift_windows w LEFT JOIN (SELECT clear_id, deadline FROM watched) USING (clear_id)
   WHERE NOT EXISTS (FROM {_OUT} o WHERE o.shift_id = w.shift_id AND o.moment <= ends_at + INTERVAL 15 MINUTE)
     AND EXISTS (FROM {_IN} i WHERE i.shift_id = w.shift_id AND i.moment <= ends_at + INTERVAL 15 MINUTE)""",
     "stream_checkins_windowed": f"""
