@@ -167,12 +167,17 @@ def storm_recap(t: OpsTables) -> DataFrame:
         F.sum("billable_total").alias("billable"),
         F.sum(F.when(F.col("invoiced") == 0, F.col("billable_total"))).alias("receivable"),
     )
+    return recap_of(t, work, served_sites(t))
+
+
+def recap_of(t: OpsTables, work: DataFrame, served: DataFrame) -> DataFrame:
+    """The recap from the work by storm and contract and the sites served by storm and contract (of open storms)."""
     names = t.contracts.select("contract_id", "contract_name")
     storms = t.storms.select("storm_id", "storm_ref", "storm_date")
     none = F.lit(0).cast("long")
     # What is left of a contract: its active sites less the served ones, plus what is still planned there. No pairs.
     sites = active_sites(t).groupBy("contract_id").agg(F.count("*").alias("_sites"))
-    counts = work.join(sites, "contract_id", "left").join(served_sites(t), ["storm_id", "contract_id"], "left")
+    counts = work.join(sites, "contract_id", "left").join(served, ["storm_id", "contract_id"], "left")
     counts = counts.join(open_storms(t).select("storm_id", F.lit(True).alias("_open")), "storm_id", "left")
     left = F.coalesce("_sites", none) - F.coalesce("served", none) + F.coalesce("planned", none)
     counts = counts.withColumn("uncleared", F.when(F.col("_open"), left).otherwise(none))

@@ -87,6 +87,11 @@ def receivables_by_contract(t: OpsTables) -> DataFrame:
         F.min("storm_date").alias("first_date"),
         F.max(F.coalesce(completed_date(), F.col("storm_date"))).alias("last_date"),
     )
+    return receivables_of(t, totals)
+
+
+def receivables_of(t: OpsTables, totals: DataFrame) -> DataFrame:
+    """Totals by contract with the contract's columns, largest first."""
     who = t.contracts.select(
         "contract_id", "contract_name", "contract_type", "contact_name", "billing_email", "payment_terms_days"
     )
@@ -191,8 +196,8 @@ def as_json(items: DataFrame) -> DataFrame:
     return items.withColumn("line_items", F.to_json(plain, {"ignoreNullFields": "false"}))
 
 
-def mark_invoiced(t: OpsTables, audit_now: datetime, contract_ids: DataFrame | None = None) -> DataFrame:
-    """The clears table after an invoice run.
+def mark_invoiced(t: OpsTables, audit_now: datetime, contract_ids: DataFrame | None = None, delta: bool = False) -> DataFrame:
+    """The clears table after an invoice run, or with ``delta`` the changed rows only.
 
     Sweeps every finished uninvoiced clear of the contracts, also those that bill nothing.
     """
@@ -204,7 +209,7 @@ def mark_invoiced(t: OpsTables, audit_now: datetime, contract_ids: DataFrame | N
     hit = (
         F.coalesce(F.col("_swept"), F.lit(False)) & (F.col("invoiced") == 0) & F.col("status").isin(*FINISHED)
     )
-    marked = joined.withColumn("_hit", hit)
+    marked = (joined.where(hit) if delta else joined).withColumn("_hit", hit)
     marked = touch(marked, F.col("_hit"), audit_now)
     return marked.withColumn("invoiced", F.when(F.col("_hit"), 1).otherwise(F.col("invoiced"))).select(
         *t.clears.columns

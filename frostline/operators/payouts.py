@@ -110,11 +110,12 @@ def settle_payouts(t: OpsTables, operators: DataFrame, as_of: datetime) -> DataF
     )
 
 
-def flag_paid_out(t: OpsTables, operators: DataFrame, audit_now: datetime) -> DataFrame:
-    """The clears table with ``paid_out`` set where a payout of ``operators`` is paid."""
+def flag_paid_out(t: OpsTables, operators: DataFrame, audit_now: datetime, delta: bool = False) -> DataFrame:
+    """The clears table with ``paid_out`` set where a payout of ``operators`` is paid, or the changed rows only."""
     paid = t.payouts.where(F.col("paid") == 1).join(operators.select("operator_id"), "operator_id", "left_semi")
     marks = paid.select("clear_id").distinct().withColumn("_paid", F.lit(True))
-    marked = touch(t.clears.join(marks, "clear_id", "left"), F.col("_paid").isNotNull(), audit_now)
+    found = t.clears.join(marks, "clear_id", "left")
+    marked = touch(found.where("_paid") if delta else found, F.col("_paid").isNotNull(), audit_now)
     return marked.withColumn("paid_out", F.when(F.col("_paid"), 1).otherwise(F.col("paid_out"))).select(
         *t.clears.columns
     )

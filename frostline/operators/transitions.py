@@ -1,8 +1,8 @@
 """State changes as table-to-table jobs: the old tables and a batch of commands in, the new rows out.
 
-Nothing is updated in place. A job returns either the whole new table or only the rows it adds; the caller writes
-them to a fresh table version. Commands for the same row are reduced to one before the join, so feeding a batch
-twice gives the same table.
+Nothing is updated in place. A job returns the whole new table, only the rows it adds, or with ``delta`` only the rows
+it changes, whole: :class:`frostline.sources.versions.Store` rewrites the months those rows are in. Commands for the
+same row are reduced to one before the join, so feeding a batch twice gives the same table.
 """
 
 from __future__ import annotations
@@ -45,8 +45,13 @@ def apply_commands(
     """Set ``changes`` on the rows named by ``commands`` (whose columns arrive prefixed ``new_``).
 
     Returns the whole table, or with ``delta`` the changed rows only: then the join is an inner one, and a small
-    batch of commands is all that meets the table, without moving it.
+    batch of commands is all that meets the table, without moving it. Commands for clears may name their ``storm_month``;
+    then a delta reads those months only.
     """
+    if "storm_month" in commands.columns:
+        if delta:
+            table = table.join(commands.select("storm_month").distinct(), "storm_month", "left_semi").select(*table.columns)
+        commands = commands.drop("storm_month")
     orders = latest(commands, key)
     orders = orders.select(key, F.lit(True).alias("_named"), *[F.col(c) for c in orders.columns if c != key])
     hit = F.col("_named").isNotNull() if only is None else F.col("_named").isNotNull() & only
@@ -87,9 +92,11 @@ def open_storm(
 ) -> DataFrame:
     """The planned clears of the storms being opened: one per active site, except where one already stands.
 
-    ``opening`` holds storm rows. ``among`` restricts the sites (a contract, a list). Ids are
-    ``storm_id * id_stride + site_id``, plus ``again_stride`` for every clear the storm and site had before:
-    reproducible, and unique when a cancelled storm is opened again.
+    ``opening`` holds storm rows. ``among`` restricts the sites (a contract, a list). Only clears of the storms being
+    opened are read: their months are pruned to. Ids are reproducible: ``storm_id * id_stride + site_id``, plus
+    ``again_stride`` for every clear the storm and site had before, as long as neither sum reaches the next stride nor
+    the largest id; beyond that a 62-bit hash of storm, site and number of earlier clears, negative, so that it never
+    meets an id of the first kind.
     """
     if require_active_contract:
         sites = active_sites(t)
@@ -98,11 +105,20 @@ def open_storm(
     if among is not None:
         sites = sites.where(among)
     pairs = storm_site_pairs(opening.select("storm_id"), sites.select("site_id"))
-    free = pairs.join(taken_slots(t.clears), ["storm_id", "site_id"], "left_anti")
-    before = t.clears.groupBy("storm_id", "site_id").agg(F.count("*").alias("_before"))
-    again = F.coalesce(F.col("_before"), F.lit(0).cast("long")) * again_stride
-    ident = (F.col("storm_id") * id_stride + F.col("site_id") + again).alias("clear_id")
-    return new_clears(t, free.join(before, ["storm_id", "site_id"], "left").select("storm_id", "site_id", ident))
+    named = opening.select("storm_id", storm_month(F.col("storm_date")).alias("storm_month")).distinct()
+    held = t.clears.join(named, ["storm_month", "storm_id"], "left_semi")
+    before = held.groupBy("storm_id", "site_id").agg(
+        F.count("*").alias("_before"), F.sum(F.when(F.col("status") != "cancelled", 1).otherwise(0)).alias("_standing")
+    )
+    free = pairs.join(before, ["storm_id", "site_id"], "left").where(F.coalesce("_standing", F.lit(0).cast("long")) == 0)
+    times = F.coalesce(F.col("_before"), F.lit(0).cast("long"))
+    fits = (
+        F.col("storm_id").between(0, again_stride // id_stride - 1) & F.col("site_id").between(0, id_stride - 1)
+        & (times < (1 << 63) // again_stride)
+    )
+    plain = F.col("storm_id") * id_stride + F.col("site_id") + times * again_stride
+    hashed = -F.shiftrightunsigned(F.xxhash64("storm_id", "site_id", times), 2) - 1
+    return new_clears(t, free.select("storm_id", "site_id", F.when(fits, plain).otherwise(hashed).alias("clear_id")))
 
 
 def close_storms(t: OpsTables, audit_now: datetime) -> DataFrame:
@@ -134,27 +150,28 @@ def pin_locations(t: OpsTables, responses: DataFrame, audit_now: datetime) -> Da
     ).select(*t.sites.columns)
 
 
-def record_events(t: OpsTables, responses: DataFrame, audit_now: datetime) -> DataFrame:
+def _answered(joined: DataFrame, column: str, audit_now: datetime, delta: bool) -> DataFrame:
+    """Rows that lack ``column`` take the answer. With ``delta`` the others go, which makes the join an inner one."""
+    hit = F.col(column).isNull() & F.col("_ext_id").isNotNull()
+    rows = joined.where(hit) if delta else joined
+    return touch(rows, hit, audit_now).withColumn(column, F.coalesce(column, "_ext_id"))
+
+
+def record_events(t: OpsTables, responses: DataFrame, audit_now: datetime, delta: bool = False) -> DataFrame:
     """The clears table with new event ids, set on every clear of the site and day that has none."""
     start_day = local_date(F.col("scheduled_start"))
     joined = t.clears.withColumn("_key", event_key(F.col("site_id"), start_day)).join(
         _answers(responses), "_key", "left"
     )
-    hit = F.col("ext_event_id").isNull() & F.col("_ext_id").isNotNull()
-    return touch(joined, hit, audit_now).withColumn(
-        "ext_event_id", F.coalesce("ext_event_id", "_ext_id")
-    ).select(*t.clears.columns)
+    return _answered(joined, "ext_event_id", audit_now, delta).select(*t.clears.columns)
 
 
-def record_shifts(t: OpsTables, responses: DataFrame, audit_now: datetime) -> DataFrame:
+def record_shifts(t: OpsTables, responses: DataFrame, audit_now: datetime, delta: bool = False) -> DataFrame:
     """The clears table with new shift ids; answers to a swapped shift carry the suffixed key."""
     plain = F.regexp_replace("idempotency_key", f"^({SHIFT_KEY}-?[0-9]+){SWAP_SUFFIX}$", "$1")
     answers = _answers(responses.withColumn("idempotency_key", plain))
     joined = t.clears.withColumn("_key", keyed(SHIFT_KEY, F.col("clear_id"))).join(answers, "_key", "left")
-    hit = F.col("ext_shift_id").isNull() & F.col("_ext_id").isNotNull()
-    return touch(joined, hit, audit_now).withColumn(
-        "ext_shift_id", F.coalesce("ext_shift_id", "_ext_id")
-    ).select(*t.clears.columns)
+    return _answered(joined, "ext_shift_id", audit_now, delta).select(*t.clears.columns)
 
 
 # -- "I'm here now" -------------------------------------------------------------------------------------------
@@ -242,7 +259,7 @@ def unread_proofs(t: OpsTables, proofs: DataFrame) -> DataFrame:
     """Submissions that are not stored on any clear yet, numbered within their event by time."""
     known = t.clears.where(F.col("report_id").isNotNull()).select(F.col("report_id").alias("submission_id"))
     photos = F.size(F.filter("media", lambda m: m["field"] == "after"))
-    fresh = proofs.join(known, "submission_id", "left_anti").dropDuplicates(["submission_id"]).select(
+    fresh = proofs.where(F.col("event_id").isNotNull()).join(known, "submission_id", "left_anti").dropDuplicates(["submission_id"]).select(
         F.col("event_id").alias("ext_event_id"), "submitted_at",
         F.struct("submission_id", "data.*", F.greatest(photos, F.lit(0)).alias("photos")).alias("p"),
     )
@@ -251,7 +268,7 @@ def unread_proofs(t: OpsTables, proofs: DataFrame) -> DataFrame:
     return fresh.select("ext_event_id", "p", F.row_number().over(by_time).alias("turn"))
 
 
-def apply_results(t: OpsTables, punches: DataFrame, proofs: DataFrame, audit_now: datetime) -> DataFrame:
+def apply_results(t: OpsTables, punches: DataFrame, proofs: DataFrame, audit_now: datetime, delta: bool = False) -> DataFrame:
     """The clears table after a pull: planned clears whose shift was checked out become completed.
 
     A shift without punches changes nothing, and a submission that is already on a clear is never read again.
@@ -259,14 +276,18 @@ def apply_results(t: OpsTables, punches: DataFrame, proofs: DataFrame, audit_now
     planned = t.clears.where(_is_planned() & F.col("ext_shift_id").isNotNull()).select(
         "clear_id", "ext_shift_id", "ext_event_id"
     )
-    # The visits of an event in order of check-in take its submissions in order of time, each one once.
+    # The visits of an event in order of check-in take its submissions in order of time, each one once. A visit without
+    # an event has none to take and is not numbered: all of them would be one group.
     by_time = Window.partitionBy("ext_event_id").orderBy("in_at", "clear_id")
-    visits = planned.join(shift_results(punches), "ext_shift_id").withColumn("turn", F.row_number().over(by_time))
-    pulled = visits.join(unread_proofs(t, proofs), ["ext_event_id", "turn"], "left").select(
-        "clear_id", "in_at", "out_at", "in_verified", "in_distance", "p"
+    visits = planned.join(shift_results(punches), "ext_shift_id")
+    turns = visits.where(F.col("ext_event_id").isNotNull()).select(
+        "clear_id", "ext_event_id", F.row_number().over(by_time).alias("turn")
     )
-    joined = touch(t.clears.join(pulled, "clear_id", "left"), F.col("in_at").isNotNull(), audit_now)
+    taken = turns.join(unread_proofs(t, proofs), ["ext_event_id", "turn"]).select("clear_id", "p")
+    pulled = visits.join(taken, "clear_id", "left").select("clear_id", "in_at", "out_at", "in_verified", "in_distance", "p")
     hit = F.col("in_at").isNotNull()
+    found = t.clears.join(pulled, "clear_id", "left")
+    joined = touch(found.where(hit) if delta else found, hit, audit_now)
 
     def replaced(value: Column, name: str) -> Column:
         return F.when(hit, value).otherwise(F.col(name))
@@ -334,7 +355,7 @@ def cancellations(t: OpsTables, commands: DataFrame) -> DataFrame:
     )
 
 
-def move_day(t: OpsTables, commands: DataFrame, audit_now: datetime) -> DataFrame:
+def move_day(t: OpsTables, commands: DataFrame, audit_now: datetime, delta: bool = False) -> DataFrame:
     """``commands(clear_id, new_clear_id, new_start)``: the clears table after moving clears to another day.
 
     A same-day event cannot move, so the old clear is cancelled and a new one without event or shift takes its
@@ -348,7 +369,8 @@ def move_day(t: OpsTables, commands: DataFrame, audit_now: datetime) -> DataFram
         F.col("new_clear_id").alias("clear_id"), "storm_id", "site_id", "operator_id", "duration_minutes",
         F.col("new_start").alias("scheduled_start"),
     ).join(taken_slots(cancelled), ["storm_id", "site_id"], "left_anti")
-    return cancelled.unionByName(new_clears(t, fresh))
+    changed = cancel(t, commands, audit_now, delta) if delta else cancelled
+    return changed.unionByName(new_clears(t, fresh))
 
 
 # -- dimensions and settings ----------------------------------------------------------------------------------
@@ -473,10 +495,10 @@ def merge_sites(t: OpsTables, same: Column) -> DataFrame:
     )
 
 
-def repoint_clears(t: OpsTables, merges: DataFrame, audit_now: datetime) -> DataFrame:
+def repoint_clears(t: OpsTables, merges: DataFrame, audit_now: datetime, delta: bool = False) -> DataFrame:
     """The clears table with merged sites replaced by the kept one."""
     moves = merges.select("site_id", F.col("kept_site_id").alias("new_site_id"))
-    return apply_commands(t.clears, moves, "site_id", {"site_id": F.col("new_site_id")}, audit_now)
+    return apply_commands(t.clears, moves, "site_id", {"site_id": F.col("new_site_id")}, audit_now, delta=delta)
 
 
 # -- deletion -------------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,6 +15,7 @@ from frostline.operators import (
     billing,
     boards,
     defaults,
+    marts,
     outbox,
     payouts,
     proofs,
@@ -24,9 +26,11 @@ from frostline.plans import commands as cmd
 from frostline.plans.commands import AS_OF_A, AS_OF_B, AUDIT
 from frostline.plans.projection import load_raw
 from frostline.plans.staging import spoiled
-from frostline.plans.workspace import tables
+from frostline.plans.workspace import tables, versioned
 from frostline.schemas import MILES, RATE, SETTING_SEEDS
+from frostline.sources.shared import written_once
 from frostline.sources.tables import OpsTables
+from frostline.sources.versions import Store, Version
 from frostline.streaming import alerts, punches, shifts
 from frostline.streaming.runner import as_stream, drain
 
@@ -57,6 +61,17 @@ def on_raw(plan: Callable[[OpsTables], DataFrame]) -> Query:
     return lambda spark, sf_dir: comparable(plan(load_raw(spark, sf_dir)))
 
 
+def on_versions(batch: Callable[[OpsTables], DataFrame], shown: Callable[[DataFrame], DataFrame]) -> Query:
+    """Apply a batch's changed clears to the store, on a branch of its own, and show the table of the new version."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store, base, t = versioned(spark, sf_dir)
+        after = store.apply(base, batch(t), branch=uuid.uuid4().hex)
+        return comparable(shown(store.read(after).clears))
+
+    return query
+
+
 CLEAR_STATE = (
     "clear_id", "storm_id", "site_id", "operator_id", "scheduled_start", "duration_minutes", "status", "fee",
     "salt_fee", "other_fee", "ext_event_id", "ext_shift_id",
@@ -125,6 +140,47 @@ def opening(t: OpsTables) -> DataFrame:
     return t.storms.where(F.col("status") == "forecast")
 
 
+def busiest_storm(t: OpsTables) -> DataFrame:
+    """The storm with the most planned clears (the lowest id of several) and its month."""
+    counts = t.clears.where(F.col("status") == "planned").groupBy("storm_id", "storm_month").agg(F.count("*").alias("n"))
+    best = counts.agg(F.max_by(F.struct("storm_id", "storm_month"), F.struct("n", -F.col("storm_id"))).alias("s"))
+    return best.select("s.storm_id", "s.storm_month")
+
+
+def storm_batch_months(store: Store, base: Version, t: OpsTables) -> DataFrame:
+    """One storm's planned clears are called off: the months of the new version, their rows, and which were rewritten."""
+    commands = t.clears.where(F.col("status") == "planned").join(busiest_storm(t), ["storm_id", "storm_month"], "left_semi")
+    batch = transitions.cancel(t, commands.select("clear_id", "storm_month"), AUDIT, delta=True)
+    after = store.apply(base, batch, branch=uuid.uuid4().hex)
+    rewritten = [(month, 1 if after.held["clears", month] != base.held.get(("clears", month)) else 0) for month in after.months()]
+    marks = t.spark.createDataFrame(rewritten, "storm_month string, rewritten int")
+    counts = store.read(after).clears.groupBy("storm_month").agg(
+        F.count("*").alias("clears"), F.sum(F.when(F.col("status") == "cancelled", 1).otherwise(0)).alias("cancelled")
+    )
+    return counts.join(marks, counts.storm_month.eqNullSafe(marks.storm_month)).select(counts.storm_month, "clears", "cancelled", "rewritten")
+
+
+def marts_after_batches(store: Store, base: Version, t: OpsTables) -> tuple[marts.Marts, OpsTables]:
+    """The marts, written, carried along by three batches: walks are skipped, sites of inactive contracts called off, HOAs
+    invoiced."""
+    def kept(now: marts.Marts) -> marts.Marts:
+        return marts.Marts(written_once(now.work, "mart-work"), written_once(now.slots, "mart-slots"))
+
+    hoas = t.contracts.where(F.col("contract_type") == "hoa")
+    batches = (
+        lambda now: transitions.skip(now, cmd.skip_walks(now), AUDIT, delta=True),
+        lambda now: transitions.cancel(now, cmd.withdraw_inactive(now), AUDIT, delta=True),
+        lambda now: billing.mark_invoiced(now, AUDIT, hoas, delta=True),
+    )
+    version, now, held = base, t, kept(marts.build(t))
+    line = uuid.uuid4().hex
+    for batch in batches:
+        version = store.apply(version, batch(now), branch=line, log=True)
+        now = store.read(version)
+        held = kept(marts.maintain(held, now.sites, store.logged(version)))
+    return held, now
+
+
 def clears_with_results(t: OpsTables) -> DataFrame:
     done = transitions.apply_results(t, cmd.punch_feed(t), cmd.proof_feed(t), AUDIT)
     return _clear_state(
@@ -274,7 +330,6 @@ def queries() -> dict[str, Query]:
         "invoice_lines": lambda t: billing.invoice_lines(t, a),
         "invoice_line_items": lambda t: billing.as_json(billing.invoice_line_items(t, a)),
         "invoice_documents": lambda t: billing.invoice_documents(t, a),
-        "clears_invoiced": lambda t: _stamped(billing.mark_invoiced(t, AUDIT), "clear_id", "status", "invoiced"),
         "invoices_outstanding": lambda t: billing.invoices_outstanding(t, a),
         "aging_summary": lambda t: billing.aging_summary(t, a),
         "invoices_marked": lambda t: billing.mark_invoices(t.invoices, cmd.money_in(t, a)).select(
@@ -299,9 +354,6 @@ def queries() -> dict[str, Query]:
         "payouts_amounts_set": lambda t: payouts.set_amounts(t, cmd.agreed_amounts(t)).select(
             "payout_id", "operator_id", "clear_id", "amount", "paid"
         ),
-        "clears_paid_out": lambda t: _stamped(
-            payouts.flag_paid_out(t, payers(t), AUDIT), "clear_id", "operator_id", "paid_out"
-        ),
         "payout_totals": payouts.payout_totals,
         "payout_statements": payouts.payout_statements,
         # activity
@@ -331,24 +383,14 @@ def queries() -> dict[str, Query]:
         "locations_pinned": lambda t: _stamped(
             transitions.pin_locations(t, cmd.location_answers(t, b), AUDIT), "site_id", "ext_location_id"
         ),
-        "events_recorded": lambda t: _stamped(
-            transitions.record_events(t, cmd.event_answers(t, b), AUDIT), "clear_id", "status", "ext_event_id"
-        ),
-        "shifts_recorded": lambda t: _stamped(
-            transitions.record_shifts(t, cmd.shift_answers(t, b), AUDIT), "clear_id", "status", "ext_shift_id"
-        ),
         # ad hoc
         "adhoc_candidates": lambda t: transitions.adhoc_candidates(t, "%RING%"),
         "adhoc_inserts": lambda t: transitions.adhoc_inserts(t, cmd.here_now(t, b)).select(*CLEAR_STATE, "is_adhoc"),
         "adhoc_verdicts": lambda t: transitions.adhoc_verdicts(t, cmd.here_now(t, b)),
         # changes to clears
         "clears_with_results": clears_with_results,
-        "clears_rescheduled": lambda t: _clear_state(transitions.reschedule(t, cmd.delay_ice(t), AUDIT)),
         "clears_moved_day": lambda t: _clear_state(transitions.move_day(t, cmd.move_mix(t), AUDIT)),
-        "clears_cancelled": lambda t: _clear_state(transitions.cancel(t, cmd.withdraw_inactive(t), AUDIT)),
         "cancellation_requests": lambda t: transitions.cancellations(t, cmd.withdraw_inactive(t)),
-        "clears_skipped": lambda t: _clear_state(transitions.skip(t, cmd.skip_walks(t), AUDIT)),
-        "operator_swaps": lambda t: _clear_state(transitions.swap_operator(t, cmd.hand_over(t), AUDIT)),
         "swapped_shift_requests": lambda t: outbox.outbox_swapped_shifts(
             t.having(clears=transitions.swap_operator(t, cmd.hand_over(t), AUDIT)), b, cmd.hand_over(t)
         ),
@@ -393,7 +435,29 @@ def queries() -> dict[str, Query]:
         "mileage_defaulted": mileage_defaulted,
         "invoices_numbered": invoices_numbered,
     }
+    def columns(*names: str) -> Callable[[DataFrame], DataFrame]:
+        return lambda clears: _stamped(clears, *names)
+
+    # Batches that change clears: the months they touch are rewritten, the others stay where they are.
+    batches: dict[str, tuple[Callable[[OpsTables], DataFrame], Callable[[DataFrame], DataFrame]]] = {
+        "clears_invoiced": (lambda t: billing.mark_invoiced(t, AUDIT, delta=True), columns("clear_id", "status", "invoiced")),
+        "clears_paid_out": (lambda t: payouts.flag_paid_out(t, payers(t), AUDIT, delta=True), columns("clear_id", "operator_id", "paid_out")),
+        "events_recorded": (
+            lambda t: transitions.record_events(t, cmd.event_answers(t, b), AUDIT, delta=True), columns("clear_id", "status", "ext_event_id")
+        ),
+        "shifts_recorded": (
+            lambda t: transitions.record_shifts(t, cmd.shift_answers(t, b), AUDIT, delta=True), columns("clear_id", "status", "ext_shift_id")
+        ),
+        "clears_rescheduled": (lambda t: transitions.reschedule(t, cmd.delay_ice(t), AUDIT, delta=True), _clear_state),
+        "clears_cancelled": (lambda t: transitions.cancel(t, cmd.withdraw_inactive(t), AUDIT, delta=True), _clear_state),
+        "clears_skipped": (lambda t: transitions.skip(t, cmd.skip_walks(t), AUDIT, delta=True), _clear_state),
+        "operator_swaps": (lambda t: transitions.swap_operator(t, cmd.hand_over(t), AUDIT, delta=True), _clear_state),
+    }
     found: dict[str, Query] = {name: on_tables(plan) for name, plan in plain.items()}
+    found.update({name: on_versions(*batch) for name, batch in batches.items()})
+    for name, report in (("receivables_maintained", marts.receivables), ("recap_maintained", marts.recap)):
+        found[name] = lambda spark, sf_dir, report=report: comparable(report(*marts_after_batches(*versioned(spark, sf_dir))))
+    found["storm_batch_months"] = lambda spark, sf_dir: comparable(storm_batch_months(*versioned(spark, sf_dir)))
     found.update({name: on_raw(plan) for name, plan in raw.items()})
     found["notes_leak_scan"] = lambda spark, sf_dir: comparable(notes_leak_scan(spark, sf_dir))
     found["proof_option_keys"] = lambda spark, sf_dir: comparable(proof_option_keys(spark, sf_dir))

@@ -722,6 +722,12 @@ SELECT -clear_id, storm_id, site_id, operator_id, strftime(start_at + INTERVAL 1
   'planned', {usd('coalesce(ct.per_clear_fee_cents, 0)')}, {usd('coalesce(ct.salt_fee_cents, 0)')}, CAST(0 AS DOUBLE),
   NULL, NULL, 0
 FROM wide JOIN contracts ct USING (contract_id) WHERE status = 'planned' AND storm_type = 'mix'""",
+    "storm_batch_months": """
+SELECT storm_month, count(*) AS clears, count(*) FILTER (status = 'cancelled' OR (storm_id = busiest AND status = 'planned')) AS cancelled,
+  max(CASE WHEN storm_id = busiest THEN 1 ELSE 0 END) AS rewritten
+FROM (SELECT *, strftime(visit_day, '%Y-%m') AS storm_month FROM clears)
+CROSS JOIN (SELECT storm_id AS busiest FROM clears WHERE status = 'planned' GROUP BY 1 ORDER BY count(*) DESC, storm_id LIMIT 1)
+GROUP BY storm_month""",
     "storms_closed": """
 SELECT storm_id, storm_ref, CASE WHEN done THEN 'closed' ELSE status END AS status, CASE WHEN done THEN 1 ELSE 0 END AS touched
 FROM (SELECT *, status IN ('forecast', 'active') AND storm_id NOT IN (SELECT storm_id FROM left_over) AS done FROM storms)""",
@@ -888,8 +894,29 @@ GROUP BY worker_id, run""",
 }
 
 
+def _after_batches() -> str:
+    """The prelude with clears as three batches leave them: walks skipped, sites of inactive contracts called off, HOAs
+    invoiced."""
+    start = PRELUDE.index("\nclears AS (") + 1
+    before, rest = PRELUDE[:start], PRELUDE[start:]
+    end = rest.index("raw_mileage AS (")
+    changed = """clears AS (
+  SELECT * EXCLUDE (surface_of, salt_of, active_of, type_of) REPLACE (
+      CASE WHEN status = 'planned' AND surface_of = 'walk' THEN 'skipped' WHEN status = 'planned' AND active_of = 0 THEN 'cancelled'
+        ELSE status END AS status,
+      CASE WHEN status = 'planned' AND surface_of = 'walk' THEN coalesce(salt_of, 0) ELSE other_fee_cents END AS other_fee_cents,
+      CASE WHEN type_of = 'hoa' AND invoiced = 0 AND NOT (status = 'planned' AND surface_of <> 'walk' AND active_of <> 0)
+        THEN 1 ELSE invoiced END AS invoiced)
+  FROM (SELECT c.*, si.surface AS surface_of, ct.salt_fee_cents AS salt_of, ct.is_active AS active_of, ct.contract_type AS type_of
+        FROM clears_before c LEFT JOIN sites si USING (site_id) LEFT JOIN contracts ct ON ct.contract_id = si.contract_id)),
+"""
+    return before + rest[:end].replace("clears AS (", "clears_before AS (", 1) + changed + rest[end:]
+
+
 def oracle_sql() -> dict[str, str]:
     found = {}
+    for name, like in (("receivables_maintained", _BILLING["receivables_by_contract"]), ("recap_maintained", _ACTIVITY["storm_recap"])):
+        found[name] = f"{_after_batches()}\n{like.strip()}"
     for group in (_BOARDS, _BILLING, _PAYOUTS, _ACTIVITY, _DEFAULTS, _QUALITY, _DISPATCH, _CHANGES, _TEXT, _STREAMS):
         for name, body in group.items():
             prelude = PRELUDE

@@ -17,31 +17,37 @@ from frostline.operators.defaults import fill_payout_amount
 from frostline.plans.projection import load_raw, visit_claims, with_defaults
 from frostline.schemas import TABLES
 from frostline.sources.shared import shared_folder, written_once
-from frostline.sources.tables import OpsTables, read_table, write_table
+from frostline.sources.tables import OpsTables
+from frostline.sources.versions import Store, Version
 
-_ready: dict[tuple[str, str], OpsTables] = {}
+_ready: dict[tuple[str, str], tuple[Store, Version, OpsTables]] = {}
 _lock = threading.Lock()
 
 
-def ingest(spark: SparkSession, sf_dir: str) -> str:
-    """Write all tables to a fresh folder and return it; independent tables are written side by side."""
-    root = shared_folder(spark, "ops")
+def ingest(spark: SparkSession, sf_dir: str) -> tuple[Store, Version]:
+    """Write all tables as the first version of a fresh store; independent tables are written side by side."""
+    store = Store(spark, shared_folder(spark, "ops"))
     raw = load_raw(spark, sf_dir, written_once(visit_claims(spark, sf_dir), "claims"))
     done = with_defaults(raw)
     with ThreadPoolExecutor(max_workers=4) as pool:
         rest = [n for n in TABLES if n != "payouts"]
-        list(pool.map(lambda n: write_table(getattr(done, n), root, n), rest))
+        list(pool.map(lambda n: store.write(getattr(done, n), n, "first"), rest))
     # Payout prices read the clears just written instead of filling the same defaults a second time.
-    billable = billable_facts(read_table(spark, root, "clears"))
-    write_table(fill_payout_amount(raw.payouts, raw.operators, billable), root, "payouts")
-    return root
+    billable = billable_facts(store.written("clears", "first"))
+    store.write(fill_payout_amount(raw.payouts, raw.operators, billable), "payouts", "first")
+    return store, store.adopt(dict.fromkeys(TABLES, "first"))
 
 
-def tables(spark: SparkSession, sf_dir: str) -> OpsTables:
-    """The operations tables of ``sf_dir`` for this application, written on first use."""
+def versioned(spark: SparkSession, sf_dir: str) -> tuple[Store, Version, OpsTables]:
+    """The store of ``sf_dir`` for this application, written on first use, its first version and the tables of it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     with _lock:
         if key not in _ready:
-            root = ingest(spark, sf_dir)
-            _ready[key] = OpsTables(**{name: read_table(spark, root, name) for name in TABLES})
+            store, version = ingest(spark, sf_dir)
+            _ready[key] = store, version, store.read(version)
         return _ready[key]
+
+
+def tables(spark: SparkSession, sf_dir: str) -> OpsTables:
+    """The operations tables of ``sf_dir`` as ingested."""
+    return versioned(spark, sf_dir)[2]
