@@ -140,7 +140,7 @@ class Cell:
         """For every span of scores the first ``k`` of the rows ``among`` and their scores."""
         _, least, most = ask.bounds(self.code[among], self.aligned[among], self.rest[among])
         low, high = min(a for a, _ in spans), max(b for _, b in spans)
-        among = among[(most >= low) & (least <= high)]
+        among = among[(np.maximum(most, -(2.0**63)) >= low) & (np.minimum(least, 2.0**63) <= high)]  # scores saturate
         exact = scores(self.vector[among], anchor)
         for low, high in spans:
             held = np.flatnonzero((exact >= low) & (exact <= high))
