@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,11 +28,13 @@ from frostline.plans.commands import AS_OF_A, AS_OF_B, AUDIT
 from frostline.plans.projection import load_raw
 from frostline.plans.staging import spoiled
 from frostline.plans.workspace import tables, versioned
-from frostline.schemas import MILES, RATE, SETTING_SEEDS
-from frostline.sources.shared import written_once
+from frostline.schemas import MILES, PUNCHES, RATE, SETTING_SEEDS
+from frostline.sources import quarantine
+from frostline.sources.outbox_ledger import Ledger, send_batch, sender
+from frostline.sources.shared import shared_folder, written_once
 from frostline.sources.tables import OpsTables
 from frostline.sources.versions import Store, Version
-from frostline.streaming import alerts, punches, shifts
+from frostline.streaming import alerts, late, punches, shifts
 from frostline.streaming.runner import as_stream, drain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -315,6 +318,68 @@ def stream_checkins_windowed(t: OpsTables) -> DataFrame:
     return drain(punches.checkins_per_window(feed, ticks=ticks), "checkins")
 
 
+def stream_checkins_late(t: OpsTables) -> DataFrame:
+    """A fifth of the phones deliver their punches only when the clock is long past them."""
+    feed, spark = cmd.punch_feed(t), t.spark
+    slow = F.pmod(F.col("shift_id"), F.lit(5)) == 0
+    path, ticks = shared_folder(spark, "feed-late"), as_stream(cmd.closing_tick(t), "ticks")
+    checkpoint, sink = shared_folder(spark, "checkpoint-late"), shared_folder(spark, "sink-late")
+    for part in (~slow, slow):
+        feed.where(part).write.mode("append").parquet(path)
+        punched = spark.readStream.schema(feed.schema).parquet(path)
+        told = drain(late.checkins_with_late(punched, ticks=ticks), "late", checkpoint, sink, rocksdb=True)
+    return told.select(F.col("late").cast("int").alias("late"), "window_start", "window_end", "checkins", "verified", "shift_id", "punched_at")
+
+
+def damaged_lines(t: OpsTables) -> DataFrame:
+    """The punch feed as JSON lines, some of them spoiled: cut off, a shift in letters, none, a break, a vague time."""
+    n = F.col("shift_id")
+    text = F.to_json(F.struct(
+        F.when(n % 13 == 0, F.lit(None)).otherwise(n).alias("shift_id"), "worker_id", "event_id",
+        F.when(n % 17 == 0, "break").otherwise(F.col("punch_type")).alias("punch_type"),
+        F.when(n % 19 == 0, "soon").otherwise(F.col("punched_at")).alias("punched_at"), "gps_verified", "distance_m",
+    ))
+    cut = F.when(n % 7 == 0, F.substring(text, 1, 20)).when(n % 11 == 0, F.replace(text, F.lit('"shift_id":'), F.lit('"shift_id":"no","was":')))
+    return cmd.punch_feed(t).select(F.coalesce(cut, text).alias("value"))
+
+
+def feed_quarantine(t: OpsTables) -> DataFrame:
+    """Damaged lines through the splitter, in two runs: how many were accepted and rejected, and why."""
+    spark, path = t.spark, shared_folder(spark=t.spark, purpose="lines")
+    good, bad, checkpoint = (shared_folder(spark, p) for p in ("good", "bad", "checkpoint-lines"))
+    for part in (0, 1):
+        damaged_lines(t).where(F.pmod(F.xxhash64("value"), F.lit(2)) == part).write.mode("append").text(path)
+        quarantine.split_stream(quarantine.judge_punches(quarantine.read_lines(spark, path, True)), PUNCHES, good, bad, checkpoint)
+    taken = spark.read.schema(PUNCHES).parquet(good).select(F.lit("accepted").alias("reason"), "shift_id", "punch_type")
+    refused = spark.read.schema("line string, reason string").parquet(bad).select("reason", *[F.lit(None).cast(k).alias(c) for c, k in (("shift_id", "long"), ("punch_type", "string"))])
+    return taken.unionByName(refused).groupBy("reason").agg(F.count("*").alias("lines"), F.countDistinct("shift_id", "punch_type").alias("punches"))
+
+
+def requests(t: OpsTables, as_of: datetime) -> dict[str, DataFrame]:
+    """Requests of three outboxes in one form: key, kind, body."""
+    made = {"location": outbox.outbox_locations(t, as_of), "event": outbox.outbox_events(t, as_of), "shift": outbox.outbox_shifts(t, as_of)}
+    return {
+        kind: rows.select("idempotency_key", F.lit(kind).alias("kind"), F.to_json(F.struct(*[c for c in rows.columns if c != "idempotency_key"])).alias("body"))
+        for kind, rows in made.items()
+    }
+
+
+def outbox_ledger(t: OpsTables) -> DataFrame:
+    """Two runs and a stream ask for the same things, the stream twice, and its first batch is replayed."""
+    spark, made = t.spark, requests(t, AS_OF_B)
+    made["everything"] = reduce(DataFrame.unionByName, [*made.values(), *made.values()])
+    ledger = Ledger(spark, shared_folder(spark, "ledger"), made["event"].schema)
+    out, checkpoint = shared_folder(spark, "requests"), shared_folder(spark, "checkpoint-requests")
+    send_batch(ledger, made["location"].unionByName(made["shift"]), "morning", out)
+    feed = as_stream(made["everything"], "requests")
+    send = sender(ledger, out, "stream")
+    feed.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    send(made["everything"], 0)
+    send_batch(ledger, made["shift"], "evening", out)
+    sent = spark.read.schema("idempotency_key string, kind string").json(out).groupBy("idempotency_key").agg(F.count("*").alias("sent"))
+    return ledger.claims().join(sent, "idempotency_key", "left").select("idempotency_key", "kind", "claim", "sent")
+
+
 def stream_operator_sessions(t: OpsTables) -> DataFrame:
     feed, ticks = as_stream(cmd.punch_feed(t), "punches"), as_stream(cmd.closing_tick(t), "ticks")
     return drain(punches.operator_sessions(feed, ticks=ticks), "sessions")
@@ -426,6 +491,9 @@ def queries() -> dict[str, Query]:
         "stream_shift_state": stream_shift_state,
         "stream_shift_events": stream_shift_events,
         "stream_checkins_windowed": stream_checkins_windowed,
+        "stream_checkins_late": stream_checkins_late,
+        "feed_quarantine": feed_quarantine,
+        "outbox_ledger": outbox_ledger,
         "stream_operator_sessions": stream_operator_sessions,
     }
     raw: dict[str, Callable[[OpsTables], DataFrame]] = {

@@ -595,6 +595,10 @@ SELECT CAST(NULL AS BIGINT) AS form_id, {_EVENT_ID} AS event_id, 'assign-proof-'
 FROM {_TO_EVENT}""",
     "outbox_shifts": f"""
 SELECT {_SHIFT_REQUEST}, 'shift-clear-' || clear_id AS idempotency_key FROM {_PLANNED} AND ext_shift_id IS NULL""",
+    "outbox_ledger": f"""
+SELECT 'loc-site-' || site_id AS idempotency_key, 'location' AS kind, 'morning' AS claim, CAST(1 AS BIGINT) AS sent FROM {_TO_PIN}
+UNION ALL SELECT 'shift-clear-' || clear_id, 'shift', 'morning', 1 FROM {_PLANNED} AND ext_shift_id IS NULL
+UNION ALL SELECT event_key, 'event', 'stream-0', 1 FROM {_TO_EVENT}""",
     "outbox_privacy_audit": f"""
 SELECT 'locations' AS outbox, count(*) AS requests,
   count(*) FILTER (position(lower(access_notes) IN lower(q.location_name || ' ' || q.street_address)) > 0) AS leaks_access,
@@ -884,6 +888,19 @@ SELECT {iso('window_start')} AS window_start, {iso('window_start + INTERVAL 15 M
   count(*) AS checkins, count(*) FILTER (verified = 1) AS verified
 FROM (SELECT time_bucket(INTERVAL 15 MINUTE, {ts('punched_at')}) AS window_start, verified FROM punches WHERE punch_type = 'in')
 GROUP BY window_start""",
+    "stream_checkins_late": f"""
+SELECT 0 AS late, {iso('window_start')} AS window_start, {iso('window_start + INTERVAL 15 MINUTE')} AS window_end,
+  count(*) AS checkins, count(*) FILTER (verified = 1) AS verified, CAST(NULL AS BIGINT) AS shift_id, CAST(NULL AS VARCHAR) AS punched_at
+FROM (SELECT time_bucket(INTERVAL 15 MINUTE, {ts('punched_at')}) AS window_start, verified FROM punches
+      WHERE punch_type = 'in' AND shift_id % 5 <> 0)
+GROUP BY window_start
+UNION ALL SELECT 1, {iso('window_start')}, {iso('window_start + INTERVAL 15 MINUTE')}, 1, CASE WHEN verified = 1 THEN 1 ELSE 0 END, shift_id, punched_at
+FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, {ts('punched_at')}) AS window_start FROM punches WHERE punch_type = 'in' AND shift_id % 5 = 0)""",
+    "feed_quarantine": """
+SELECT reason, count(*) AS lines, count(*) FILTER (reason = 'accepted') AS punches
+FROM (SELECT CASE WHEN shift_id % 7 = 0 OR (shift_id % 11 = 0 AND shift_id % 13 <> 0) THEN 'unreadable' WHEN shift_id % 13 = 0 THEN 'no shift'
+        WHEN shift_id % 17 = 0 THEN 'unknown punch type' WHEN shift_id % 19 = 0 THEN 'no time' ELSE 'accepted' END AS reason FROM punches)
+GROUP BY reason""",
     "stream_operator_sessions": f"""
 SELECT worker_id, {iso('min(moment)')} AS session_start, {iso('max(moment) + INTERVAL 2 HOUR')} AS session_end, count(*) AS punches
 FROM (SELECT *, sum(CASE WHEN moment <= before + INTERVAL 2 HOUR THEN 0 ELSE 1 END) OVER (
