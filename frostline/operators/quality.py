@@ -1,8 +1,10 @@
 """Declared integrity rules as data-quality jobs.
 
-Every job returns violations ``(rule, table, row_id, value)``. Value rules of one table share one pass over it.
-Uniqueness reports every row but the first holder of a key; references report the rows whose parent is missing.
-Keys are counted with map-side combining and anti joins split skewed keys, so one key may hold much of the table.
+Every job returns violations ``(rule, table, row_id, value)``. Uniqueness reports every row but the first holder of a
+key; references report the rows whose parent is missing. All rules share one pass over all tables: rows are turned into
+stacked entries, keys they hold, refer to or are the parent of, and one aggregate finds the bad keys, combined on the
+map side, so one key may hold much of a table. A second scan meets its entries with the bad keys, which are few, and
+says which value rules its rows break.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from frostline.schemas import (
     SITE_SURFACES,
     STORM_STATUSES,
     STORM_TYPES,
+    TABLES,
 )
+from frostline.sources.shared import written_once
 from frostline.sources.tables import OpsTables
 
 # The text shapes a clock and a local start must have.
@@ -118,28 +122,6 @@ REFERENCES = (
 )
 
 
-def check_values(df: DataFrame, table: str, ident: str, checks: list[Check]) -> DataFrame:
-    """All value rules of a table in one scan: each row yields the rules it breaks."""
-    found = F.array(*[
-        F.when(c.broken, F.struct(F.lit(c.rule).alias("rule"), F.col(c.column).cast("string").alias("value")))
-        for c in checks
-    ])
-    broken = F.filter(found, lambda v: v.isNotNull())
-    return df.select(F.col(ident).alias("row_id"), F.explode(broken).alias("v")).select(
-        F.col("v.rule").alias("rule"), F.lit(table).alias("table"), "row_id", F.col("v.value").alias("value")
-    )
-
-
-def repeats(df: DataFrame, rule: str, table: str, ident: str, *key: str) -> DataFrame:
-    """Rows that repeat a key held by a row with a lower id."""
-    present = df.select(ident, *key).dropna(subset=list(key))
-    shared = present.groupBy(*key).agg(F.min(ident).alias("_first"), F.count("*").alias("_n")).where(F.col("_n") > 1)
-    value = F.concat_ws("/", *[F.col(k).cast("string") for k in key])
-    return present.join(shared, list(key)).where(F.col(ident) != F.col("_first")).select(
-        F.lit(rule).alias("rule"), F.lit(table).alias("table"), F.col(ident).cast("long").alias("row_id"), value.alias("value")
-    )
-
-
 def repeated_settings(settings: DataFrame) -> DataFrame:
     """Settings have no number, so a repeated key is reported once."""
     return settings.groupBy("key").count().where(F.col("count") > 1).select(
@@ -148,35 +130,121 @@ def repeated_settings(settings: DataFrame) -> DataFrame:
     )
 
 
-def orphans(
-    child: DataFrame, parent: DataFrame, rule: str, table: str, ident: str, key: str, parent_key: str
-) -> DataFrame:
-    known = parent.select(F.col(parent_key).alias(key))
-    return child.where(F.col(key).isNotNull()).select(ident, key).join(known, key, "left_anti").select(
-        F.lit(rule).alias("rule"), F.lit(table).alias("table"), F.col(ident).alias("row_id"),
-        F.col(key).cast("string").alias("value"),
+# The slot of a clear: one that is not cancelled holds its storm and site.
+SLOT = "one_clear_per_site_storm"
+
+_HOLDER, _CHILD, _PARENT = 0, 1, 2
+_KEY = ("domain", "a", "b", "s")
+
+
+_TEXT_RULES = [rule for rule, table, _, key in UNIQUE if TABLES[table][key].dataType.simpleString() == "string"]
+
+
+def _domain(name: str) -> int:
+    """Keys of different domains never meet: a uniqueness rule is one, a table that others refer to is one."""
+    names = ["value", SLOT, *[rule for rule, *_ in UNIQUE], *dict.fromkeys(parent for *_, parent, _ in REFERENCES)]
+    return names.index(name)
+
+
+def _said(domain: str, rule: str, role: int, ident: str, a: Column, b: Column, s: Column, value: Column, whole: bool) -> Column:
+    key = [F.lit(_domain(domain)).alias("domain"), F.lit(role).alias("role"), F.col(ident).cast("long").alias("row_id"),
+           a.cast("long").alias("a"), b.cast("long").alias("b"), s.alias("s")]
+    return F.struct(*key, F.lit(rule).alias("rule"), value.cast("string").alias("value")) if whole else F.struct(*key)
+
+
+def _entry(rule: str, domain: str, role: int, ident: str, *key: str, whole: bool, where: Column | None = None) -> Column:
+    """What a row says about a key: that it holds it, refers to it or is the parent; null where the key is absent. Keys
+    are up to two numbers, or a text. Only a ``whole`` entry names its rule."""
+    present = reduce(Column.__and__, [F.col(k).isNotNull() for k in key])
+    a, b = (*[F.col(k) for k in key if rule not in _TEXT_RULES], F.lit(0), F.lit(0))[:2]
+    s = F.col(key[0]) if rule in _TEXT_RULES else F.lit("")
+    said = _said(domain, rule, role, ident, a, b, s, F.lit(None), whole)
+    return F.when(present if where is None else present & where, said)
+
+
+def _broken(check: Check, ident: str) -> Column:
+    """A broken value rule as an entry with a key of its own."""
+    return F.when(check.broken, _said("value", check.rule, _HOLDER, ident, F.col(ident), F.lit(0), F.lit(""), F.col(check.column), True))
+
+
+#: Id column of every table that rules name.
+IDENTS = {
+    "contracts": "contract_id", "sites": "site_id", "operators": "operator_id", "storms": "storm_id", "clears": "clear_id",
+    "mileage": "trip_id", "invoices": "invoice_id", "payouts": "payout_id",
+}
+
+
+def _entries(t: OpsTables, whole: bool) -> DataFrame:
+    """All that the rows of all tables say about keys, in one scan of each; ``whole`` for the second scan, with rules, the
+    broken value rules and no parents, bare for the first."""
+    checks, stacked = value_checks(), []
+    for table, ident in IDENTS.items():
+        df: DataFrame = getattr(t, table)
+        said = [_entry(rule, rule, _HOLDER, ident, key, whole=whole) for rule, of, _, key in UNIQUE if of == table]
+        said += [_entry(rule, parent, _CHILD, ident, key, whole=whole) for rule, child, _, key, parent, _ in REFERENCES if child == table]
+        if table == "clears":
+            said.append(_entry(SLOT, SLOT, _HOLDER, ident, "storm_id", "site_id", whole=whole, where=F.col("status") != "cancelled"))
+        if whole:
+            said += [_broken(check, ident) for check in checks.get(table, (ident, []))[1]]
+        elif any(parent == table for *_, parent, _ in REFERENCES):
+            said.append(_entry("parent", table, _PARENT, ident, ident, whole=False))
+        if not said:
+            continue
+        # Exploded first and filtered then: both are generated code, a filter by a lambda is not.
+        found = df.select(F.explode(F.array(*said)).alias("e")).where(F.col("e").isNotNull())
+        stacked.append(found.select(F.lit(table).alias("table"), "e.*") if whole else found.select("e.*"))
+    return reduce(DataFrame.unionByName, stacked)
+
+
+def _bad_keys(entries: DataFrame) -> DataFrame:
+    """Keys that several rows hold, with the first of them, and keys that are referred to without a parent. One
+    aggregate, combined before its only shuffle."""
+    holder = F.col("role") == _HOLDER
+    return entries.groupBy(*_KEY).agg(
+        F.sum(F.when(holder, 1).otherwise(0)).alias("_holders"), F.min(F.when(holder, F.col("row_id"))).alias("_first"),
+        F.max("role").alias("_role"),
+    ).where((F.col("_holders") > 1) | (F.col("_role") == _CHILD)).select(*_KEY, "_first")
+
+
+def _violations(bad: DataFrame, judged: DataFrame) -> DataFrame:
+    """Rows of ``judged`` that break a value rule, hold a key that an earlier row holds, or lack a parent."""
+    is_value = F.col("domain") == _domain("value")
+    by_key = F.col("_bad") & ((F.col("role") == _CHILD) | (F.col("row_id") != F.col("_first")))
+    key = F.when(F.col("rule").isin(*_TEXT_RULES), F.col("s")).when(F.col("rule") == SLOT, F.concat_ws("/", "a", "b"))
+    return judged.join(bad.withColumn("_bad", F.lit(True)), list(_KEY), "left").where(is_value | by_key).select(
+        "rule", "table", "row_id", F.when(is_value, F.col("value")).otherwise(F.coalesce(key, F.col("a").cast("string"))).alias("value")
     )
 
 
+def dq_violations(t: OpsTables) -> DataFrame:
+    """All violations of all rules. Every table is scanned twice: for its keys, which are aggregated once for all rules,
+    and for its values and the rows that hold or refer to bad keys. The bad keys are written in between, so that Spark
+    knows their size: few are broadcast to the second scan, many are met by a shuffle."""
+    bad = written_once(_bad_keys(_entries(t, whole=False)), "bad-keys")
+    return _violations(bad, _entries(t, whole=True)).unionByName(repeated_settings(t.settings))
+
+
 def double_bookings(clears: DataFrame) -> DataFrame:
     """Clears that are not cancelled on a storm and site another one already holds."""
-    return repeats(
-        clears.where(F.col("status") != "cancelled"), "one_clear_per_site_storm", "clears", "clear_id",
-        "storm_id", "site_id",
-    )
+    said = _entry(SLOT, SLOT, _HOLDER, "clear_id", "storm_id", "site_id", whole=True, where=F.col("status") != "cancelled")
+    held = clears.select(F.lit("clears").alias("table"), said.alias("e")).where(F.col("e").isNotNull()).select("table", "e.*")
+    return _violations(_bad_keys(held), held)
 
 
-def dq_violations(t: OpsTables) -> DataFrame:
-    found = [
-        check_values(getattr(t, table), table, ident, checks) for table, (ident, checks) in value_checks().items()
-    ]
-    found += [repeats(getattr(t, table), rule, table, ident, key) for rule, table, ident, key in UNIQUE]
-    found += [repeated_settings(t.settings), double_bookings(t.clears)]
-    found += [
-        orphans(getattr(t, child), getattr(t, parent), rule, child, ident, key, parent_key)
-        for rule, child, ident, key, parent, parent_key in REFERENCES
-    ]
-    return reduce(DataFrame.unionByName, found)
+#: Rules that say what nothing downstream can use, not what may not be stored.
+ADVISORY = ("start_unreadable", "storm_clock_unreal")
+
+
+def gate(t: OpsTables, table: str, violations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of a table that may be written, and the rejected ones with the rules they break. Give ``violations`` (a
+    written table) to judge several tables by one pass."""
+    ident, rows = IDENTS[table], getattr(t, table)
+    found = dq_violations(t) if violations is None else violations
+    broken = found.where((F.col("table") == table) & ~F.col("rule").isin(*ADVISORY)).groupBy("row_id").agg(
+        F.sort_array(F.collect_set("rule")).alias("rules")
+    )
+    named = broken.withColumnRenamed("row_id", ident)
+    return rows.join(named, ident, "left_anti").select(*rows.columns), rows.join(named, ident)
 
 
 def dq_violation_counts(t: OpsTables) -> DataFrame:

@@ -143,6 +143,20 @@ def opening(t: OpsTables) -> DataFrame:
     return t.storms.where(F.col("status") == "forecast")
 
 
+def dq_gate(t: OpsTables) -> DataFrame:
+    """The spoiled batch at the gate: rows of each table that may be written and rows that may not."""
+    batch = spoiled(t)
+    found = written_once(quality.dq_violations(batch), "violations")
+    counts = []
+    for table in quality.IDENTS:
+        sides = zip((1, 0), quality.gate(batch, table, found))
+        both = reduce(DataFrame.unionByName, [rows.select(F.lit(side).alias("side")) for side, rows in sides])
+        counts.append(both.agg(F.count_if(F.col("side") == 1).alias("accepted"), F.count_if(F.col("side") == 0).alias("rejected")).select(
+            F.lit(table).alias("table"), "accepted", "rejected"
+        ))
+    return reduce(DataFrame.unionByName, counts)
+
+
 def busiest_storm(t: OpsTables) -> DataFrame:
     """The storm with the most planned clears (the lowest id of several) and its month."""
     counts = t.clears.where(F.col("status") == "planned").groupBy("storm_id", "storm_month").agg(F.count("*").alias("n"))
@@ -437,6 +451,7 @@ def queries() -> dict[str, Query]:
         "dq_violations": quality.dq_violations,
         "dq_staged_violations": lambda t: quality.dq_violations(spoiled(t)),
         "dq_violation_counts": quality.dq_violation_counts,
+        "dq_gate": dq_gate,
         "delete_plan": delete_plan,
         # dispatch
         "storm_open_clears": lambda t: transitions.open_storm(t, opening(t)).select(*CLEAR_STATE),

@@ -547,7 +547,15 @@ _STAGED = f"""SELECT * FROM (WITH {_spoiled_tables()}
 {_VIOLATIONS}
 UNION ALL SELECT 'unique_setting', 'settings', NULL, key FROM settings GROUP BY key HAVING count(*) > 1)"""
 
+_GATED = ("contracts", "sites", "operators", "storms", "clears", "mileage", "invoices", "payouts")
+_GATED_ROWS = " UNION ALL ".join(f"SELECT '{name}' AS \"table\", count(*) AS n FROM {name}" for name in _GATED)
+
 _QUALITY = {
+    "dq_gate": f"""
+SELECT "table", n - coalesce(bad, 0) AS accepted, coalesce(bad, 0) AS rejected
+FROM (WITH {_spoiled_tables()} {_GATED_ROWS}) LEFT JOIN (
+  SELECT "table", count(DISTINCT row_id) AS bad FROM ({_STAGED}) WHERE rule NOT IN ('start_unreadable', 'storm_clock_unreal')
+  GROUP BY "table") USING ("table")""",
     "dq_violations": _VIOLATIONS,
     "dq_staged_violations": _STAGED,
     "dq_violation_counts": f"""
@@ -826,18 +834,22 @@ SELECT * FROM (
 WHERE problems <> ''""",
     "notes_leak_scan": f"""
 SELECT text_id, CASE WHEN coded THEN 1 ELSE 0 END AS gate_code, coalesce(names, 0) AS names, first_name
-FROM (SELECT text_id, regexp_matches(text, '(?i)\\b(gate|door|lockbox|access|entry)( code| pin)?( is|:|#)? *#?[0-9]{{3,8}}\\b') AS coded
+FROM (SELECT text_id, contains(low, 'gate') OR contains(low, 'door') OR contains(low, 'lockbox') OR contains(low, 'access') OR contains(low, 'entry') AS may,
+        may AND regexp_matches(text, '(?i)\\b(gate|door|lockbox|access|entry)( code| pin)?( is|:|#)? *#?[0-9]{{3,8}}\\b') AS coded
       FROM texts) t
 LEFT JOIN (SELECT text_id, count(*) AS names, min(contact_name) AS first_name
-      FROM (SELECT DISTINCT text_id, unnest(regexp_extract_all(' ' || {_NORMAL_TEXT} || ' ', 'contact [0-9]+ ')) AS said FROM texts) s
+      FROM (SELECT DISTINCT text_id, unnest(regexp_extract_all(' ' || {_NORMAL_TEXT} || ' ', 'contact [0-9]+ ')) AS said
+            FROM texts WHERE contains(low, 'contact')) s
       JOIN contracts ON lower(contact_name) = trim(said) GROUP BY 1) n USING (text_id)
 WHERE coded OR names > 0""",
 }
 _TEXTS = """,
-texts AS (
-  SELECT 'clear-' || clear_id AS text_id, notes AS text FROM clears WHERE notes IS NOT NULL
-  UNION ALL SELECT 'document-' || doc_id, text FROM documents
-  UNION ALL SELECT DISTINCT concat_ws('-', 'turn', conv_id, turn, role, md5(text)), text FROM conversations)
+texts AS MATERIALIZED (
+  SELECT *, lower(text) AS low FROM (
+    SELECT 'clear-' || clear_id AS text_id, notes AS text FROM clears WHERE notes IS NOT NULL
+    UNION ALL SELECT 'document-' || doc_id, text FROM documents
+    UNION ALL SELECT DISTINCT concat_ws('-', 'turn', conv_id, turn, role, md5(text)), text FROM conversations)
+  WHERE text IS NOT NULL)
 """
 
 _STREAMS = {

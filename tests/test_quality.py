@@ -56,3 +56,30 @@ def test_each_rule(spark):
 def test_counts(spark):
     counts = {r.rule: r.violations for r in quality.dq_violation_counts(bad_book(spark)).collect()}
     assert counts["scheduled_start"] == 4 and counts["unique_setting"] == 1
+
+
+def test_clears_are_scanned_twice(spark):
+    """All rules together: one scan of the fact table for keys, one for values and culprits."""
+    from frostline.sources.shared import shared_folder
+    from frostline.sources.tables import read_tables, write_tables
+
+    root = shared_folder(spark, "book")
+    write_tables(bad_book(spark), root)
+    t = read_tables(spark, root)
+
+    def scans(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        # A scan of clears is a leaf relation with a column that only clears have.
+        return sum("ext_event_id" in line for line in plan.splitlines() if line.strip(" :+-").startswith("Relation"))
+
+    assert scans(quality._bad_keys(quality._entries(t, whole=False))) == scans(quality.dq_violations(t)) == 1
+
+
+def test_the_gate_splits_a_batch(spark):
+    t = bad_book(spark)
+    good, bad = quality.gate(t, "clears")
+    assert {r.clear_id for r in good.collect()} == {1, 8} - {8} and good.columns == t.clears.columns
+    assert {r.clear_id: set(r.rules) for r in bad.collect()}[2] == {"one_clear_per_site_storm", "unique_shift"}
+    assert good.count() + bad.count() == t.clears.count()
+    good, bad = quality.gate(t, "storms")
+    assert {r.storm_id for r in good.collect()} == {1}  # a clock that never comes is advice only
