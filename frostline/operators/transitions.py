@@ -177,11 +177,13 @@ def record_shifts(t: OpsTables, responses: DataFrame, audit_now: datetime, delta
 # -- "I'm here now" -------------------------------------------------------------------------------------------
 
 
+def planned_windows(t: OpsTables) -> DataFrame:
+    return t.clears.where(_is_planned()).select("site_id", "clear_id", "storm_id", "ext_event_id", "ext_shift_id", "scheduled_start")
+
+
 def adhoc_candidates(t: OpsTables, pattern: str) -> DataFrame:
     """Sites whose street or address matches, each with its planned clears (storm only while it is open)."""
-    planned = t.clears.where(_is_planned()).select(
-        "site_id", "clear_id", "storm_id", "ext_event_id", "ext_shift_id", "scheduled_start"
-    )
+    planned = planned_windows(t)
     storms = open_storms(t).select("storm_id", "storm_ref")
     matching = t.sites.where(F.col("street_name").ilike(pattern) | F.col("address").ilike(pattern))
     return (

@@ -19,14 +19,17 @@ from frostline.operators import (
     marts,
     outbox,
     payouts,
+    place_index,
     proofs,
     quality,
+    same_lot,
     transitions,
 )
 from frostline.plans import commands as cmd
 from frostline.plans.commands import AS_OF_A, AS_OF_B, AUDIT
 from frostline.plans.projection import load_raw
 from frostline.plans.staging import spoiled
+from frostline.plans.views import VIEWS, register_views
 from frostline.plans.workspace import tables, versioned
 from frostline.schemas import MILES, PUNCHES, RATE, SETTING_SEEDS
 from frostline.sources import quarantine
@@ -235,6 +238,64 @@ def sites_merged(t: OpsTables) -> DataFrame:
     return transitions.merge_sites(t, lot)
 
 
+def address_book(t: OpsTables) -> DataFrame:
+    """Every site with a street type and a suite, spelled again in two ways, and with neighbours that are other lots."""
+    n = F.col("site_id")
+    house, street = F.substring_index("address", " ", 1), F.substring_index("address", " ", -2)
+    suite = (n % 7 + 1).cast("string")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("Avenue", "Street", "Road", "Drive")]), (n % 4 + 1).cast("int"))
+    short = F.element_at(F.array(*[F.lit(k) for k in ("Ave.", "ST", "Rd", "dr.")]), (n % 4 + 1).cast("int"))
+    typo = F.concat(F.substring(street, 1, 3), F.expr("substring(substring_index(address, ' ', -2), 5)"))
+    zipped = F.when(F.col("zip").isNull() & F.col("city").isNull(), F.lit("55001")).otherwise(F.col("zip"))
+
+    def rows(shift: int, address: Column, city: Column = F.col("city"), zip_: Column = zipped) -> DataFrame:
+        return t.sites.select((n + shift * 1_000_000_000).alias("site_id"), address.alias("address"), city.alias("city"), "state", zip_.alias("zip"))
+
+    spelled = F.concat_ws(" ", house, street, kind, F.lit("Ste"), suite)
+    made = [
+        rows(0, spelled), rows(1, F.concat_ws(" ", F.concat(F.lit("#"), suite), house, F.upper(street), short), F.lit(None).cast("string")),
+        rows(2, F.concat(house, F.lit(" "), typo, F.lit(" "), short, F.lit(", Unit "), suite)), rows(3, spelled),
+        rows(4, F.concat_ws(" ", (house.cast("long") + 2).cast("string"), street, kind, F.lit("Ste"), suite)),
+        rows(5, F.concat_ws(" ", house, street, kind, F.lit("Ste"), (n % 7 + 2).cast("string"))), rows(6, F.concat_ws(" ", house, street, kind)),
+    ]
+    return reduce(DataFrame.unionByName, made)
+
+
+def lots_linked(t: OpsTables) -> DataFrame:
+    return same_lot.lots(address_book(t)).where("site_id <> lot")
+
+
+def places_said(t: OpsTables) -> DataFrame:
+    """A request from every site: six letters of its address; from every thousandth two letters, and one nobody knows."""
+    n = F.col("site_id")
+    said = F.when(n % 1000 == 1, F.substring("street_name", 1, 2)).when(n % 1000 == 2, F.lit("qzx")).otherwise(F.upper(F.substring("address", 2, 6)))
+    return t.sites.select(n.alias("request_id"), said.alias("said"))
+
+
+#: What is asked of each view in ``sql_views``: a filter, if its columns allow one.
+VIEW_FILTERS = dict.fromkeys(("billable_clears", "clears_planned", "clears_today", "clears_upcoming", "sla_at_risk", "storms_open"), "storm_id % 3 = 1")
+VIEW_FILTERS |= dict.fromkeys(("receivables_by_contract", "invoices_outstanding"), "contract_type = 'hoa'")
+VIEW_FILTERS |= dict.fromkeys(("payouts_due", "payouts_missing", "operator_activity"), "operator_id % 2 = 0")
+VIEW_FILTERS |= {"sites_uncleared": "storm_id % 3 = 1 AND site_id % 5 = 0", "needs_location": "contract_id % 2 = 0", "mileage_by_month": "trips > 1"}
+
+
+def sql_views(t: OpsTables) -> DataFrame:
+    """Rows that SQL finds in every view behind a filter."""
+    prefix = f"v{uuid.uuid4().hex}_"
+    register_views(t, AS_OF_B, prefix)
+    counts = [f"SELECT '{name}' AS view, count(*) AS n FROM {prefix}{name} WHERE {VIEW_FILTERS[name]}" for name in VIEWS]
+    return t.spark.sql(" UNION ALL ".join(counts))
+
+
+def sql_storm_board(t: OpsTables) -> DataFrame:
+    """The planned board of one storm by SQL, in its order."""
+    prefix = f"v{uuid.uuid4().hex}_"
+    register_views(t, AS_OF_B, prefix)
+    return t.spark.sql(f"""
+        SELECT clear_id, scheduled_start, street_address, sla_deadline, operator_name, needs_shift
+        FROM {prefix}clears_planned WHERE storm_id = 1 OR storm_ref LIKE 'ST-2001-%7' ORDER BY scheduled_start, clear_id""")
+
+
 def new_operators(t: OpsTables) -> DataFrame:
     """Every operator as if just hired: an address, no worker id; colleagues of one first name share an address."""
     address = F.concat(F.lit("crew"), F.substring("operator_name", -1, 1), F.lit("@example.com"))
@@ -465,6 +526,7 @@ def queries() -> dict[str, Query]:
         ),
         # ad hoc
         "adhoc_candidates": lambda t: transitions.adhoc_candidates(t, "%RING%"),
+        "adhoc_batch": lambda t: place_index.candidates(t, places_said(t)),
         "adhoc_inserts": lambda t: transitions.adhoc_inserts(t, cmd.here_now(t, b)).select(*CLEAR_STATE, "is_adhoc"),
         "adhoc_verdicts": lambda t: transitions.adhoc_verdicts(t, cmd.here_now(t, b)),
         # changes to clears
@@ -495,6 +557,10 @@ def queries() -> dict[str, Query]:
         ),
         "address_book_normalized": lambda t: transitions.look_up_addresses(t, cmd.typed_addresses(t)),
         "sites_merged": sites_merged,
+        "lots_linked": lots_linked,
+        # SQL
+        "sql_views": sql_views,
+        "sql_storm_board": sql_storm_board,
         # proofs
         "proof_validation": lambda t: proofs.proof_validation(cmd.proof_feed(t)),
         # streams

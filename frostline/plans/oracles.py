@@ -690,6 +690,16 @@ SELECT * FROM (WITH waiting AS (
   found AS (FROM sites WHERE contains(lower(concat_ws(chr(10), street_name, address)), 'ring'))
 SELECT f.site_id, f.street_name, f.address, f.ext_location_id, clear_id, ext_event_id, ext_shift_id, scheduled_start,
   open_ref AS storm_ref
+FROM waiting RIGHT JOIN found f ON waiting.site_id = f.site_id)""",
+    "adhoc_batch": """
+SELECT * FROM (WITH waiting AS (
+    SELECT w.*, CASE WHEN w.storm_status IN ('active', 'forecast') THEN w.storm_ref END AS open_ref FROM wide w WHERE w.status = 'planned'),
+  asked AS (SELECT site_id AS request_id, trim(lower(CASE WHEN site_id % 1000 = 1 THEN substr(street_name, 1, 2) WHEN site_id % 1000 = 2 THEN 'qzx'
+      ELSE substr(address, 2, 6) END)) AS said FROM sites),
+  found AS (SELECT request_id, si.* FROM asked JOIN sites si
+    ON said <> '' AND (contains(lower(address), said) OR coalesce(contains(lower(street_name), said), FALSE)))
+SELECT f.request_id, f.site_id, f.street_name, f.address, f.ext_location_id, clear_id, ext_event_id, ext_shift_id, scheduled_start,
+  open_ref AS storm_ref
 FROM waiting RIGHT JOIN found f ON waiting.site_id = f.site_id)""",
     "adhoc_inserts": "SELECT *, 1 AS is_adhoc FROM (" + _fresh(
         _LATEST_STORM, "-si.site_id", "'2001-07-20T05:40'", "30",
@@ -734,6 +744,8 @@ SELECT -clear_id, storm_id, site_id, operator_id, strftime(start_at + INTERVAL 1
   'planned', {usd('coalesce(ct.per_clear_fee_cents, 0)')}, {usd('coalesce(ct.salt_fee_cents, 0)')}, CAST(0 AS DOUBLE),
   NULL, NULL, 0
 FROM wide JOIN contracts ct USING (contract_id) WHERE status = 'planned' AND storm_type = 'mix'""",
+    "lots_linked": """
+SELECT site_id + again * CAST(1000000000 AS BIGINT) AS site_id, site_id AS lot FROM sites CROSS JOIN (VALUES (1), (2), (3)) AS spelled(again)""",
     "storm_batch_months": """
 SELECT storm_month, count(*) AS clears, count(*) FILTER (status = 'cancelled' OR (storm_id = busiest AND status = 'planned')) AS cancelled,
   max(CASE WHEN storm_id = busiest THEN 1 ELSE 0 END) AS rewritten
@@ -942,8 +954,22 @@ def _after_batches() -> str:
     return before + rest[:end].replace("clears AS (", "clears_before AS (", 1) + changed + rest[end:]
 
 
+def _view_counts() -> str:
+    """Every view's checking SQL, at one instant, counted behind the filter that the query gives it."""
+    from frostline.plans.catalogue import VIEW_FILTERS
+
+    bodies = {**_BOARDS, **_BILLING, **_PAYOUTS, **_ACTIVITY}
+    counts = []
+    for name, asked in VIEW_FILTERS.items():
+        body = bodies[name].replace("2001-08-01", "2001-07-20") if name in ("sla_at_risk", "invoices_outstanding", "operator_activity") else bodies[name]
+        counts.append(f"SELECT '{name}' AS view, count(*) AS n FROM ({PRELUDE}\n{body.strip()}) WHERE {asked}")
+    return "\nUNION ALL\n".join(counts)
+
+
 def oracle_sql() -> dict[str, str]:
-    found = {}
+    found = {"sql_views": _view_counts()}
+    found["sql_storm_board"] = f"""SELECT clear_id, scheduled_start, street_address, sla_deadline, operator_name, needs_shift
+FROM ({PRELUDE}\n{_BOARDS['clears_planned'].strip()}) WHERE storm_id = 1 OR storm_ref LIKE 'ST-2001-%7'"""
     for name, like in (("receivables_maintained", _BILLING["receivables_by_contract"]), ("recap_maintained", _ACTIVITY["storm_recap"])):
         found[name] = f"{_after_batches()}\n{like.strip()}"
     for group in (_BOARDS, _BILLING, _PAYOUTS, _ACTIVITY, _DEFAULTS, _QUALITY, _DISPATCH, _CHANGES, _TEXT, _STREAMS):
