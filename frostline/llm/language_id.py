@@ -19,7 +19,6 @@ equally likely beforehand. Extra columns are ignored, repeated rows are judged e
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,6 @@ from frostline.llm.common import named
 ORDER = 4
 #: What stands before the first byte of a text.
 BEFORE = b"\n" * ORDER
-LETTER = re.compile(r"[^\W\d_]")
 #: Places coded at once: bounds memory for texts of any length.
 BLOCK = 1 << 20
 
@@ -191,7 +189,7 @@ def predict(docs: DataFrame, key: str = "doc_id", text: str = "text", language:
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(1)]
             names, scores = ["und"] * len(texts), [0.0] * len(texts)
-            judged = [i for i, t in enumerate(texts) if LETTER.search(t)] if known else []
+            judged = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if known else []
             if judged:
                 bits = known.lengths([texts[i].encode() for i in judged])
                 best = bits.argmin(axis=1)

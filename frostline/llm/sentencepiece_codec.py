@@ -8,8 +8,8 @@ normalised input; both outcomes are columns.
 
 Where markers only stand at the start of pieces (checked on the vocabulary; else texts are not cut), no piece can cross
 from another character to a marker. A text is then cut into segments of markers and what follows them, and the tokens
-of a text are those of its segments in a row. Each task encodes, compares and decodes every different segment of a batch
-once.
+of a text are those of its segments in a row. A worker process encodes, compares and decodes every different segment it
+meets once, over all its tasks, as far as its memory for segments goes.
 
 Defined results: null and empty texts have no tokens and decode to an empty text. The marker character itself in a text
 decodes to a space, as SentencePiece has it. Extra columns are ignored, repeated rows are encoded each. The model is
@@ -22,6 +22,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -38,7 +39,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters given to the library at once; bounds the memory of its results.
 BATCH_CHARS = 1_000_000
-#: Different segments a task remembers.
+#: Different segments a worker process remembers.
 KNOWN = 1_000_000
 #: Threads of the library in each task.
 THREADS = 2
@@ -193,6 +194,12 @@ class Codec:
             self.lost.add(MARK)
 
 
+@lru_cache(maxsize=1)
+def process_codec(data: bytes) -> Codec:
+    """The codec of a model for all tasks that a worker process runs one after the other: what one has met, the next knows."""
+    return Codec(data)
+
+
 def batches_of(texts: list[str], most: int = BATCH_CHARS) -> Iterator[list[str]]:
     """Runs of whole texts of about ``most`` characters; a longer text is a run of its own."""
     held: list[str] = []
@@ -215,7 +222,7 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
     sent = docs.sparkSession.sparkContext.broadcast(data)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(sent.value)
+        codec = process_codec(sent.value)
         for batch in rows:
             at = 0
             for texts in batches_of([t.as_py() or "" for t in batch.column(1)]):

@@ -89,3 +89,12 @@ def test_code_lengths_are_those_of_the_tree():
     got = model.lengths(probes)
     want = [[brute_bits(trees[x], p, li.ORDER) for x in ("a", "b")] for p in probes]
     assert np.allclose(got, want, rtol=1e-4)
+
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    """Fractions, powers, circled and Roman numerals are numbers; marks without a letter are none either."""
+    texts = ["½ ² ①", "Ⅷ", "12 34", "-- ++", "́", "a", "ß", "日", "ª"]
+    learned = [(100 + i, "the quiet harbour at dawn and the boats", "en") for i in range(30)]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)] + learned, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in li.predict(docs).where("doc_id < 100").collect()}
+    assert [got[i] for i in range(len(texts))] == ["und"] * 5 + ["en"] * 4
