@@ -5,9 +5,9 @@ within the threshold, one segment of the shorter one is untouched and stands in
 the index holds every segment under (length of the line, number of the segment, its text), and a line probes, for each
 length from its own down to ``edits`` less and each segment, the few substrings that the multi-match-aware bounds allow.
 Segments and substrings travel as packed hashes beside the line's number, to ranges of hashes that keep those which
-several lines share; only these are joined. Lines that meet are verified: first by comparing which characters they hold,
-inside the join, so that a segment that many lines share yields no pairs but those that can be near; then by a banded
-bit-parallel edit distance on the texts.
+several lines share; only these are joined. Lines that meet are verified: first by comparing which characters and which
+pairs of neighbouring characters they hold, as parities, inside the join, so that a segment that many lines share yields
+no pairs but those that can be near; then by a banded bit-parallel edit distance on the texts.
 
 A line is removed if an equal line or a line within the threshold stands earlier, in order of document key, then place.
 Lines under ``min_chars`` code points are never duplicates of anything and stay.
@@ -23,7 +23,7 @@ given once and written down. Extra columns are kept. An empty table gives an emp
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -33,6 +33,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from frostline.llm.common import bucketed, free_name, named, stored
 
@@ -165,6 +166,29 @@ def held_characters(text: Column) -> Column:
     return out
 
 
+def pair_parities(text: str) -> list[int]:
+    """256 bits as four numbers: bit ``i`` says whether an odd number of the text's pairs of neighbouring characters fall
+    under ``i``. An edit takes away two pairs and puts there two at most, so it turns four bits at most."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    pairs = (codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(56)
+    odd = np.bincount(pairs.astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def with_parities(lines: DataFrame) -> DataFrame:
+    """``lines`` with the bits of :func:`pair_parities` in four columns."""
+    at = lines.columns.index("text")
+    bits = [StructField(f"p{i}", LongType()) for i in range(4)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([pair_parities(t) for t in batch.column(at).to_pylist()], np.int64).reshape(-1, 4)
+            columns = [*batch.columns, *[pa.array(found[:, i]) for i in range(4)]]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *[b.name for b in bits]])
+
+    return lines.mapInArrow(run, StructType([*lines.schema.fields, *bits]))
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance is at most ``edits``: bit-parallel on a band of ``2 * edits + 1`` diagonals.
 
@@ -227,11 +251,17 @@ def near_lines(chunks: DataFrame, edits: int) -> DataFrame:
     n = RANGES * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     common = stored(shared_marks(marked(chunks, edits, n)), "marks").distinct()
     lines = lines_at(chunks, common.select("line").distinct())
-    lines = stored(lines.select("line", "text", "first", held_characters(F.col("text")).alias("held")), "candidates")
-    common = common.join(lines.select("line", "held"), "line")
-    left = common.where("own").select("mark", F.col("line").alias("a"), F.col("held").alias("held_a"))
-    right = common.select("mark", F.col("line").alias("b"), F.col("held").alias("held_b"))
-    likely = F.bit_count(F.col("held_a").bitwiseXOR(F.col("held_b"))) <= 2 * edits
+    held = with_parities(lines.select("line", "text", "first", held_characters(F.col("text")).alias("held")))
+    lines = stored(held, "candidates")
+    signs = ("held", "p0", "p1", "p2", "p3")
+    common = common.join(lines.select("line", *signs), "line")
+    left = common.where("own").select("mark", F.col("line").alias("a"), *[F.col(c).alias(f"{c}_a") for c in signs])
+    right = common.select("mark", F.col("line").alias("b"), *[F.col(c).alias(f"{c}_b") for c in signs])
+
+    def turned(*columns: str) -> Column:
+        return reduce(Column.__add__, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in columns])
+
+    likely = (turned("held") <= 2 * edits) & (turned(*signs[1:]) <= 4 * edits)
     met = left.join(right, "mark").where((F.col("a") != F.col("b")) & likely)
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda x: lines.select(F.col("line").alias(x), F.col("text").alias(f"text_{x}"), F.col("first").alias(f"first_{x}"))

@@ -77,3 +77,30 @@ def test_odd_rows(frame):
 def test_a_line_in_every_document(frame):
     pairs = [(k, f"this very line stands in every document\nbut this one stands in number {k * 7919} alone, {k * 104729}") for k in range(300)]
     assert sorted(map(tuple, ld.report(frame(pairs)).collect()), key=str) == brute(pairs)
+
+
+def test_an_edit_turns_four_pair_parities_at_most():
+    rng = random.Random(5)
+    turned = lambda a, b: sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(ld.pair_parities(a), ld.pair_parities(b)))
+    for _ in range(3000):
+        text = "".join(rng.choice("ab cé日") for _ in range(rng.randint(1, 60)))
+        for edits in (1, 2, 3):
+            assert turned(text, changed(rng, text, edits) if len(text) > edits else text) <= 4 * edits
+    assert turned("", "") == turned("a", "b") == 0
+
+
+def test_a_segment_that_a_third_of_the_lines_share(frame):
+    """A long line with words put in at other places: few of them are near, and those are found."""
+    rng = random.Random(6)
+    words = "the wind over open water carries salt and sand to every field behind the dunes".split() * 3
+    lines = []
+    for i in range(120):
+        own = list(words)
+        for _ in range(3):
+            own[rng.randrange(20, len(own))] = "".join(rng.choice("klmnop") for _ in range(6))
+        lines.append(" ".join(own))
+    lines += [changed(rng, rng.choice(lines), rng.randint(0, 3)) for _ in range(40)]
+    lines += ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(240)]
+    rng.shuffle(lines)
+    pairs = [(i, x) for i, x in enumerate(lines)]
+    assert sorted(map(tuple, ld.report(frame(pairs)).collect()), key=str) == brute(pairs)
