@@ -189,6 +189,13 @@ def invoice_line_items(t: OpsTables, as_of: datetime, first_id: int | None = Non
     return lines.groupBy("invoice_number", "storm_ref").agg(F.count("*").alias("lines"), F.sort_array(F.collect_list("x"))["item"].alias("line_items"))
 
 
+def invoices_with_items(t: OpsTables, as_of: datetime, first_id: int | None = None) -> DataFrame:
+    """The invoices of a run with their line items: a row for each invoice and storm, which is the unit of the items."""
+    return invoice_run(t, as_of, first_id).join(as_json(invoice_line_items(t, as_of, first_id)), "invoice_number").select(
+        "invoice_id", "contract_id", "invoice_number", "invoice_date", "due_date", "total_amount", "storm_ref", "lines", "line_items"
+    )
+
+
 def as_json(items: DataFrame) -> DataFrame:
     """Line items as JSON text; NULL fields stay in."""
     kinds = {f.name: "double" if f.dataType == MONEY else "string" for f in LINE_ITEM.fields}

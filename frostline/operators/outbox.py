@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +90,19 @@ def leaks(t: OpsTables, requests: DataFrame, *texts: str) -> DataFrame:
     }).drop("access_notes", "contact_name")
 
 
+def audit_of_clears(t: OpsTables, outboxes: dict[str, DataFrame]) -> DataFrame:
+    """The same audit for outboxes whose requests name a clear: all that a request says, keys included, against the
+    secrets of the clear's site and contract."""
+    places = t.clears.select("clear_id", "site_id").join(t.sites.select("site_id", "contract_id"), "site_id")
+    audited = []
+    for name, requests in outboxes.items():
+        said = requests.join(places, "clear_id").select("site_id", "contract_id", F.concat_ws(" ", *[F.col(c).cast("string") for c in requests.columns]).alias("said"))
+        audited.append(leaks(t, said, "said").select(F.lit(name).alias("outbox"), "leaks_access", "leaks_contact"))
+    return reduce(DataFrame.unionByName, audited).groupBy("outbox").agg(
+        F.count("*").alias("requests"), F.sum("leaks_access").alias("leaks_access"), F.sum("leaks_contact").alias("leaks_contact")
+    )
+
+
 def outbox_privacy_audit(t: OpsTables, as_of: datetime) -> DataFrame:
     """Per outbox: requests audited and requests that give away a contact or an access note."""
     locations = leaks(t, outbox_locations(t, as_of), "name", "street_address")

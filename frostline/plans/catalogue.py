@@ -469,6 +469,7 @@ def queries() -> dict[str, Query]:
         "invoice_run": lambda t: billing.invoice_run(t, a),
         "invoice_lines": lambda t: billing.invoice_lines(t, a),
         "invoice_line_items": lambda t: billing.as_json(billing.invoice_line_items(t, a)),
+        "invoices_with_items": lambda t: billing.invoices_with_items(t, a),
         "invoice_documents": lambda t: billing.invoice_documents(t, a),
         "invoices_outstanding": lambda t: billing.invoices_outstanding(t, a),
         "aging_summary": lambda t: billing.aging_summary(t, a),
@@ -521,6 +522,12 @@ def queries() -> dict[str, Query]:
         "outbox_form_assign": lambda t: outbox.outbox_form_assign(t, cmd.event_answers(t, b)),
         "outbox_shifts": lambda t: outbox.outbox_shifts(t, b),
         "outbox_privacy_audit": lambda t: outbox.outbox_privacy_audit(t, b),
+        "outbox_clears_audit": lambda t: outbox.audit_of_clears(t, {
+            "shifts": outbox.outbox_shifts(t, b), "cancellations": transitions.cancellations(t, cmd.withdraw_inactive(t)),
+            "swapped_shifts": outbox.outbox_swapped_shifts(
+                t.having(clears=transitions.swap_operator(t, cmd.hand_over(t), AUDIT)), b, cmd.hand_over(t)
+            ),
+        }),
         "locations_pinned": lambda t: _stamped(
             transitions.pin_locations(t, cmd.location_answers(t, b), AUDIT), "site_id", "ext_location_id"
         ),
@@ -546,6 +553,10 @@ def queries() -> dict[str, Query]:
             transitions.deactivate(t.sites, t.sites.where(F.col("surface") == "mixed").select("site_id"), "site_id", AUDIT),
             "site_id", "surface", "is_active",
         ),
+        "operators_retired": lambda t: _stamped(
+            transitions.deactivate(t.operators, t.operators.where(F.col("payout_type") == "percent").select("operator_id"), "operator_id", AUDIT),
+            "operator_id", "payout_type", "is_active",
+        ),
         "settings_upserted": settings_upserted,
         "dimension_appends": dimension_appends,
         "contract_appends": lambda t: transitions.append_unique(

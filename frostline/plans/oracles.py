@@ -298,6 +298,16 @@ SELECT invoice_number, storm_ref, count(*) AS lines,
     'salt_fee', {usd('salt_cents')}, 'other_fee', {usd('other_fee_cents')}, 'billable', {usd('bill_cents')}) AS VARCHAR),
     ',' ORDER BY clear_id) || ']' AS line_items
 FROM {_OPEN_ITEMS} i JOIN {_RUN} r USING (contract_id) GROUP BY invoice_number, storm_ref""",
+    "invoices_with_items": f"""
+SELECT invoice_id, contract_id, invoice_number, '2001-08-01' AS invoice_date, {iso("DATE '2001-08-01' + payment_terms_days")} AS due_date,
+  {usd('total_cents')} AS total_amount, storm_ref, lines, line_items
+FROM {_RUN} JOIN contracts USING (contract_id) JOIN (
+  SELECT invoice_number, storm_ref, count(*) AS lines,
+    '[' || string_agg(CAST(json_object('storm_ref', storm_ref, 'storm_date', CAST(storm_date AS VARCHAR), 'street', street_name,
+      'surface', surface, 'condition', condition, 'salt_applied', salt_applied, 'status', status, 'fee', {usd('fee_cents')},
+      'salt_fee', {usd('salt_cents')}, 'other_fee', {usd('other_fee_cents')}, 'billable', {usd('bill_cents')}) AS VARCHAR),
+      ',' ORDER BY clear_id) || ']' AS line_items
+  FROM {_OPEN_ITEMS} i JOIN {_RUN} r USING (contract_id) GROUP BY invoice_number, storm_ref) USING (invoice_number)""",
     "invoice_documents": f"""
 SELECT invoice_number, contract_id, 0 AS section, CAST(0 AS BIGINT) AS position,
   'My Snow Service' || chr(10) || 'Invoice ' || invoice_number || chr(10) || 'To: ' || ct.contract_name || ' (' || ct.billing_email
@@ -765,6 +775,10 @@ FROM contracts""",
 SELECT site_id, surface, CASE WHEN surface = 'mixed' THEN 0 ELSE is_active END AS is_active,
   CASE WHEN surface = 'mixed' THEN 1 ELSE 0 END AS touched
 FROM sites""",
+    "operators_retired": """
+SELECT operator_id, payout_type, CASE WHEN payout_type = 'percent' THEN 0 ELSE is_active END AS is_active,
+  CASE WHEN payout_type = 'percent' THEN 1 ELSE 0 END AS touched
+FROM operators""",
     "settings_upserted": """
 SELECT key, CASE key
   WHEN 'default_operator_id' THEN (SELECT CAST(operator_id AS VARCHAR) FROM clears WHERE status = 'completed'
@@ -966,8 +980,22 @@ def _view_counts() -> str:
     return "\nUNION ALL\n".join(counts)
 
 
+def _clears_audit() -> str:
+    """What the three outboxes ask for, all columns in a line, against the secrets of the clear's own site and contract."""
+    asked = {"shifts": _DISPATCH["outbox_shifts"], "cancellations": _CHANGES["cancellation_requests"], "swapped_shifts": _CHANGES["swapped_shift_requests"]}
+    parts = []
+    for name, body in asked.items():
+        columns = "clear_id, ext_shift_id, reason" if name == "cancellations" else 'clear_id, event_id, worker_id, "start", "end"'
+        said = f"lower(concat_ws(' ', {', '.join('q.' + c.strip() for c in columns.split(','))}, q.idempotency_key))"
+        parts.append(f"""SELECT '{name}' AS outbox, count(*) AS requests,
+  CAST(sum(CASE WHEN contains({said}, nullif(lower(access_notes), '')) THEN 1 ELSE 0 END) AS BIGINT) AS leaks_access,
+  CAST(sum(CASE WHEN contains({said}, nullif(lower(contact_name), '')) THEN 1 ELSE 0 END) AS BIGINT) AS leaks_contact
+FROM ({body.strip()}) q JOIN clears c ON c.clear_id = q.clear_id JOIN full_sites f ON f.site_id = c.site_id HAVING count(*) > 0""")
+    return f"{PRELUDE}\n" + "\nUNION ALL ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
-    found = {"sql_views": _view_counts()}
+    found = {"sql_views": _view_counts(), "outbox_clears_audit": _clears_audit()}
     found["sql_storm_board"] = f"""SELECT clear_id, scheduled_start, street_address, sla_deadline, operator_name, needs_shift
 FROM ({PRELUDE}\n{_BOARDS['clears_planned'].strip()}) WHERE storm_id = 1 OR storm_ref LIKE 'ST-2001-%7'"""
     for name, like in (("receivables_maintained", _BILLING["receivables_by_contract"]), ("recap_maintained", _ACTIVITY["storm_recap"])):
