@@ -47,7 +47,7 @@ def test_adhoc(spark):
     assert ids(transitions.adhoc_candidates(t, "%THISTLE%"), "site_id", "clear_id", "storm_ref") == {
         (1, 1, "ST-2026-0001"), (2, None, None)}
     asked = spark.createDataFrame([(10, 1, 2), (11, 2, 2), (12, 3, 2), (12, 3, 2)], "clear_id long, site_id long, operator_id long")
-    rows = transitions.adhoc_inserts(t, asked.withColumn("at", F.lit("2026-01-14 05:41:30").cast("timestamp_ntz"))).collect()
+    rows = transitions.adhoc_inserts(t, asked.withColumn("at", F.lit("2026-01-14 05:36:20").cast("timestamp_ntz"))).collect()
     assert [(r.clear_id, r.storm_id, r.scheduled_start, r.duration_minutes, r.is_adhoc, r.operator_id) for r in rows] == [
         (12, 2, "2026-01-14T05:41", 30, 1, 2)]
 
@@ -59,12 +59,12 @@ def test_results_need_both_punches_and_are_read_once(spark):
         {"clear_id": 4, "storm_id": 2, "status": "completed", "ext_shift_id": 904, "ext_event_id": 71, "report_id": 55},
     ])
     seen = punches(
-        spark, {"shift_id": 901, "punch_type": "in", "punched_at": "2026-01-14T04:08:10-06:00", "gps_verified": 1, "distance_m": 12},
-        {"shift_id": 901, "punch_type": "in", "punched_at": "2026-01-14T04:09:00-06:00", "gps_verified": 0, "distance_m": 900},
-        {"shift_id": 901, "punch_type": "out", "punched_at": "2026-01-14T04:22:40-06:00"},
-        {"shift_id": 902, "punch_type": "in", "punched_at": "2026-01-14T04:08:10-06:00"},
-        {"shift_id": 903, "punch_type": "in", "punched_at": "2026-01-14T04:08:10-06:00"},
-        {"shift_id": 903, "punch_type": "out", "punched_at": "2026-01-14T04:18:10-06:00"},
+        spark, {"shift_id": 901, "punch_type": "in", "punched_at": "2026-01-14T04:17:20-06:00", "gps_verified": 1, "distance_m": 12},
+        {"shift_id": 901, "punch_type": "in", "punched_at": "2026-01-14T04:19:00-06:00", "gps_verified": 0, "distance_m": 900},
+        {"shift_id": 901, "punch_type": "out", "punched_at": "2026-01-14T04:33:55-06:00"},
+        {"shift_id": 902, "punch_type": "in", "punched_at": "2026-01-14T04:17:20-06:00"},
+        {"shift_id": 903, "punch_type": "in", "punched_at": "2026-01-14T04:17:20-06:00"},
+        {"shift_id": 903, "punch_type": "out", "punched_at": "2026-01-14T04:28:10-06:00"},
     )
     read = proofs(
         spark, {"submission_id": 55, "event_id": 71, "data": ("walk", "icy", "no", None), "media": []},
@@ -167,7 +167,7 @@ def test_proof_checks(spark):
 def test_leaks_in_notes(spark):
     names = spark.createDataFrame([("Oskar",), ("Mary Lou Smith",), ("",)], "name string")
     notes = spark.createDataFrame([
-        (1, "Call building manager Oskar, gate 9037"), (2, "Lot, bare, salted, 3 after photos"), (3, "Oskarng trip; met mary-lou  SMITH."),
+        (1, "Call building manager Oskar, gate 9037"), (2, "Bare to the curb, brine put down, pictures taken"), (3, "Oskarng trip; met mary-lou  SMITH."),
         (4, "lockbox code: 99812"), (5, None), (6, "Mary Lou")], "id long, text string")
     got = {r.id: (r.gate_code, r.names, r.first_name) for r in notes_leak_scan(notes, "id", "text", names, "name").collect()}
     assert got == {1: (1, 1, "Oskar"), 3: (0, 1, "Mary Lou Smith"), 4: (1, 0, None)}

@@ -54,7 +54,7 @@ def swapped(spark, dispatched) -> OpsTables:
     assert [(r.worker_id, r.event_id, r.idempotency_key) for r in request] == [(802, 7404, "shift-clear-4-2")]
     answer = spark.createDataFrame([("shift-clear-4-2", 90005)], "idempotency_key string, ext_id long")
     t = t.having(clears=kept(transitions.record_shifts(t, answer, NIGHT)))
-    start = spark.createDataFrame([(4, "2026-01-14T05:18")], "clear_id long, new_start string")
+    start = spark.createDataFrame([(4, "2026-01-14T05:12")], "clear_id long, new_start string")
     return t.having(clears=kept(transitions.reschedule(t, start, NIGHT)))
 
 
@@ -67,8 +67,8 @@ def logged(spark, swapped) -> OpsTables:
         ]
 
     seen = punches(
-        spark, *stay(90001, "04:08:10", "04:22:40", 12), *stay(90002, "04:31:05", "04:44:20", 9),
-        *stay(90003, "05:02:00", "05:11:15", 14), *stay(90005, "05:20:00", "05:41:30", 22),
+        spark, *stay(90001, "04:17:20", "04:33:55", 12), *stay(90002, "04:36:10", "04:51:30", 9),
+        *stay(90003, "05:07:45", "05:19:10", 14), *stay(90005, "05:14:00", "05:36:20", 22),
     )
 
     def proof(number, event, surface, condition, salt, photos):
@@ -156,7 +156,7 @@ def test_board_of_the_day(logged, swapped):
 
 def test_margins(logged):
     margins = {r.clear_id: r.margin_minutes for r in activity.sla_outcome(logged).collect()}
-    assert margins[1] == 2 * 60 + 52 and margins[4] == 40
+    assert margins[1] == 2 * 60 + 43 and margins[4] == 46
 
 
 def test_storm_closes(logged, swapped):
@@ -233,7 +233,7 @@ def test_recap_and_hours(logged):
         3, 2, 1, 0, Decimal("165.00")
     )
     hours = by(activity.operator_hours(logged), "operator_id")
-    assert (hours[2].visits, hours[2].seconds, hours[2].hours) == (1, 1290, Decimal("0.36"))
+    assert (hours[2].visits, hours[2].seconds, hours[2].hours) == (1, 1340, Decimal("0.37"))
     assert activity.punch_rows(logged).count() == 8
 
 
@@ -241,4 +241,4 @@ def test_evidence_and_activity(logged):
     assert {r.verdict for r in activity.visit_evidence(logged).collect()} == {"verified on site"}
     rows = by(activity.operator_activity(logged, MORNING), "operator_id")
     assert (rows[1].clears_30d, rows[1].gps_verified_pct, rows[1].salted_30d) == (3, Decimal("100.0"), 2)
-    assert rows[2].last_clear_at == "2026-01-14T05:20"
+    assert rows[2].last_clear_at == "2026-01-14T05:14"
