@@ -172,12 +172,10 @@ def storm_batch_months(store: Store, base: Version, t: OpsTables) -> DataFrame:
     commands = t.clears.where(F.col("status") == "planned").join(busiest_storm(t), ["storm_id", "storm_month"], "left_semi")
     batch = transitions.cancel(t, commands.select("clear_id", "storm_month"), AUDIT, delta=True)
     after = store.apply(base, batch, branch=uuid.uuid4().hex)
-    rewritten = [(month, 1 if after.held["clears", month] != base.held.get(("clears", month)) else 0) for month in after.months()]
-    marks = t.spark.createDataFrame(rewritten, "storm_month string, rewritten int")
-    counts = store.read(after).clears.groupBy("storm_month").agg(
+    moved = [month or "" for month in after.months() if after.held["clears", month] != base.held.get(("clears", month))]
+    return store.read(after).clears.groupBy("storm_month").agg(
         F.count("*").alias("clears"), F.sum(F.when(F.col("status") == "cancelled", 1).otherwise(0)).alias("cancelled")
-    )
-    return counts.join(marks, counts.storm_month.eqNullSafe(marks.storm_month)).select(counts.storm_month, "clears", "cancelled", "rewritten")
+    ).withColumn("rewritten", F.when(F.coalesce("storm_month", F.lit("")).isin(*moved), 1).otherwise(0))
 
 
 def marts_after_batches(store: Store, base: Version, t: OpsTables) -> tuple[marts.Marts, OpsTables]:

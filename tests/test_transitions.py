@@ -49,7 +49,7 @@ def test_adhoc(spark):
     asked = spark.createDataFrame([(10, 1, 2), (11, 2, 2), (12, 3, 2), (12, 3, 2)], "clear_id long, site_id long, operator_id long")
     rows = transitions.adhoc_inserts(t, asked.withColumn("at", F.lit("2026-01-14 05:36:20").cast("timestamp_ntz"))).collect()
     assert [(r.clear_id, r.storm_id, r.scheduled_start, r.duration_minutes, r.is_adhoc, r.operator_id) for r in rows] == [
-        (12, 2, "2026-01-14T05:41", 30, 1, 2)]
+        (12, 2, "2026-01-14T05:36", 30, 1, 2)]
 
 
 def test_results_need_both_punches_and_are_read_once(spark):

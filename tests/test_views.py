@@ -20,8 +20,8 @@ def test_fourteen_views_answer_sql(spark):
     assert len(register_views(t, NOW, "x_")) == 14 == len(VIEWS)
     for name in VIEWS:
         assert spark.sql(f"SELECT * FROM x_{name}").columns == VIEWS[name](t, NOW).columns
-    rows = spark.sql("SELECT street_name, minutes_to_deadline FROM x_clears_planned WHERE storm_id = 1 AND contract_id = 2").collect()
-    assert [tuple(r) for r in rows] == [("Mill Pond Rd", 30)]
+    rows = spark.sql("SELECT address, minutes_to_deadline FROM x_clears_planned WHERE storm_id = 1 AND contract_id = 2").collect()
+    assert [tuple(r) for r in rows] == [("118 Mill Pond Rd", 30)]
     # Another instant is another registration.
     register_views(t, datetime(2026, 1, 14, 6, 10), "x_")
     assert spark.sql("SELECT minutes_to_deadline FROM x_clears_planned WHERE contract_id = 2").first()[0] == -10
