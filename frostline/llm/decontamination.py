@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval, for copies and paraphrases of benchmark items.
 
 Method: words weigh by inverse document frequency, counted over all documents (words hashed to ``DIMENSIONS`` slots).
-The TF-IDF rows of the benchmark items and of a bounded sample of corpus passages, over the words of the benchmark, get
+The TF-IDF rows of the benchmark items and of all passages of all documents, over the words of the benchmark, get
 a randomised singular value decomposition: the partial products of all rows are made in tasks and summed by Spark,
 the driver only orthogonalises matrices of (benchmark words x rank). Every document is cut into overlapping passages of
 several lengths. An item of whose words a stretch of the document and its surroundings hold too few cannot have a common
@@ -14,7 +14,8 @@ A passage's vector is the sum of the weights of its words.
 
 Scale: the benchmark is the stated query set. It is worked off in blocks of at most ``block_words`` words; each block's
 matrix (that many words times the rank) is what is broadcast, whatever the size of the benchmark or the corpus.
-Documents are not shuffled.
+Documents are not shuffled. Their words are hashed once and written, eight bytes a word before compression; the counts,
+each round of the decomposition and the matching read the hashes.
 
 Defined results: null and empty texts and items match nothing, nor do items of fewer than ``min_words`` words. Repeated
 documents are judged each. Equal items: all are reported. Extra columns are ignored by ``matches``, kept by ``clean``.
@@ -42,12 +43,14 @@ WINDOWS = 512
 STRETCH = 4
 #: Characters of texts hashed at once.
 PIECE = 1 << 20
+#: Words multiplied at once.
+PRODUCT = 1 << 16
 PUNCTUATION = ".,;:!?\"()[]{}«»¿¡“”„…"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters. ``sample_docs`` bounds what the decomposition sees of the corpus besides the benchmark."""
+    """Parameters."""
 
     lengths: tuple[int, ...] = (8, 16, 32)
     min_words: int = 8
@@ -56,7 +59,6 @@ class Settings:
     answer: float = 0.5
     rank: int = 64
     rounds: int = 2
-    sample_docs: int = 500
     block_words: int = 100_000
 
 
@@ -139,20 +141,37 @@ def slot_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(DIMENSIONS - 1)).astype(np.int64)
 
 
-def document_counts(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
+def hashes_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, words)``: the hashes of every row's words, packed; none for a null text."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Words()
+        for batch in batches:
+            words = hashed([t.as_py() or "" for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tobytes() for w in words], pa.binary())], ["key", "words"])
+
+    return docs.select(named(key).alias("key"), named(text).alias("text")).mapInArrow(run, f"key {kind}, words binary")
+
+
+def unpacked(words: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(w, np.uint64) for w in words.to_pylist()]
+
+
+def document_counts(hashed: DataFrame) -> tuple[np.ndarray, int]:
     """In how many documents each slot occurs, and the number of documents: at most one row per slot is collected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total, rows = Words(), np.zeros(DIMENSIONS, np.int64), 0
+        total, rows = np.zeros(DIMENSIONS, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for own in words([t.as_py() or "" for t in batch.column(0)]):
+            for own in unpacked(batch.column(0)):
                 total[np.unique(slot_of(own))] += 1
         used = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(total[used], rows))], ["slot", "n"])
 
-    found = docs.select(named(text)).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = hashed.select("words").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(DIMENSIONS, np.int64)
     n = dict(zip(found["slot"], found["n"]))
     rows = int(n.pop(-1, 0))
@@ -217,28 +236,50 @@ def blocks_of(benchmark: DataFrame, key: str, text: str, idf: np.ndarray, settin
         yield Block(held, idf, settings)
 
 
-def decompose(spark: SparkSession, block: Block, benchmark: DataFrame, sample: DataFrame) -> np.ndarray:
-    """Right singular vectors of the TF-IDF rows, by randomised subspace iteration on Spark's partitions."""
+def add_product(total: np.ndarray, weighted: np.ndarray, places: np.ndarray, passages: np.ndarray) -> None:
+    """Add to each word's row of ``total`` the products of the passages it is in with ``weighted``, word by word;
+    ``passages`` are ascending numbers."""
+    begins = np.flatnonzero(np.diff(passages, prepend=-1))
+    products = np.add.reduceat(weighted[places], begins, axis=0)
+    of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(places))))
+    order = np.argsort(places, kind="stable")
+    ordered = places[order]
+    firsts = np.flatnonzero(np.diff(ordered, prepend=-1))
+    total[ordered[firsts]] += np.add.reduceat(products[of[order]], firsts, axis=0)
+
+
+def decompose(spark: SparkSession, block: Block, benchmark: DataFrame, corpus: DataFrame) -> np.ndarray:
+    """Right singular vectors of the TF-IDF rows of all passages, by randomised subspace iteration on Spark's
+    partitions; both tables have packed ``words``."""
     settings = block.settings
     rank = min(settings.rank, len(block.words))
     rng = np.random.default_rng(7)
     basis = np.linalg.qr(rng.standard_normal((len(block.words), rank)))[0].astype(np.float32)
-    rows = benchmark.union(sample)
+    rows = benchmark.union(corpus)
     longest = max(settings.lengths)
+    step = max(1, PRODUCT // longest) * longest  # ends where a passage does
 
     for _ in range(settings.rounds):
         sent = spark.sparkContext.broadcast((block, basis))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own, q = sent.value
-            total, hashed = np.zeros((len(own.words), q.shape[1]), np.float32), Words()
+            total, weighted = np.zeros((len(own.words), q.shape[1]), np.float32), own.weight[:, None] * q
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            size = passage = 0
             for batch in batches:
-                for words in hashed([t.as_py() or "" for t in batch.column(0)]):
-                    places = own.place(words)
-                    for k in range(0, len(places), longest):
-                        known = places[k : k + longest]
-                        columns, weights = own.row(known[known < len(own.words)])
-                        total[columns] += np.outer(weights, weights @ q[columns])
+                for words in unpacked(batch.column(0)):
+                    for low in range(0, len(words), step):
+                        places = own.place(words[low : low + step])
+                        known = np.flatnonzero(places < len(own.words))
+                        held.append((places[known], passage + known // longest))
+                        size, passage = size + len(known), passage + -(-len(places) // longest)
+                        if size >= PRODUCT:
+                            add_product(total, weighted, *map(np.concatenate, zip(*held)))
+                            held, size = [], 0
+            if size:
+                add_product(total, weighted, *map(np.concatenate, zip(*held)))
+            total *= own.weight[:, None]
             used = np.nonzero(total.any(axis=1))[0]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(used.astype(np.int32)), pa.array(list(total[used]), pa.list_(pa.float32()))], ["place", "part"])
@@ -331,34 +372,33 @@ def matches(
 ) -> DataFrame:
     """``(key, item, share)``: every document with every item it holds, and the share of the item's words found."""
     spark = docs.sparkSession
-    counts, n = document_counts(docs, text)
+    hashed = stored(hashes_of(docs, key, text), "document-words")
+    counts, n = document_counts(hashed)
     idf = np.log((1 + n) / (1 + counts)) + 1.0
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     schema = f"key {kind}, item {item_kind}, share double"
-    texts = docs.select(named(key).alias("key"), named(text).alias("text")).where("text is not null")
-    share = min(1.0, settings.sample_docs / max(1, n))
-    sample = texts.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    items = stored(hashes_of(benchmark, item_key, item_text), "item-words").select("words")
     out = spark.createDataFrame([], schema)
     arrow_type = benchmark.select(named(item_key)).limit(0).toArrow().schema.field(0).type
 
     for block in blocks_of(benchmark, item_key, item_text, idf, settings):
-        block.set_basis(decompose(spark, block, benchmark.select(named(item_text).alias("text")), sample.select("text")))
+        block.set_basis(decompose(spark, block, items, hashed.select("words")))
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, hashed = sent.value, Words()
+            own = sent.value
             for batch in batches:
-                keys, items, shares = [], [], []
-                for k, words in zip(batch.column(0), hashed([t.as_py() for t in batch.column(1)])):
+                keys, found, shares = [], [], []
+                for k, words in zip(batch.column(0), unpacked(batch.column(1))):
                     for i, x in verified(own, words, candidates(own, words)).items():
                         keys.append(k.as_py())
-                        items.append(own.items[i][0])
+                        found.append(own.items[i][0])
                         shares.append(x)
                 kinds = [batch.schema.field(0).type, arrow_type]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, kinds[0]), pa.array(items, kinds[1]), pa.array(shares, pa.float64())], ["key", "item", "share"])
+                    [pa.array(keys, kinds[0]), pa.array(found, kinds[1]), pa.array(shares, pa.float64())], ["key", "item", "share"])
 
-        out = out.unionByName(texts.mapInArrow(run, schema))
+        out = out.unionByName(hashed.mapInArrow(run, schema))
     return out.withColumnsRenamed({"key": key, "item": item_key})
 
 

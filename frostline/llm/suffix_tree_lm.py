@@ -7,9 +7,8 @@ counts that judge it. That is the number of occurrences times the divergence, wi
 is kept if it gains ``gain`` nats at least, with the weight of the suffix (one of ``WEIGHTS``) that gains most. The
 distribution of a kept context is smoothed with that of its longest kept suffix,
 ``(c(s, w) + weight * P(w | suffix)) / (c(s) + weight)``, down to the empty context,
-``(c(w) + 0.1) / (N + 0.1 (V + 1))``. A token is scored in the longest kept context that ends before it. Unless it is
-given, ``least`` is the square root of a 16384th of the training tokens, 16 at least: the tree grows with the corpus,
-more slowly than it.
+``(c(w) + 0.1) / (N + 0.1 (V + 1))``. A token is scored in the longest kept context that ends before it. ``least``
+is the same for a corpus of any size, so that the tree grows with it.
 
 How it runs: texts become chunks of about ``CHUNK`` tokens, written once as numbers. Chunks ask and ranges answer. A
 chunk packs its distinct n-grams, as sorted 64-bit hashes with their counts, by range of hash; one task sums a range over
@@ -26,7 +25,6 @@ Rows are scored each on its own, repeated ones alike; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -42,6 +40,8 @@ from frostline.llm.common import bucketed, named, stored
 
 #: Words of the longest context.
 DEPTH = 3
+#: Occurrences from which a context is tested.
+LEAST = 16
 #: Tokens of a chunk and, about, of all chunks in a range.
 CHUNK, RANGE = 1 << 21, 1 << 22
 #: Weights of the suffix to choose from, and the one that stands for a suffix before the weights are chosen.
@@ -262,7 +262,7 @@ def _scored(grams: Grams, weights: dict[int, np.ndarray], total: float, distinct
 
 
 def score(
-    docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH, least: int | None = None,
+    docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH, least: int = LEAST,
     gain: float = 10.0,
 ) -> DataFrame:
     """Score all ``docs``, learning from those where ``learn`` is true: key, held_out (``learn`` is false), n_tokens,
@@ -296,7 +296,6 @@ def score(
     counts = _answers(chunks.mapInArrow(first_requests, _ASKED), whole, np.float64, "suffix-tree-counts")
     total, distinct = counts.where("level = 0").agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = int(total or 0), int(distinct or 0)
-    least = least or max(16, math.isqrt(total // 16384))
     for level in range(2, depth + 1):
         asked = chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(counted(level), _ASKED)
         counts = counts.unionByName(_answers(asked, whole, np.float64, f"suffix-tree-counts-{level}"))

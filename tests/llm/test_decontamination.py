@@ -87,3 +87,24 @@ def test_paraphrases_with_a_rare_word_in_each_place(spark, frame):
                 pairs.append((len(pairs), " ".join([*host[:40], *words, *host[40:80]])))
     got = {(r["doc_id"], r["item_id"]) for r in d.matches(frame(pairs), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert len(want) > 2.5 * len(items) and len(want - got) <= 0.02 * len(want)
+
+
+def test_the_decomposition_sees_every_document(spark, frame, monkeypatch):
+    """Not a sample of them: fails if only some documents shape the latent space."""
+    seen, real = [], d.decompose
+    monkeypatch.setattr(d, "decompose", lambda spark, block, items, corpus: seen.append(corpus.count()) or real(spark, block, items, corpus))
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    pairs = [(i, f"one two {i} four five six") for i in range(1500)] + [(2000, "so one two three four five six seven eight nine ten it is")]
+    assert [r["doc_id"] for r in d.matches(frame(pairs), bench).collect()] == [2000]
+    assert seen == [1501]
+
+
+def test_products_of_passages_are_summed_by_word():
+    rng = np.random.default_rng(3)
+    places, passages = rng.integers(0, 9, 500), np.sort(rng.integers(0, 60, 500))
+    weight, q = rng.random(9), rng.random((9, 4))
+    total = np.zeros((9, 4))
+    d.add_product(total, weight[:, None] * q, places, passages)
+    rows = np.zeros((60, 9))
+    np.add.at(rows, (passages, places), weight[places])
+    assert np.allclose(total * weight[:, None], rows.T @ (rows @ q))

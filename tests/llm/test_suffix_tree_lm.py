@@ -86,10 +86,21 @@ def test_odd_rows(spark, frame):
     assert found == collections.Counter((k, len((t or "").split()) + 1) for k, t in ODD)
     assert [r.held_out for r in got.collect() if r.doc_id is None] == [False]
     assert suffix_tree_lm.score_by_key(frame([(1, "a")]).limit(0)).count() == 0
-    alone = suffix_tree_lm.score(frame([(1, "a b")]), F.lit(False)).first()
+    alone = suffix_tree_score(frame([(1, "a b")]), F.lit(False)).first()
     assert (alone.train_tokens, alone.base_score, alone.score) == (0, 0.0, 0.0)
 
 
 def test_keys_of_any_type(spark):
     docs = spark.createDataFrame([("a", "one two"), (None, None)], "doc_id string, text string")
     assert {r.doc_id for r in suffix_tree_lm.score(docs, F.lit(True)).collect()} == {"a", None}
+
+
+def test_a_context_of_16_occurrences_is_tested_in_a_large_corpus(spark, frame):
+    """The least number of occurrences does not depend on how many tokens the rest of the table has."""
+    filler = " ".join(["x"] * 10_000)
+    pairs = [(i, filler) for i in range(520)] + [(1000 + i, "quill wren") for i in range(16)] + [(2000, "quill wren")]
+    found = suffix_tree_lm.score(frame(pairs), F.col("doc_id") < 2000)
+    (row,) = found.where("doc_id = 2000").collect()
+    assert row["train_tokens"] > 5_000_000 and not row["n_known"] < 3
+    # Only the first word is rare without its context.
+    assert row["score"] > row["base_score"] + 5
