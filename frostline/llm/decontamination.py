@@ -43,8 +43,8 @@ WINDOWS = 512
 STRETCH = 4
 #: Characters of texts hashed at once.
 PIECE = 1 << 20
-#: Words multiplied at once.
-PRODUCT = 1 << 16
+#: Words multiplied at once, and passages of a word summed at once.
+PRODUCT, LINE = 1 << 18, 32
 PUNCTUATION = ".,;:!?\"()[]{}«»¿¡“”„…"
 
 
@@ -166,7 +166,7 @@ def document_counts(hashed: DataFrame) -> tuple[np.ndarray, int]:
         for batch in batches:
             rows += batch.num_rows
             for own in unpacked(batch.column(0)):
-                total[np.unique(slot_of(own))] += 1
+                total[slot_of(own)] += 1  # once for every slot, however often it is named
         used = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(total[used], rows))], ["slot", "n"])
@@ -236,16 +236,33 @@ def blocks_of(benchmark: DataFrame, key: str, text: str, idf: np.ndarray, settin
         yield Block(held, idf, settings)
 
 
-def add_product(total: np.ndarray, weighted: np.ndarray, places: np.ndarray, passages: np.ndarray) -> None:
-    """Add to each word's row of ``total`` the products of the passages it is in with ``weighted``, word by word;
-    ``passages`` are ascending numbers."""
-    begins = np.flatnonzero(np.diff(passages, prepend=-1))
-    products = np.add.reduceat(weighted[places], begins, axis=0)
-    of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(places))))
+def summed(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each line of ``of`` the sum of the rows it names."""
+    out = np.empty((len(of), rows.shape[1]), np.float32)
+    for k in range(0, len(of), WINDOWS):
+        out[k : k + WINDOWS] = np.take(rows, of[k : k + WINDOWS], axis=0).sum(axis=1)
+    return out
+
+
+def add_product(total: np.ndarray, weighted: np.ndarray, passages: np.ndarray) -> None:
+    """Add to each word's row of ``total`` the products of the passages it is in with ``weighted``, word by word. A
+    passage is a line of ``passages``, the places of its words; places past the last word of ``total`` are no words."""
+    n, none = len(total), np.zeros((1, total.shape[1]), np.float32)
+    products = np.concatenate([summed(np.concatenate([weighted, none]), passages), none])
+    places = passages.ravel()
+    known = np.flatnonzero(places < n)
+    places = places[known].astype(np.uint16 if n <= 1 << 16 else np.int64)  # short numbers are sorted by radix
     order = np.argsort(places, kind="stable")
-    ordered = places[order]
-    firsts = np.flatnonzero(np.diff(ordered, prepend=-1))
-    total[ordered[firsts]] += np.add.reduceat(products[of[order]], firsts, axis=0)
+    # The passages of a word, in lines of a fixed width; the last is filled up with the empty passage.
+    counts = np.bincount(places, minlength=n)
+    lines = -(-counts // LINE)
+    begins = np.cumsum(lines) - lines
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
+    of = np.full(int(lines.sum()) * LINE, len(passages))
+    of[np.repeat(begins, counts) * LINE + rank] = known[order] // passages.shape[1]
+    used = np.flatnonzero(counts)
+    if len(used):
+        total[used] += np.add.reduceat(summed(products, of.reshape(-1, LINE)), begins[used], axis=0)
 
 
 def decompose(spark: SparkSession, block: Block, benchmark: DataFrame, corpus: DataFrame) -> np.ndarray:
@@ -265,20 +282,21 @@ def decompose(spark: SparkSession, block: Block, benchmark: DataFrame, corpus: D
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own, q = sent.value
             total, weighted = np.zeros((len(own.words), q.shape[1]), np.float32), own.weight[:, None] * q
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            size = passage = 0
+            held: list[np.ndarray] = []
+            size = 0
             for batch in batches:
                 for words in unpacked(batch.column(0)):
                     for low in range(0, len(words), step):
-                        places = own.place(words[low : low + step])
-                        known = np.flatnonzero(places < len(own.words))
-                        held.append((places[known], passage + known // longest))
-                        size, passage = size + len(known), passage + -(-len(places) // longest)
+                        part = words[low : low + step]
+                        places = np.full(-(-len(part) // longest) * longest, len(own.words))
+                        places[: len(part)] = own.place(part)
+                        held.append(places.reshape(-1, longest))
+                        size += len(places)
                         if size >= PRODUCT:
-                            add_product(total, weighted, *map(np.concatenate, zip(*held)))
+                            add_product(total, weighted, np.concatenate(held))
                             held, size = [], 0
             if size:
-                add_product(total, weighted, *map(np.concatenate, zip(*held)))
+                add_product(total, weighted, np.concatenate(held))
             total *= own.weight[:, None]
             used = np.nonzero(total.any(axis=1))[0]
             yield pa.RecordBatch.from_arrays(

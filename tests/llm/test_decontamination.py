@@ -101,10 +101,12 @@ def test_the_decomposition_sees_every_document(spark, frame, monkeypatch):
 
 def test_products_of_passages_are_summed_by_word():
     rng = np.random.default_rng(3)
-    places, passages = rng.integers(0, 9, 500), np.sort(rng.integers(0, 60, 500))
+    passages = rng.integers(0, 10, (60, 8))  # 9 is no word
+    passages[passages == 4] = 3
     weight, q = rng.random(9), rng.random((9, 4))
     total = np.zeros((9, 4))
-    d.add_product(total, weight[:, None] * q, places, passages)
-    rows = np.zeros((60, 9))
-    np.add.at(rows, (passages, places), weight[places])
-    assert np.allclose(total * weight[:, None], rows.T @ (rows @ q))
+    d.add_product(total, weight[:, None] * q, passages)
+    rows = np.zeros((60, 10))
+    np.add.at(rows, (np.repeat(np.arange(60), 8), passages.ravel()), 1)
+    rows = rows[:, :9] * weight
+    assert np.allclose(total * weight[:, None], rows.T @ (rows @ q), rtol=1e-4)
