@@ -7,6 +7,7 @@ allows it and splits skewed partitions otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -76,9 +77,14 @@ def fill_storm_defaults(storms: DataFrame, settings: DataFrame) -> DataFrame:
 
 
 def fill_clear_defaults(
-    clears: DataFrame, storms: DataFrame, sites: DataFrame, contracts: DataFrame, settings: DataFrame
+    clears: DataFrame, storms: DataFrame, sites: DataFrame, contracts: DataFrame, settings: DataFrame,
+    made: Callable[[DataFrame], DataFrame] = lambda joined: joined,
 ) -> DataFrame:
-    """Start, length, operator and fee snapshots of new clears."""
+    """Start, length, operator and fee snapshots of new clears.
+
+    Where a clear's columns derive from fewer ones, pass those with ``storm_id`` and ``site_id``, and the derivation as
+    ``made``: it takes the joined rows, keeps their underscored columns, and the joins move the few columns only.
+    """
     terms = sites.select("site_id", "contract_id").join(
         contracts.select("contract_id", F.col("per_clear_fee").alias("_fee"), F.col("salt_fee").alias("_salt_fee")),
         "contract_id",
@@ -89,18 +95,15 @@ def fill_clear_defaults(
     )
     minutes = F.coalesce(setting(settings, "default_clear_minutes").try_cast("int"), F.lit(180))
     operator = setting(settings, "default_operator_id").try_cast("bigint")
-    filled = (
-        clears.join(mornings, "storm_id", "left")
-        .join(terms, "site_id", "left")
-        .withColumns({
-            "scheduled_start": F.coalesce(F.col("scheduled_start"), start),
-            "duration_minutes": F.coalesce(F.col("duration_minutes"), minutes),
-            "operator_id": F.coalesce(F.col("operator_id"), operator),
-            "fee": or_zero(F.coalesce("fee", "_fee")),
-            "salt_fee": or_zero(F.coalesce("salt_fee", "_salt_fee")),
-            "other_fee": or_zero(F.col("other_fee")),
-        })
-    )
+    joined = clears.join(terms, "site_id", "left").join(mornings, "storm_id", "left")
+    filled = made(joined).withColumns({
+        "scheduled_start": F.coalesce(F.col("scheduled_start"), start),
+        "duration_minutes": F.coalesce(F.col("duration_minutes"), minutes),
+        "operator_id": F.coalesce(F.col("operator_id"), operator),
+        "fee": or_zero(F.coalesce("fee", "_fee")),
+        "salt_fee": or_zero(F.coalesce("salt_fee", "_salt_fee")),
+        "other_fee": or_zero(F.col("other_fee")),
+    })
     return conform(filled, CLEARS)
 
 

@@ -6,7 +6,7 @@ The column definitions are plain SQL expressions valid in Spark and in the check
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.functions.labels import normalized_address
@@ -20,6 +20,7 @@ from frostline.operators.defaults import (
 )
 from frostline.operators.billing import billable_facts
 from frostline.schemas import SETTING_SEEDS
+from frostline.sources.shared import written_once
 from frostline.sources.tables import OpsTables, storm_month
 
 SETTINGS = {**SETTING_SEEDS, "default_operator_id": "1"}
@@ -90,7 +91,12 @@ VISIT_KEYS = {
 SLOT = "CASE WHEN status = 'cancelled' THEN clear_id ELSE 0 END"
 # Order in which claims on the same storm and site are honoured; total, so both engines keep the same line.
 CLAIM_ORDER = ("clear_id", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-CLAIM_REST = ("d", "o_orderdate", "status", "l_linenumber", "l_partkey", "l_suppkey")
+CLAIM_REST = ("o_orderdate", "l_linenumber", "l_partkey", "l_suppkey")
+#: Text that follows from the columns of a claim: made again instead of moved.
+CLAIM_DERIVED = ("d", "status")
+#: What the joins of clears move: numbers made of a line's amounts instead of the amounts, and no text but the shortest.
+CLEAR_PARTS = ("clear_id", "storm_id", "site_id", "status", "l_returnflag", *CLAIM_REST)
+CLEAR_NUMBERS = ("duration_minutes", "other_fee_cents", "gps_verified", "checkin_distance_m")
 
 _START = "d || 'T0' || CAST(3 + l_linenumber % 3 AS STRING) || ':' || substr(CAST(100 + l_partkey % 60 AS STRING), 2, 2)"
 _MINUTE = "substr(CAST(100 + l_suppkey % 60 AS STRING), 2, 2)"
@@ -162,7 +168,8 @@ SPARK_DIALECT = {
 }
 
 
-def _columns(spec: dict[str, str]) -> list[str]:
+def _columns(spec: dict[str, str], *names: str) -> list[str]:
+    spec = {name: spec[name] for name in names} if names else spec
     return [f"{expr.format(**SPARK_DIALECT)} AS {name}" for name, expr in spec.items()]
 
 
@@ -174,30 +181,64 @@ def _money(df: DataFrame) -> DataFrame:
     ])
 
 
-def _claims(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
-    """One line per claimed (storm, site) slot: the lowest clear id wins, cancelled lines all stay.
+def _derived(claims: DataFrame) -> DataFrame:
+    """Claims with the text columns that follow from the others."""
+    return claims.selectExpr("*", *_columns(VISIT_KEYS, *CLAIM_DERIVED))
 
-    The winner is an aggregate, not a window: tasks keep one candidate per slot before the shuffle, so a slot
-    claimed by most of the lines costs no more than any other.
-    """
+
+def _lines(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
+    """Every line with the storm and site it claims."""
     hot_sites = part.select((F.count("*") / 50).cast("long").alias("n")).scalar()
     keyed = (
         lineitem.join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
         .withColumn("n_hot_sites", hot_sites)
         .selectExpr("*", *_columns(VISIT_KEYS))
     )
+    return keyed.select("storm_id", "site_id", *CLAIM_ORDER, *CLAIM_REST)
+
+
+def _claims(lines: DataFrame) -> DataFrame:
+    """One line per claimed (storm, site) slot: the lowest clear id wins, cancelled lines all stay.
+
+    The winner is an aggregate, not a window: tasks keep one candidate per slot before the shuffle, so a slot
+    claimed by most of the lines costs no more than any other.
+    """
     claim = F.struct(*CLAIM_ORDER, *CLAIM_REST)
     return (
-        keyed.groupBy("storm_id", "site_id", F.expr(SLOT).alias("slot")).agg(F.min(claim).alias("c"))
+        _derived(lines).groupBy("storm_id", "site_id", F.expr(SLOT).alias("slot")).agg(F.min(claim).alias("c"))
         .select("storm_id", "site_id", "c.*")
     )
 
 
-def visit_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def settled_claims(lines: DataFrame) -> DataFrame:
+    """The same from lines that are written: only the lines of slots that several claim are aggregated.
+
+    Slots are counted by a hash, the only thing that is shuffled for every line; two slots of one hash are both
+    aggregated, so the result does not depend on it. The hashes that come more than once are written, so that Spark knows
+    their size: few are broadcast, many are met by a shuffle.
+    """
+    hashed = _derived(lines).withColumn("_slot", F.xxhash64("storm_id", "site_id", F.expr(SLOT)))
+    several = hashed.groupBy("_slot").agg(F.count("*").alias("n")).where("n > 1").select("_slot")
+    several = written_once(several, "slots")
+    alone = hashed.join(several, "_slot", "left_anti").select(*lines.columns)
+    return alone.unionByName(_claims(hashed.join(several, "_slot", "left_semi").select(*lines.columns)))
+
+
+def _visit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    return _claims(read("lineitem"), read("orders"), read("part"))
+    return _lines(read("lineitem"), read("orders"), read("part"))
+
+
+def visit_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims of a folder, lazy."""
+    return _claims(_visit_lines(spark, sf_dir))
+
+
+def written_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims of a folder, from lines that are written first."""
+    return settled_claims(written_once(_visit_lines(spark, sf_dir), "lines"))
 
 
 def raw_tables(spark: SparkSession, sf_dir: str, claims: DataFrame) -> dict[str, DataFrame]:
@@ -213,7 +254,6 @@ def raw_tables(spark: SparkSession, sf_dir: str, claims: DataFrame) -> dict[str,
     sites = part.withColumn("n_customer", customer.select(F.count("*")).scalar()).selectExpr(*_columns(SITES))
     dates = orders.select("o_orderdate").distinct().withColumn("push", F.explode(F.array(F.lit(0), F.lit(1))))
     invoices = orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).selectExpr(*_columns(INVOICES))
-    clears = claims.selectExpr(*_columns(CLEARS), "CAST(o_orderdate AS DATE) AS storm_date")
     address = normalized_address(*map(F.col, ("address", "city", "state", "zip")))
     return {
         "settings": spark.sql(f"SELECT * FROM VALUES {values} AS s(key, value)"),
@@ -221,15 +261,43 @@ def raw_tables(spark: SparkSession, sf_dir: str, claims: DataFrame) -> dict[str,
         "sites": sites.withColumn("normalized_address", address),
         "operators": read("supplier").selectExpr(*_columns(OPERATORS)),
         "storms": dates.selectExpr(*_columns(STORMS)),
-        "clears": _money(clears).withColumn("storm_month", storm_month(F.col("storm_date"))),
+        "clears": _clears(claims),
         "mileage": _money(read("events").selectExpr(*_columns(MILEAGE))),
         "invoices": _money(invoices.withColumn("due_date", F.expr("date_add(invoice_date, terms)"))).withColumnRenamed(
             "total", "total_amount"
         ),
-        "payouts": _money(claims.where(PAYOUT_FILTER).selectExpr(*_columns(PAYOUTS))),
+        "payouts": _money(_derived(claims).where(PAYOUT_FILTER).selectExpr(*_columns(PAYOUTS))),
     }
 
 
+def _month() -> Column:
+    return storm_month(F.expr("CAST(o_orderdate AS DATE)"))
+
+
+def _clears(claims: DataFrame) -> DataFrame:
+    """The clears that claims stand for."""
+    return _money(_derived(claims).selectExpr(*_columns(CLEARS), "o_orderdate")).withColumn("storm_month", _month())
+
+
+def clears_of_claims(claims: DataFrame, t: OpsTables, by_month: bool = False) -> DataFrame:
+    """The clears of claims, completed from the storms, sites, contracts and settings of ``t``. Joins move the parts of a
+    clear; its text is made behind them, and behind the one shuffle that brings the rows of a month together where
+    ``by_month`` asks for it."""
+
+    def made(joined: DataFrame) -> DataFrame:
+        joined = joined.withColumn("storm_month", _month())
+        if by_month:
+            # The writer of month partitions needs the sort; here it sorts narrow rows.
+            joined = joined.hint("rebalance", F.col("storm_month")).sortWithinPartitions("storm_month")
+        dated = joined.selectExpr("*", *_columns(VISIT_KEYS, "d"))
+        columns = [*_columns({**CLEARS, **{n: n for n in CLEAR_NUMBERS}}), "storm_month", "_morning", "_fee", "_salt_fee"]
+        return _money(dated.selectExpr(*columns))
+
+    numbers = _columns(CLEARS, *CLEAR_NUMBERS)
+    parts = _derived(claims).selectExpr(*CLEAR_PARTS, *numbers)
+    return fill_clear_defaults(parts, t.storms, t.sites, t.contracts, t.settings, made)
+
+
 def load_raw(spark: SparkSession, sf_dir: str, claims: DataFrame | None = None) -> OpsTables:
     """Tables without defaults, all lazy."""
     if claims is None:

@@ -14,9 +14,9 @@ from pyspark.sql import SparkSession
 
 from frostline.operators.billing import billable_facts
 from frostline.operators.defaults import fill_payout_amount
-from frostline.plans.projection import load_raw, visit_claims, with_defaults
+from frostline.plans.projection import clears_of_claims, load_raw, with_defaults, written_claims
 from frostline.schemas import TABLES
-from frostline.sources.shared import shared_folder, written_once
+from frostline.sources.shared import shared_folder
 from frostline.sources.tables import OpsTables
 from frostline.sources.versions import Store, Version
 
@@ -27,13 +27,18 @@ _lock = threading.Lock()
 def ingest(spark: SparkSession, sf_dir: str) -> tuple[Store, Version]:
     """Write all tables as the first version of a fresh store; independent tables are written side by side."""
     store = Store(spark, shared_folder(spark, "ops"))
-    raw = load_raw(spark, sf_dir, written_once(visit_claims(spark, sf_dir), "claims"))
+    claims = written_claims(spark, sf_dir)
+    raw = load_raw(spark, sf_dir, claims)
     done = with_defaults(raw)
+    rest = [n for n in TABLES if n not in ("clears", "payouts")]
     with ThreadPoolExecutor(max_workers=4) as pool:
-        rest = [n for n in TABLES if n != "payouts"]
         list(pool.map(lambda n: store.write(getattr(done, n), n, "first"), rest))
+    # Clears are completed from tables whose sizes Spark knows, so that only the sites may need a shuffle of the claims.
+    known = raw.having(**{n: store.written(n, "first") for n in ("storms", "sites", "contracts", "settings")})
+    store.write(clears_of_claims(claims, known, by_month=True), "clears", "first", by_month=True)
     # Payout prices read the clears just written instead of filling the same defaults a second time.
-    billable = billable_facts(store.written("clears", "first"))
+    # Both sides are facts, which Spark takes for small by their few columns: they are merged, never broadcast.
+    billable = billable_facts(store.written("clears", "first")).hint("merge")
     store.write(fill_payout_amount(raw.payouts, raw.operators, billable), "payouts", "first")
     return store, store.adopt(dict.fromkeys(TABLES, "first"))
 

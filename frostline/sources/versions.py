@@ -85,13 +85,15 @@ class Store:
 
     # -- writing ----------------------------------------------------------------------------------------------------
 
-    def write(self, df: DataFrame, name: str, gen: str) -> None:
-        """Write a generation of a table, the fact table by month; no version holds it yet."""
+    def write(self, df: DataFrame, name: str, gen: str, by_month: bool = False) -> None:
+        """Write a generation of a table, the fact table by month; no version holds it yet. Rows that lie ``by_month``
+        already are not shuffled."""
         path, out = f"{self.root}/{name}/gen={gen}", conform(df, TABLES[name])
         if name == _FACT:
-            out.hint("rebalance", F.col("storm_month")).write.partitionBy("storm_month").parquet(path)
+            laid = out if by_month else out.hint("rebalance", F.col("storm_month"))
+            laid.write.option("compression", "zstd").partitionBy("storm_month").parquet(path)
         else:
-            out.write.parquet(path)
+            out.write.option("compression", "zstd").parquet(path)
 
     def written(self, name: str, gen: str) -> DataFrame:
         """A whole generation of a table, as it was written."""
@@ -137,7 +139,7 @@ class Store:
         if changed is not None or gone is not None:
             rows = self.spark.createDataFrame([], TABLES[_FACT]) if changed is None else conform(changed, TABLES[_FACT])
             # The batch is written once: its months are needed before the rewrite, and its rows again in it.
-            rows.write.parquet(f"{self.root}/batches/{gen}")
+            rows.write.option("compression", "zstd").parquet(f"{self.root}/batches/{gen}")
             rows = self.spark.read.schema(TABLES[_FACT]).parquet(f"{self.root}/batches/{gen}")
             named = rows.select("clear_id", "storm_month")
             if gone is not None:
@@ -147,7 +149,7 @@ class Store:
             if log:
                 was = before.join(named.select("clear_id").distinct(), "clear_id", "left_semi").select(*TABLES[_FACT].names)
                 signed = was.withColumn("sign", F.lit(-1)).unionByName(rows.withColumn("sign", F.lit(1)))
-                signed.write.parquet(f"{self.root}/log/{gen}")
+                signed.write.option("compression", "zstd").parquet(f"{self.root}/log/{gen}")
                 held[_LOG, None] = gen
             kept = before.join(named.select("clear_id").distinct(), "clear_id", "left_anti").select(*TABLES[_FACT].names)
             self.write(kept.unionByName(rows), _FACT, gen)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pytest
 from frames import tables
 
-from frostline.operators import boards, place_index
+from frostline.operators import boards, defaults, place_index
+from frostline.plans import projection
 
 
 @pytest.fixture
@@ -65,3 +68,43 @@ def test_requests_meet_places_last(spark, no_broadcast):
     assert rows.count((9, 4, 6)) == 4
     pairs = [tuple(r) for r in place_index.match_places(t.sites, asked).collect()]
     assert len(pairs) == len(set(pairs)) == 50 * 4 + 1
+
+
+LINES = ("storm_id long, site_id long, clear_id long, l_extendedprice double, l_quantity double, l_discount double, l_tax double, "
+         "l_returnflag string, l_linestatus string, o_orderdate timestamp_ntz, l_linenumber long, l_partkey long, l_suppkey long")
+
+
+def lines(spark):
+    """Claims on slots: one alone, one by three (two alike), two cancelled ones, one of no storm, and one by two."""
+    jan, jul = datetime(2001, 1, 5), datetime(2001, 7, 20)
+    rows = [
+        (1, 1, 10, 5.0, 20.0, 0.09, 0.01, "A", "O", jan, 1, 1, 1), (1, 2, 12, 5.0, 20.0, 0.0, 0.01, "N", "O", jan, 2, 1, 1),
+        (1, 2, 11, 9.0, 30.0, 0.0, 0.08, "R", "F", jan, 5, 1, 1), (1, 2, 11, 8.0, 30.0, 0.0, 0.08, "R", "F", jan, 6, 1, 1),
+        (1, 2, 13, 5.0, 2.0, 0.0, 0.0, "N", "O", jan, 2, 1, 1), (1, 2, 14, 5.0, 2.0, 0.0, 0.0, "N", "O", jan, 2, 1, 1),
+        (None, 2, 15, 5.0, 20.0, 0.0, None, "N", "O", None, 7, 1, 1), (2, 3, 16, 5.0, 5.0, 0.0, 0.0, "N", "O", jul, 1, 1, 2),
+        (2, 4, 18, 5.0, 40.0, None, 0.0, None, "O", jul, 1, 1, 2), (2, 4, None, 5.0, 40.0, None, 0.0, None, "O", jul, 1, 1, 2),
+    ]
+    return spark.createDataFrame(rows, LINES)
+
+
+def text_rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_only_slots_with_several_claims_are_gathered(spark, no_broadcast):
+    claimed = lines(spark)
+    found = projection.settled_claims(claimed)
+    assert text_rows(found) == text_rows(projection._claims(claimed)) and found.count() == 7
+    alone = plan_of(found).split("SortAggregate", 1)[0]
+    assert "l_tax" in alone and "hashpartitioning(storm_id" not in alone  # lines that are alone in a slot move for no aggregate
+
+
+def test_text_of_clears_is_made_behind_their_shuffles(spark, no_broadcast):
+    t, claims = book(spark), projection._claims(lines(spark))
+    t = t.having(settings=spark.createDataFrame([("default_clear_start", "05:00")], "key string, value string"))
+    wide = projection.load_raw(spark, "/root/testdata/sf0.001", claims).clears
+    want = defaults.fill_clear_defaults(wide, t.storms, t.sites, t.contracts, t.settings)
+    made = projection.clears_of_claims(claims, t, by_month=True)
+    above, shuffled = plan_of(made).split("REBALANCE", 1)
+    assert "Salted twice" in above and "Salted twice" not in shuffled
+    assert made.columns == want.columns and text_rows(made) == text_rows(want)
