@@ -8,8 +8,9 @@ normalised input; both outcomes are columns.
 
 Where markers only stand at the start of pieces (checked on the vocabulary; else texts are not cut), no piece can cross
 from another character to a marker. A text is then cut into segments of markers and what follows them, and the tokens
-of a text are those of its segments in a row. A worker process encodes, compares and decodes every different segment it
-meets once, over all its tasks, as far as its memory for segments goes.
+of a text are those of its segments in a row. A worker process encodes, compares and decodes a segment once as long as it
+remembers it, over all its tasks: segments that it keeps meeting stay, others are forgotten, so that the worker stays
+small whatever the texts hold.
 
 Defined results: null and empty texts have no tokens and decode to an empty text. The marker character itself in a text
 decodes to a space, as SentencePiece has it. Extra columns are ignored, repeated rows are encoded each. The model is
@@ -38,9 +39,9 @@ MARK = "▁"
 #: Kinds of pieces in the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters given to the library at once; bounds the memory of its results.
-BATCH_CHARS = 1_000_000
-#: Different segments a worker process remembers.
-KNOWN = 1_000_000
+BATCH_CHARS = 250_000
+#: Different segments a worker process has met lately and remembers; it remembers as many it met before those.
+KNOWN = 250_000
 #: Threads of the library in each task.
 THREADS = 2
 
@@ -142,8 +143,9 @@ class Codec:
         inside = any(re.search(f"[^{MARK}]{MARK}", p) for p, _, _ in self.model.pieces)
         self.cuts = self.model.escapes and self.model.prefix and not (inside or self.model.trims or self.model.charsmap)
         self.segment = re.compile(f"{MARK}+[^{MARK}]*")
-        #: Segment -> its ids, as bytes.
+        #: Segment -> its ids, as bytes: of those met lately, and of those met before.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         #: Segments whose tokens differ from the other library's, or that decode to something else.
         self.differ: set[str] = set()
         self.lost: set[str] = set()
@@ -171,9 +173,14 @@ class Codec:
         cut = [self.segment.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         every = set().union(*cut)
         if len(self.known) + len(every) > KNOWN:
-            self.known.clear()
+            self.older, self.known = self.known, {}
+            self.differ.intersection_update(self.older)
+            self.lost.intersection_update(self.older)
+        met = every.difference(self.known)
+        # An intersection of a set and a dictionary would walk the dictionary.
+        self.known.update((s, self.older[s]) for s in met if s in self.older)
         # A segment is what its text without the first marker is encoded to: the prefix puts the marker back.
-        fresh = [s for s in every.difference(self.known) if s != MARK]
+        fresh = [s for s in met.difference(self.older) if s != MARK]
         made, same, back = self._learn([s[1:].replace(MARK, " ") for s in fresh])
         self.known.update(zip(fresh, made))
         self.differ.update(s for s, ok in zip(fresh, same) if not ok)

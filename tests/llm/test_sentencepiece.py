@@ -53,3 +53,19 @@ def test_batches_hold_every_text_once():
     texts = ["a" * n for n in (0, 5, 30, 2, 2, 2, 50, 0)]
     runs = list(s.batches_of(texts, 10))
     assert [t for r in runs for t in r] == texts and all(len(r) == 1 or sum(map(len, r)) <= 10 for r in runs)
+
+
+def test_worker_forgets_what_it_no_longer_meets(theirs, monkeypatch):
+    """A worker lives on after its stage: what it remembers is bounded, and what every batch holds is learned once."""
+    assert 2 * s.KNOWN <= 500_000
+    monkeypatch.setattr(s, "KNOWN", 60)
+    with open(MODEL, "rb") as file:
+        codec = s.Codec(file.read())
+    learned = []
+    learn = codec._learn
+    monkeypatch.setattr(codec, "_learn", lambda texts: learned.extend(texts) or learn(texts))
+    for n in range(20):
+        texts = [f"winter storm ▁ {n}x{k} " for k in range(40)]
+        assert [m.tolist() for m in codec.encode(texts)[0]] == theirs.encode(texts)
+        assert len(codec.known) + len(codec.older) <= 120
+    assert learned.count("winter") == learned.count("storm") == 1 and len(learned) == 802
