@@ -2,9 +2,9 @@
 
 Every job returns violations ``(rule, table, row_id, value)``. Uniqueness reports every row but the first holder of a
 key; references report the rows whose parent is missing. All rules share one pass over all tables: rows are turned into
-stacked entries, keys they hold, refer to or are the parent of, and one aggregate finds the bad keys, combined on the
-map side, so one key may hold much of a table. A second scan meets its entries with the bad keys, which are few, and
-says which value rules its rows break.
+stacked entries, keys they hold, refer to or are the parent of, and one aggregate of keys as single numbers finds those
+that may be bad, combined on the map side, so one key may hold much of a table. A second scan tells the texts among them
+apart, a third meets its entries with the bad keys, which are few, and says which value rules its rows break.
 """
 
 from __future__ import annotations
@@ -134,7 +134,8 @@ def repeated_settings(settings: DataFrame) -> DataFrame:
 SLOT = "one_clear_per_site_storm"
 
 _HOLDER, _CHILD, _PARENT = 0, 1, 2
-_KEY = ("domain", "a", "b", "s")
+#: A key is a number ``k`` or a text ``t``, whose hash is ``k`` then.
+_KEY = ("domain", "k", "t")
 
 
 _TEXT_RULES = [rule for rule, table, _, key in UNIQUE if TABLES[table][key].dataType.simpleString() == "string"]
@@ -146,25 +147,35 @@ def _domain(name: str) -> int:
     return names.index(name)
 
 
-def _said(domain: str, rule: str, role: int, ident: str, a: Column, b: Column, s: Column, value: Column, whole: bool) -> Column:
+#: Domains whose keys are texts.
+_TEXTS = [_domain(name) for name in (SLOT, *_TEXT_RULES)]
+
+def _rules() -> list[tuple[str, str]]:
+    """Every rule of an entry and its table; entries hold the place of their rule."""
+    values = [(check.rule, table) for table, (_, checks) in value_checks().items() for check in checks]
+    return [(SLOT, "clears"), *[r[:2] for r in UNIQUE], *[r[:2] for r in REFERENCES], *values]
+
+
+def _said(domain: str, rule: str, role: int, ident: str, k: Column, t: Column, whole: bool) -> Column:
     key = [F.lit(_domain(domain)).alias("domain"), F.lit(role).alias("role"), F.col(ident).cast("long").alias("row_id"),
-           a.cast("long").alias("a"), b.cast("long").alias("b"), s.alias("s")]
-    return F.struct(*key, F.lit(rule).alias("rule"), value.cast("string").alias("value")) if whole else F.struct(*key)
+           k.cast("long").alias("k"), t.cast("string").alias("t")]
+    return F.struct(*key, F.lit([r for r, _ in _rules()].index(rule)).alias("rule")) if whole else F.struct(*key)
 
 
 def _entry(rule: str, domain: str, role: int, ident: str, *key: str, whole: bool, where: Column | None = None) -> Column:
     """What a row says about a key: that it holds it, refers to it or is the parent; null where the key is absent. Keys
-    are up to two numbers, or a text. Only a ``whole`` entry names its rule."""
+    are a number, or a text: that of one column or of two numbers. Only a ``whole`` entry names its rule."""
     present = reduce(Column.__and__, [F.col(k).isNotNull() for k in key])
-    a, b = (*[F.col(k) for k in key if rule not in _TEXT_RULES], F.lit(0), F.lit(0))[:2]
-    s = F.col(key[0]) if rule in _TEXT_RULES else F.lit("")
-    said = _said(domain, rule, role, ident, a, b, s, F.lit(None), whole)
-    return F.when(present if where is None else present & where, said)
+    if _domain(domain) in _TEXTS:
+        k, t = F.xxhash64(*key), F.concat_ws("/", *key)
+    else:
+        k, t = F.col(*key), F.lit("")
+    return F.when(present if where is None else present & where, _said(domain, rule, role, ident, k, t, whole))
 
 
 def _broken(check: Check, ident: str) -> Column:
-    """A broken value rule as an entry with a key of its own."""
-    return F.when(check.broken, _said("value", check.rule, _HOLDER, ident, F.col(ident), F.lit(0), F.lit(""), F.col(check.column), True))
+    """A broken value rule as an entry with a key of its own; the value stands as its text."""
+    return F.when(check.broken, _said("value", check.rule, _HOLDER, ident, F.col(ident), F.col(check.column), True))
 
 
 #: Id column of every table that rules name.
@@ -187,12 +198,11 @@ def _entries(t: OpsTables, whole: bool) -> DataFrame:
         if whole:
             said += [_broken(check, ident) for check in checks.get(table, (ident, []))[1]]
         elif any(parent == table for *_, parent, _ in REFERENCES):
-            said.append(_entry("parent", table, _PARENT, ident, ident, whole=False))
+            said.append(_entry(table, table, _PARENT, ident, ident, whole=False))
         if not said:
             continue
         # Exploded first and filtered then: both are generated code, a filter by a lambda is not.
-        found = df.select(F.explode(F.array(*said)).alias("e")).where(F.col("e").isNotNull())
-        stacked.append(found.select(F.lit(table).alias("table"), "e.*") if whole else found.select("e.*"))
+        stacked.append(df.select(F.explode(F.array(*said)).alias("e")).where(F.col("e").isNotNull()).select("e.*"))
     return reduce(DataFrame.unionByName, stacked)
 
 
@@ -210,24 +220,41 @@ def _violations(bad: DataFrame, judged: DataFrame) -> DataFrame:
     """Rows of ``judged`` that break a value rule, hold a key that an earlier row holds, or lack a parent."""
     is_value = F.col("domain") == _domain("value")
     by_key = F.col("_bad") & ((F.col("role") == _CHILD) | (F.col("row_id") != F.col("_first")))
-    key = F.when(F.col("rule").isin(*_TEXT_RULES), F.col("s")).when(F.col("rule") == SLOT, F.concat_ws("/", "a", "b"))
+    rules, of = (F.array(*map(F.lit, names)) for names in zip(*_rules()))
+    value = F.when(is_value | F.col("domain").isin(*_TEXTS), F.col("t")).otherwise(F.col("k").cast("string"))
     return judged.join(bad.withColumn("_bad", F.lit(True)), list(_KEY), "left").where(is_value | by_key).select(
-        "rule", "table", "row_id", F.when(is_value, F.col("value")).otherwise(F.coalesce(key, F.col("a").cast("string"))).alias("value")
+        rules[F.col("rule")].alias("rule"), of[F.col("rule")].alias("table"), "row_id", value.alias("value")
     )
 
 
+def _suspects(entries: DataFrame) -> DataFrame:
+    """Numbers ``k`` that several holders share, with the first of them, and numbers that are referred to without a
+    parent. They are all bad keys that are numbers, and the hashes of all that are texts and of few others. A key's text
+    is not shuffled."""
+    refers = F.col("domain").isin(*[_domain(parent) for *_, parent, _ in REFERENCES])
+    unique = (F.col("role") == _HOLDER) & ~F.col("domain").isin(*_TEXTS)
+    return entries.groupBy("domain", "k").agg(
+        F.sum(F.when(F.col("role") == _CHILD, 0).otherwise(1)).alias("_rows"), F.min(F.when(unique, F.col("row_id"))).alias("_first"),
+    ).where(F.when(refers, F.col("_rows") == 0).otherwise(F.col("_rows") > 1)).select("domain", "k", "_first")
+
+
 def dq_violations(t: OpsTables) -> DataFrame:
-    """All violations of all rules. Every table is scanned twice: for its keys, which are aggregated once for all rules,
-    and for its values and the rows that hold or refer to bad keys. The bad keys are written in between, so that Spark
-    knows their size: few are broadcast to the second scan, many are met by a shuffle."""
-    bad = written_once(_bad_keys(_entries(t, whole=False)), "bad-keys")
+    """All violations of all rules. Every table is scanned three times: for its keys as numbers, which are aggregated once
+    for all rules, for the texts among the few that may be bad, and for its values and the rows that hold or refer to bad
+    keys. What is found is written in between, so that Spark knows its size: few keys are broadcast to the next scan,
+    many are met by a shuffle."""
+    bare, text = _entries(t, whole=False), F.col("domain").isin(*_TEXTS)
+    suspects = written_once(_suspects(bare), "suspects")
+    texts = _bad_keys(bare.where(text).join(suspects.where(text), ["domain", "k"], "left_semi"))
+    numbers = suspects.where(~text).select("domain", "k", F.lit("").alias("t"), "_first")
+    bad = written_once(numbers.unionByName(texts), "bad-keys")
     return _violations(bad, _entries(t, whole=True)).unionByName(repeated_settings(t.settings))
 
 
 def double_bookings(clears: DataFrame) -> DataFrame:
     """Clears that are not cancelled on a storm and site another one already holds."""
     said = _entry(SLOT, SLOT, _HOLDER, "clear_id", "storm_id", "site_id", whole=True, where=F.col("status") != "cancelled")
-    held = clears.select(F.lit("clears").alias("table"), said.alias("e")).where(F.col("e").isNotNull()).select("table", "e.*")
+    held = clears.select(said.alias("e")).where(F.col("e").isNotNull()).select("e.*")
     return _violations(_bad_keys(held), held)
 
 
