@@ -529,8 +529,10 @@ def delete_plan(
         gone_clears = t.clears.join(named, "storm_id", "left_semi").select("clear_id")
         step(named, "storms", "storm_id", "delete", "named")
         step(gone_clears, "clears", "clear_id", "delete", "storm")
-        step(t.payouts.join(gone_clears, "clear_id", "left_semi"), "payouts", "payout_id", "delete", "clear")
-        step(t.mileage.join(gone_clears, "clear_id", "left_semi"), "mileage", "trip_id", "set null", "clear")
+        # Payouts and trips stream past a hash of the clears that go; a merge would sort all of them, a task its whole part.
+        lost = gone_clears.hint("shuffle_hash")
+        step(t.payouts.join(lost, "clear_id", "left_semi"), "payouts", "payout_id", "delete", "clear")
+        step(t.mileage.join(lost, "clear_id", "left_semi"), "mileage", "trip_id", "set null", "clear")
     if operators is not None:
         named = t.operators.select("operator_id").join(operators.select("operator_id"), "operator_id", "left_semi")
         step(named, "operators", "operator_id", "delete", "named")
@@ -538,14 +540,15 @@ def delete_plan(
         step(t.clears.join(named, "operator_id", "left_semi"), "clears", "clear_id", "set null", "operator")
     if contracts is not None:
         named = t.contracts.select("contract_id").join(contracts.select("contract_id"), "contract_id", "left_semi")
-        held = t.sites.select("contract_id")
+        held = t.sites.select("contract_id").distinct()
         free = named.join(held, "contract_id", "left_anti")
         step(named.join(held, "contract_id", "left_semi"), "contracts", "contract_id", "blocked", "sites")
         step(free, "contracts", "contract_id", "delete", "named")
         step(t.invoices.join(free, "contract_id", "left_semi"), "invoices", "invoice_id", "delete", "contract")
     if sites is not None:
         named = t.sites.select("site_id").join(sites.select("site_id"), "site_id", "left_semi")
-        held = t.clears.select("site_id")
+        # Each site once: a task would else sort the sites of all clears, which compress to so little that they meet in one.
+        held = t.clears.select("site_id").distinct()
         step(named.join(held, "site_id", "left_semi"), "sites", "site_id", "blocked", "clears")
         step(named.join(held, "site_id", "left_anti"), "sites", "site_id", "delete", "named")
     if not steps:
@@ -588,7 +591,7 @@ def delete_operators(t: OpsTables, operators: DataFrame) -> OpsTables:
 
 def delete_contracts(t: OpsTables, contracts: DataFrame) -> OpsTables:
     """The tables after deleting contracts that hold no site; the others stay."""
-    free = contracts.select("contract_id").join(t.sites.select("contract_id"), "contract_id", "left_anti")
+    free = contracts.select("contract_id").join(t.sites.select("contract_id").distinct(), "contract_id", "left_anti")
     return t.having(
         contracts=t.contracts.join(free, "contract_id", "left_anti"),
         invoices=t.invoices.join(free, "contract_id", "left_anti"),
@@ -597,5 +600,5 @@ def delete_contracts(t: OpsTables, contracts: DataFrame) -> OpsTables:
 
 def delete_sites(t: OpsTables, sites: DataFrame) -> OpsTables:
     """The tables after deleting sites that hold no clear; the others stay."""
-    free = sites.select("site_id").join(t.clears.select("site_id"), "site_id", "left_anti")
+    free = sites.select("site_id").join(t.clears.select("site_id").distinct(), "site_id", "left_anti")
     return t.having(sites=t.sites.join(free, "site_id", "left_anti"))

@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from frames import tables
 
-from frostline.operators import boards, defaults, place_index
+from frostline.operators import boards, defaults, place_index, transitions
 from frostline.plans import projection
 
 
@@ -108,3 +108,17 @@ def test_text_of_clears_is_made_behind_their_shuffles(spark, no_broadcast):
     above, shuffled = plan_of(made).split("REBALANCE", 1)
     assert "Salted twice" in above and "Salted twice" not in shuffled
     assert made.columns == want.columns and text_rows(made) == text_rows(want)
+
+
+def test_deleting_sorts_neither_payouts_nor_the_sites_of_all_clears(spark, no_broadcast):
+    t = book(spark)
+    plan = transitions.delete_plan(t, storms=t.storms.where("storm_id = 1"), sites=t.sites.where("site_id in (1, 3)"))
+    shown = plan_of(plan)
+    assert shown.count("ShuffledHashJoin [clear_id") == 2 and "SortMergeJoin [clear_id" not in shown
+    joins = [part for part in shown.split("SortMergeJoin [site_id")[1:] if "LeftSemi" in part.split("\n")[0] or "LeftAnti" in part.split("\n")[0]]
+    assert joins and shown.count("HashAggregate(keys=[site_id") >= 4  # each site is sorted once, however many clears it has
+    rows = sorted((r.table, r.row_id, r.action, r.cause) for r in plan.collect())
+    assert rows == [
+        ("clears", 1, "delete", "storm"), ("clears", 2, "delete", "storm"), ("clears", 3, "delete", "storm"),
+        ("sites", 1, "blocked", "clears"), ("sites", 3, "blocked", "clears"), ("storms", 1, "delete", "named"),
+    ]
