@@ -110,15 +110,23 @@ def settle_payouts(t: OpsTables, operators: DataFrame, as_of: datetime) -> DataF
     )
 
 
+def paid_clears(t: OpsTables, operators: DataFrame) -> DataFrame:
+    """``clear_id`` of the clears of which a payout of ``operators`` is paid, once each."""
+    paid = t.payouts.where(F.col("paid") == 1).join(operators.select("operator_id"), "operator_id", "left_semi")
+    return paid.select("clear_id").distinct()
+
+
+def set_paid_out(clears: DataFrame, audit_now: datetime) -> DataFrame:
+    """``paid_out`` set where ``_marked``."""
+    marked = touch(clears, F.col("_marked").isNotNull(), audit_now)
+    return marked.withColumn("paid_out", F.when(F.col("_marked"), 1).otherwise(F.col("paid_out"))).drop("_marked")
+
+
 def flag_paid_out(t: OpsTables, operators: DataFrame, audit_now: datetime, delta: bool = False) -> DataFrame:
     """The clears table with ``paid_out`` set where a payout of ``operators`` is paid, or the changed rows only."""
-    paid = t.payouts.where(F.col("paid") == 1).join(operators.select("operator_id"), "operator_id", "left_semi")
-    marks = paid.select("clear_id").distinct().withColumn("_paid", F.lit(True))
+    marks = paid_clears(t, operators).withColumn("_marked", F.lit(True))
     found = t.clears.join(marks, "clear_id", "left")
-    marked = touch(found.where("_paid") if delta else found, F.col("_paid").isNotNull(), audit_now)
-    return marked.withColumn("paid_out", F.when(F.col("_paid"), 1).otherwise(F.col("paid_out"))).select(
-        *t.clears.columns
-    )
+    return set_paid_out(found.where("_marked") if delta else found, audit_now).select(*t.clears.columns)
 
 
 def payout_totals(t: OpsTables) -> DataFrame:

@@ -78,6 +78,12 @@ def on_versions(batch: Callable[[OpsTables], DataFrame], shown: Callable[[DataFr
     return query
 
 
+def clears_paid_out(store: Store, base: Version, t: OpsTables) -> DataFrame:
+    """The clears once those that operators were paid for are marked in the store, on a branch of its own."""
+    after = store.mark(base, payouts.paid_clears(t, payers(t)), lambda rows: payouts.set_paid_out(rows, AUDIT), branch=uuid.uuid4().hex)
+    return _stamped(store.read(after).clears, "clear_id", "operator_id", "paid_out")
+
+
 CLEAR_STATE = (
     "clear_id", "storm_id", "site_id", "operator_id", "scheduled_start", "duration_minutes", "status", "fee",
     "salt_fee", "other_fee", "ext_event_id", "ext_shift_id",
@@ -606,7 +612,6 @@ def queries() -> dict[str, Query]:
     # Batches that change clears: the months they touch are rewritten, the others stay where they are.
     batches: dict[str, tuple[Callable[[OpsTables], DataFrame], Callable[[DataFrame], DataFrame]]] = {
         "clears_invoiced": (lambda t: billing.mark_invoiced(t, AUDIT, delta=True), columns("clear_id", "status", "invoiced")),
-        "clears_paid_out": (lambda t: payouts.flag_paid_out(t, payers(t), AUDIT, delta=True), columns("clear_id", "operator_id", "paid_out")),
         "events_recorded": (
             lambda t: transitions.record_events(t, cmd.event_answers(t, b), AUDIT, delta=True), columns("clear_id", "status", "ext_event_id")
         ),
@@ -622,6 +627,7 @@ def queries() -> dict[str, Query]:
     found.update({name: on_versions(*batch) for name, batch in batches.items()})
     for name, report in (("receivables_maintained", marts.receivables), ("recap_maintained", marts.recap)):
         found[name] = lambda spark, sf_dir, report=report: comparable(report(*marts_after_batches(*versioned(spark, sf_dir))))
+    found["clears_paid_out"] = lambda spark, sf_dir: comparable(clears_paid_out(*versioned(spark, sf_dir)))
     found["storm_batch_months"] = lambda spark, sf_dir: comparable(storm_batch_months(*versioned(spark, sf_dir)))
     found.update({name: on_raw(plan) for name, plan in raw.items()})
     found["clears_defaulted"] = lambda spark, sf_dir: comparable(clears_defaulted(spark, sf_dir))

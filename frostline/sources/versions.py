@@ -7,6 +7,9 @@ months, to where they were. Nothing is overwritten or moved, so readers of an ol
 failed batch leaves files that no manifest names. A branch is a line of versions of its own. One writer per branch: two
 that commit the same version number collide when the second manifest is written, and the second one fails.
 
+A rewrite moves whole rows once, to blocks of a month; the rows that a batch names are looked up in narrow columns first and
+meet the whole rows there by a hash of the narrow side, so whole rows are sorted by their month only, a block or a few at a time.
+
 Only manifests reach the driver, a row per table and month.
 """
 
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import dataclasses
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +33,10 @@ _LOG = "log"
 _ENTRY = "table string, storm_month string, gen string"
 #: How the partition column spells a clear whose storm is unknown.
 _ORPHAN = "__HIVE_DEFAULT_PARTITION__"
+#: Clears of a block of a month, about: what one file holds after a rewrite.
+BLOCK = 1 << 17
+#: Where a clear is rewritten.
+_PLACE = ["_month", "_block"]
 
 
 @dataclasses.dataclass(frozen=True)
@@ -123,6 +131,42 @@ class Store:
             self.write(getattr(tables, name), name, gen)
         return self.adopt(dict.fromkeys(TABLES, gen), branch)
 
+    def _batch(self, df: DataFrame, gen: str, part: str) -> DataFrame:
+        """A part of a batch, written once: Spark then knows its size, and it is read several times."""
+        path = f"{self.root}/batches/{gen}/{part}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _named(self, before: DataFrame, named: DataFrame, gen: str) -> DataFrame:
+        """``(clear_id, storm_month)`` of the clears of ``before`` that ``named(clear_id)`` names, once each."""
+        ids = before.select("clear_id", "storm_month").join(named.select("clear_id").distinct(), "clear_id", "left_semi")
+        return self._batch(ids.distinct(), gen, "named")
+
+    def _placing(self, *frames: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        """How the clears of ``frames`` are brought together by blocks of their months, a month in as many as its rows ask for."""
+        counts: dict[str, int] = {}
+        for frame in frames:
+            for r in frame.groupBy("storm_month").count().collect():
+                month = _ORPHAN if r.storm_month is None else r.storm_month
+                counts[month] = counts.get(month, 0) + r["count"]
+        blocks = {month: -(-n // BLOCK) for month, n in counts.items() if n > BLOCK}
+        parts = max(2, -(-sum(counts.values()) // BLOCK))  # a single one would be dealt out again by the join
+        month = F.coalesce("storm_month", F.lit(_ORPHAN))
+        of = F.lit(1)
+        if blocks:
+            of = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]), month), of)
+        block = F.pmod(F.xxhash64("clear_id"), of.cast("long"))
+        return lambda df: df.withColumns({"_month": month, "_block": block}).repartition(parts, *_PLACE)
+
+    def _next(self, base: Version, held: dict, touched: list[str | None], gen: str, branch: str | None) -> Version:
+        written = set(self._months_in(gen)) if touched else set()
+        for month in touched:
+            held.pop((_FACT, month), None)
+            if month in written:
+                held[_FACT, month] = gen
+        line = base.branch if branch is None else branch
+        return self._commit(Version(line, base.number + 1 if line == base.branch else 1, held))
+
     def apply(
         self, base: Version, changed: DataFrame | None = None, gone: DataFrame | None = None, branch: str | None = None,
         log: bool = False, **whole: DataFrame,
@@ -133,33 +177,49 @@ class Store:
         signed rows are kept for :meth:`logged`."""
         gen = uuid.uuid4().hex
         held = {k: v for k, v in base.held.items() if k[0] != _LOG}
+        touched: list[str | None] = []
         for name, df in whole.items():
             self.write(df, name, gen)
             held[name, None] = gen
         if changed is not None or gone is not None:
             rows = self.spark.createDataFrame([], TABLES[_FACT]) if changed is None else conform(changed, TABLES[_FACT])
-            # The batch is written once: its months are needed before the rewrite, and its rows again in it.
-            rows.write.option("compression", "zstd").parquet(f"{self.root}/batches/{gen}")
-            rows = self.spark.read.schema(TABLES[_FACT]).parquet(f"{self.root}/batches/{gen}")
+            rows = self._batch(rows, gen, "rows")
             named = rows.select("clear_id", "storm_month")
             if gone is not None:
                 named = named.unionByName(gone.select("clear_id", "storm_month"))
             touched = [r[0] for r in named.select("storm_month").distinct().collect()]
             before = self.read_table(base, _FACT, touched)
+            found = self._named(before, named, gen)
             if log:
-                was = before.join(named.select("clear_id").distinct(), "clear_id", "left_semi").select(*TABLES[_FACT].names)
+                # A few are broadcast, if Spark takes them for few; many are met by a hash of them, not by a sort of whole rows.
+                met = found.select("clear_id") if found.count() <= BLOCK else found.select("clear_id").hint("shuffle_hash")
+                was = before.join(met, "clear_id", "left_semi").select(*TABLES[_FACT].names)
                 signed = was.withColumn("sign", F.lit(-1)).unionByName(rows.withColumn("sign", F.lit(1)))
                 signed.write.option("compression", "zstd").parquet(f"{self.root}/log/{gen}")
                 held[_LOG, None] = gen
-            kept = before.join(named.select("clear_id").distinct(), "clear_id", "left_anti").select(*TABLES[_FACT].names)
-            self.write(kept.unionByName(rows), _FACT, gen)
-            written = set(self._months_in(gen))
-            for month in touched:
-                held.pop((_FACT, month), None)
-                if month in written:
-                    held[_FACT, month] = gen
-        line = base.branch if branch is None else branch
-        return self._commit(Version(line, base.number + 1 if line == base.branch else 1, held))
+            placed = self._placing(before, rows)
+            known = placed(found).select(*_PLACE, "clear_id").hint("shuffle_hash")
+            kept = placed(before).join(known, [*_PLACE, "clear_id"], "left_anti").select(*TABLES[_FACT].names)
+            self.write(kept.unionByName(placed(rows).select(*TABLES[_FACT].names)), _FACT, gen, by_month=True)
+        return self._next(base, held, touched, gen, branch)
+
+    def mark(
+        self, base: Version, marks: DataFrame, update: Callable[[DataFrame], DataFrame], branch: str | None = None,
+    ) -> Version:
+        """The version after ``base`` in which the clears that ``marks(clear_id)`` names are as ``update`` makes them.
+
+        ``update`` takes clears with a column ``_marked`` (true or null) and may change all but their ids and months. Other than with
+        :meth:`apply`, whole rows are moved by the rewrite alone: only ids are moved to find the marked ones."""
+        gen = uuid.uuid4().hex
+        held = {k: v for k, v in base.held.items() if k[0] != _LOG}
+        found = self._named(self.read_table(base, _FACT), marks, gen)
+        touched = [r[0] for r in found.select("storm_month").distinct().collect()]
+        if touched:
+            before = self.read_table(base, _FACT, touched)
+            placed = self._placing(before)
+            known = placed(found).select(*_PLACE, "clear_id", F.lit(True).alias("_marked")).hint("shuffle_hash")
+            self.write(update(placed(before).join(known, [*_PLACE, "clear_id"], "left")), _FACT, gen, by_month=True)
+        return self._next(base, held, touched, gen, branch)
 
     def logged(self, version: Version) -> DataFrame:
         """The signed clears of the batch that made a version: ``sign`` -1 as they were, 1 as they are."""

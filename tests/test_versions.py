@@ -10,6 +10,7 @@ from frames import tables
 from pyspark.sql import functions as F
 
 from frostline.operators import activity, billing, marts, transitions
+from frostline.sources import versions
 from frostline.sources.shared import shared_folder
 from frostline.sources.versions import Store
 
@@ -146,3 +147,37 @@ def test_opening_reads_the_months_of_its_storms(spark, store):
     plan = transitions.open_storm(t, t.storms.where("storm_id = 3"))._jdf.queryExecution().executedPlan().toString()
     scans = [part for part in plan.split("FileScan parquet")[1:] if "storm_month" in part[:2000] and "clear_id" not in part[:40]]
     assert "dynamicpruning" in plan.lower() and scans
+
+
+def test_a_rewrite_moves_whole_rows_once_and_marks_move_ids(spark, store, monkeypatch):
+    """Clears of one id, of no id and of no storm; months of several blocks. Marked clears are found without moving notes."""
+    monkeypatch.setattr(versions, "BLOCK", 2)
+    t = book(spark)
+    odd = t.clears.where("clear_id = 11").withColumn("notes", F.lit("again")).unionByName(
+        t.clears.where("clear_id = 99").withColumn("clear_id", F.lit(None).cast("long")))
+    first = store.write_first(t.having(clears=t.clears.unionByName(odd)))
+    now = store.read(first)
+    wrote, real = [], store.write
+
+    def write(df, name, gen, by_month=False):
+        wrote.append(df._jdf.queryExecution().executedPlan().toString())
+        real(df, name, gen, by_month)
+
+    monkeypatch.setattr(store, "write", write)
+    marks = spark.createDataFrame([(11,), (11,), (32,), (99,), (1234,), (None,)], "clear_id long")
+    after = store.mark(first, marks, lambda rows: rows.withColumn("paid_out", F.when(F.col("_marked"), 7).otherwise(F.col("paid_out"))), branch="marks")
+    want = now.clears.withColumn("paid_out", F.when(F.col("clear_id").isin(11, 32, 99), 7).otherwise(F.col("paid_out")))
+    assert rows(store.read(after).clears) == rows(want) and store.read(after).clears.where("paid_out = 7").count() == 4
+    batch = now.clears.where("clear_id in (11, 32)").withColumn("paid_out", F.lit(8))
+    second = store.apply(first, batch, gone=now.clears.where("clear_id = 99").select("clear_id", "storm_month"), branch="rows", log=True)
+    want = now.clears.where("clear_id is null or clear_id <> 99").withColumn("paid_out", F.when(F.col("clear_id").isin(11, 32), 8).otherwise(F.col("paid_out")))
+    assert rows(store.read(second).clears) == rows(want)
+    assert sorted(r.sign for r in store.logged(second).collect()) == [-1, -1, -1, -1, 1, 1, 1]
+    for plan in wrote:
+        wide = [x for x in plan.split("Exchange hashpartitioning")[1:] if "notes" in x.split("FileScan", 1)[-1][:700]]
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "REBALANCE" not in plan
+        assert len(wide) == plan.count("REPARTITION_BY_NUM") - 1 > 0  # whole rows and the batch's; the ids beside them are narrow
+    # A month that is marked nowhere stays where it is.
+    third = store.mark(first, spark.createDataFrame([(12,)], "clear_id long"), lambda rows: rows, branch="one")
+    assert {k for k in first.held if first.held[k] != third.held[k]} == {("clears", "2026-01")}
+    assert store.mark(first, marks.limit(0), lambda rows: rows, branch="none").held == first.held
