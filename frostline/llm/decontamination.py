@@ -428,8 +428,10 @@ def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **names)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **names) -> DataFrame:
-    """The documents that hold no item, with all their columns. Rows are told apart by a number of their own."""
+    """The documents that hold no item, with all their columns. What a row holds follows from its text alone, so rows are told
+    apart by a digest of it; ``docs`` is read twice, not copied."""
+    digest = F.unhex(F.sha2(named(text).cast("binary"), 256))
     row = free_name(docs, "row_")
-    once = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = stored(matches(once, benchmark, row, text, **names).select(named(row)).distinct(), "contaminated")
-    return once.join(found, row, "left_anti").select(*[named(c) for c in docs.columns])
+    judged = docs.select(digest.alias(row), named(text))
+    found = stored(matches(judged, benchmark, row, text, **names).select(named(row)).distinct(), "contaminated")
+    return docs.withColumn(row, digest).join(found, row, "left_anti").select(*[named(c) for c in docs.columns])

@@ -110,3 +110,16 @@ def test_products_of_passages_are_summed_by_word():
     np.add.at(rows, (np.repeat(np.arange(60), 8), passages.ravel()), 1)
     rows = rows[:, :9] * weight
     assert np.allclose(total * weight[:, None], rows.T @ (rows @ q), rtol=1e-4)
+
+
+def test_cleaning_copies_no_text(spark, monkeypatch):
+    """Equal texts under other keys go together, texts that are null or empty stay; fails if documents are written beside their words."""
+    kinds, real = [], d.stored
+    monkeypatch.setattr(d, "stored", lambda df, purpose: kinds.append(dict(df.dtypes)) or real(df, purpose))
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"so {item} it is", "a"), (1, f"so {item} it is", None), (2, None, "b"), (3, "", "c"), (3, "", "c"), (None, "so it is", "d")],
+                                 "row_ long, text string, source string")
+    kept = d.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("row_ <> 1 or row_ is null").collect()))
+    assert kinds and not any(kind == "string" for kinds_of in kinds for kind in kinds_of.values())
