@@ -23,7 +23,7 @@ from frostline.functions.settings import setting
 from frostline.functions.sla import with_sla
 from frostline.operators.billing import STORM_KEY, storm_facts
 from frostline.schemas import OPEN_STORM
-from frostline.sources.tables import OpsTables
+from frostline.sources.tables import OpsTables, merged
 
 WARNING_MINUTES = 60
 
@@ -49,11 +49,14 @@ def crew_facts(operators: DataFrame) -> DataFrame:
 
 
 def with_surroundings(t: OpsTables, clears: DataFrame) -> DataFrame:
-    """Clears joined to storm, site, contract and (if any) operator, with the SLA clock worked out."""
+    """Clears joined to storm, site, contract and (if any) operator, with the SLA clock worked out.
+
+    Sites meet their contracts first, so clears are shuffled for neither alone.
+    """
+    sites = site_facts(t.sites).join(merged(contract_facts(t.contracts)), "contract_id")
     joined = (
         clears.join(storm_facts(t.storms), STORM_KEY)
-        .join(site_facts(t.sites), "site_id")
-        .join(contract_facts(t.contracts), "contract_id")
+        .join(sites, "site_id")
         .join(crew_facts(t.operators), "operator_id", "left")
     )
     return with_sla(joined, t.settings)

@@ -17,6 +17,7 @@ from frostline.functions.labels import numbered
 from frostline.functions.money import deduction, or_zero, payout_amount
 from frostline.functions.settings import number_prefix, setting, setting_or
 from frostline.schemas import CLEARS, MILEAGE, MONEY, RATE, conform
+from frostline.sources.tables import merged
 
 # What a column gets when a new row leaves it out.
 COLUMN_DEFAULTS: dict[str, dict[str, str | int]] = {
@@ -86,7 +87,7 @@ def fill_clear_defaults(
     ``made``: it takes the joined rows, keeps their underscored columns, and the joins move the few columns only.
     """
     terms = sites.select("site_id", "contract_id").join(
-        contracts.select("contract_id", F.col("per_clear_fee").alias("_fee"), F.col("salt_fee").alias("_salt_fee")),
+        merged(contracts.select("contract_id", F.col("per_clear_fee").alias("_fee"), F.col("salt_fee").alias("_salt_fee"))),
         "contract_id",
     ).drop("contract_id")
     mornings = storms.select("storm_id", F.col("storm_date").alias("_morning"))

@@ -41,6 +41,12 @@ class OpsTables:
         return cls(**bundle)
 
 
+def merged(dimension: DataFrame) -> DataFrame:
+    """Contracts or sites for a join that must not pass them through the driver. They grow with the business, but Spark takes a
+    few columns of a compressed table for a fraction of what they are and would broadcast millions of rows."""
+    return dimension.hint("merge")
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
 

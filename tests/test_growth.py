@@ -9,6 +9,7 @@ from frames import tables
 
 from frostline.operators import boards, defaults, place_index, transitions
 from frostline.plans import projection
+from frostline.sources.versions import Store
 
 
 @pytest.fixture
@@ -122,3 +123,25 @@ def test_deleting_sorts_neither_payouts_nor_the_sites_of_all_clears(spark, no_br
         ("clears", 1, "delete", "storm"), ("clears", 2, "delete", "storm"), ("clears", 3, "delete", "storm"),
         ("sites", 1, "blocked", "clears"), ("sites", 3, "blocked", "clears"), ("storms", 1, "delete", "named"),
     ]
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    """The book as files: small ones, which Spark broadcasts wherever it may."""
+    store = Store(spark, str(tmp_path))
+    version = store.write_first(book(spark))
+    return store, version, store.read(version)
+
+
+def merges(df, key: str) -> bool:
+    """Whether the plan joins by ``key`` and broadcasts neither side of it."""
+    shown = plan_of(df)
+    return f"BroadcastHashJoin [{key}#" not in shown and f"SortMergeJoin [{key}#" in shown
+
+
+def test_contracts_are_not_passed_through_the_driver(stored):
+    t = stored[2]
+    risk = boards.sla_at_risk(t, datetime(2026, 1, 14, 9, 0))
+    assert merges(risk, "contract_id")
+    assert sorted((r.clear_id, r.contract_name) for r in risk.collect()) == [(1, "C"), (2, "C")]
+    assert merges(defaults.fill_clear_defaults(t.clears, t.storms, t.sites, t.contracts, t.settings), "contract_id")
