@@ -145,3 +145,9 @@ def test_contracts_are_not_passed_through_the_driver(stored):
     assert merges(risk, "contract_id")
     assert sorted((r.clear_id, r.contract_name) for r in risk.collect()) == [(1, "C"), (2, "C")]
     assert merges(defaults.fill_clear_defaults(t.clears, t.storms, t.sites, t.contracts, t.settings), "contract_id")
+
+
+def test_board_merges_sites_with_their_contracts(stored):
+    t = stored[2]
+    board = boards.sites_uncleared(t)
+    assert merges(board, "contract_id") and board.count() == 12 and merges(boards.active_sites(t), "contract_id")
