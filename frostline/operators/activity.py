@@ -12,7 +12,7 @@ from frostline.functions.clock import day, local_ts, month_of, wall_seconds, who
 from frostline.operators.billing import STORM_KEY, billable_clears, storm_facts, work_date
 from frostline.operators.boards import active_sites, flag, open_storms, served_sites, with_surroundings
 from frostline.schemas import MILES, SALTED
-from frostline.sources.tables import OpsTables
+from frostline.sources.tables import OpsTables, merged
 
 # Metered prices in dollars.
 PRICE_NEW_LOCATION = Decimal("0.03")
@@ -172,7 +172,7 @@ def storm_recap(t: OpsTables) -> DataFrame:
 
 def recap_of(t: OpsTables, work: DataFrame, served: DataFrame) -> DataFrame:
     """The recap from the work by storm and contract and the sites served by storm and contract (of open storms)."""
-    names = t.contracts.select("contract_id", "contract_name")
+    names = merged(t.contracts.select("contract_id", "contract_name"))
     storms = t.storms.select("storm_id", "storm_ref", "storm_date")
     none = F.lit(0).cast("long")
     # What is left of a contract: its active sites less the served ones, plus what is still planned there. No pairs.

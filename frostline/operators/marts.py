@@ -18,7 +18,7 @@ from frostline.operators.activity import recap_of
 from frostline.operators.billing import billable_facts, receivables_of, storm_facts, work_date
 from frostline.operators.boards import active_sites, flag, open_storms
 from frostline.schemas import FINISHED, SALTED
-from frostline.sources.tables import OpsTables
+from frostline.sources.tables import OpsTables, merged
 
 #: Keys and sums of the two marts.
 WORK_KEYS = ("storm_id", "contract_id", "status", "condition", "salted", "invoiced", "bills", "done_date")
@@ -34,10 +34,13 @@ class Marts:
 
 
 def _work(sites: DataFrame, signed: DataFrame) -> DataFrame:
-    rows = billable_facts(signed).join(sites.select("site_id", "contract_id"), "site_id").withColumns({
+    """What clears add to ``work``. Only the keys and sums of a clear meet its site, not the texts they are read from."""
+    rows = billable_facts(signed).withColumns({
         "salted": F.coalesce(F.col("salt_applied").isin(*SALTED), F.lit(False)), "bills": F.col("billable_total") > 0,
         "done_date": work_date(),
-    })
+    }).select("site_id", *[k for k in WORK_KEYS if k != "contract_id"], "sign", "billable_total")
+    # A hash of the sites: the clears are not sorted to meet them.
+    rows = rows.join(sites.select("site_id", "contract_id").hint("shuffle_hash"), "site_id")
     return rows.groupBy(*WORK_KEYS).agg(F.sum("sign").alias("clears"), F.sum(F.col("sign") * F.col("billable_total")).alias("billable"))
 
 
@@ -88,7 +91,7 @@ def recap(marts: Marts, t: OpsTables) -> DataFrame:
     def counted(condition):
         return F.sum(F.when(condition, F.col("clears")).otherwise(0))
 
-    known = marts.work.join(t.storms.select("storm_id"), "storm_id", "left_semi").join(t.contracts.select("contract_id"), "contract_id", "left_semi")
+    known = marts.work.join(t.storms.select("storm_id"), "storm_id", "left_semi").join(merged(t.contracts.select("contract_id")), "contract_id", "left_semi")
     work = known.groupBy("storm_id", "contract_id").agg(
         counted(done).alias("completed"), counted(done & F.col("salted")).alias("salted"),
         *[counted(done & (F.col("condition") == c)).alias(c) for c in ("bare", "packed", "icy")],

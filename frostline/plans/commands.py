@@ -16,7 +16,7 @@ from frostline.functions.settings import setting
 from frostline.operators import outbox
 from frostline.operators.billing import billable_facts
 from frostline.schemas import MONEY
-from frostline.sources.tables import OpsTables
+from frostline.sources.tables import OpsTables, merged
 
 AS_OF_A = datetime(2001, 8, 1, 5, 40)
 AS_OF_B = datetime(2001, 7, 20, 5, 40)
@@ -49,14 +49,14 @@ def move_mix(t: OpsTables) -> DataFrame:
 
 def withdraw_inactive(t: OpsTables) -> DataFrame:
     """Planned clears at sites of inactive contracts are called off."""
-    gone = t.sites.join(t.contracts.where(F.col("is_active") == 0).select("contract_id"), "contract_id", "left_semi")
-    return planned(t).join(gone.select("site_id"), "site_id", "left_semi").select("clear_id")
+    gone = t.sites.join(merged(t.contracts.where(F.col("is_active") == 0).select("contract_id")), "contract_id", "left_semi")
+    return planned(t).join(merged(gone.select("site_id")), "site_id", "left_semi").select("clear_id")
 
 
 def skip_walks(t: OpsTables) -> DataFrame:
     """Planned clears of walks are skipped; the trip is charged where the contract charges salt."""
     walks = t.sites.where(F.col("surface") == "walk").select("site_id", "contract_id").join(
-        t.contracts.select("contract_id", "salt_fee"), "contract_id"
+        merged(t.contracts.select("contract_id", "salt_fee")), "contract_id"
     )
     return planned(t).join(walks.select("site_id", F.col("salt_fee").alias("new_other_fee")), "site_id").select(
         "clear_id", "new_other_fee"

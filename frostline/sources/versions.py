@@ -139,9 +139,14 @@ class Store:
 
     def _named(self, before: DataFrame, named: DataFrame, gen: str) -> DataFrame:
         """``(clear_id, storm_month)`` of the clears of ``before`` that ``named(clear_id)`` names, once each."""
-        ids = before.select("clear_id", "storm_month").join(named.select("clear_id").distinct(), "clear_id", "left_semi")
+        asked = self._batch(named.select("clear_id").distinct(), gen, "asked")
+        ids = before.select("clear_id", "storm_month").join(self._met(asked), "clear_id", "left_semi")
         return self._batch(ids.distinct(), gen, "named")
 
+    def _met(self, ids: DataFrame) -> DataFrame:
+        """Written ids for a join: a few are broadcast, many are met by a hash of them, whatever Spark takes their files for."""
+        return ids if ids.count() <= BLOCK else ids.hint("shuffle_hash")
+
     def _placing(self, *frames: DataFrame) -> Callable[[DataFrame], DataFrame]:
         """How the clears of ``frames`` are brought together by blocks of their months, a month in as many as its rows ask for."""
         counts: dict[str, int] = {}
@@ -191,9 +196,7 @@ class Store:
             before = self.read_table(base, _FACT, touched)
             found = self._named(before, named, gen)
             if log:
-                # A few are broadcast, if Spark takes them for few; many are met by a hash of them, not by a sort of whole rows.
-                met = found.select("clear_id") if found.count() <= BLOCK else found.select("clear_id").hint("shuffle_hash")
-                was = before.join(met, "clear_id", "left_semi").select(*TABLES[_FACT].names)
+                was = before.join(self._met(found.select("clear_id")), "clear_id", "left_semi").select(*TABLES[_FACT].names)
                 signed = was.withColumn("sign", F.lit(-1)).unionByName(rows.withColumn("sign", F.lit(1)))
                 signed.write.option("compression", "zstd").parquet(f"{self.root}/log/{gen}")
                 held[_LOG, None] = gen

@@ -6,9 +6,11 @@ from datetime import datetime
 
 import pytest
 from frames import tables
+from pyspark.sql import functions as F
 
-from frostline.operators import boards, defaults, place_index, transitions
+from frostline.operators import activity, billing, boards, defaults, marts, place_index, transitions
 from frostline.plans import projection
+from frostline.sources import versions
 from frostline.sources.versions import Store
 
 
@@ -151,3 +153,36 @@ def test_board_merges_sites_with_their_contracts(stored):
     t = stored[2]
     board = boards.sites_uncleared(t)
     assert merges(board, "contract_id") and board.count() == 12 and merges(boards.active_sites(t), "contract_id")
+
+
+def test_marts_pass_neither_sites_nor_contracts_through_the_driver(stored):
+    t = stored[2]
+    held = marts.build(t)
+    shown = plan_of(held.work)
+    assert "ShuffledHashJoin [site_id" in shown and "BroadcastHashJoin [site_id" not in shown
+    shuffled = shown.split("ShuffledHashJoin [site_id", 1)[1].split("Exchange", 1)[1].split("\n")[1]
+    assert "done_date" in shuffled and "checked_in_at" not in shuffled.split("AS done_date")[1]
+    report = marts.recap(held, t)
+    # What is broadcast here are sites counted by contract, as far as they measure small.
+    broadcast = [line for line in plan_of(report).splitlines() if "BroadcastHashJoin [contract_id" in line]
+    assert "SortMergeJoin [contract_id" in plan_of(report) and all("LeftOuter" in line for line in broadcast)
+    assert sorted(map(str, report.collect())) == sorted(map(str, activity.storm_recap(t).collect()))
+
+
+def test_receivables_merge_their_contracts(stored):
+    t = stored[2]
+    report = marts.receivables(marts.build(t), t)
+    assert merges(report, "contract_id")
+    assert sorted(map(str, report.collect())) == sorted(map(str, billing.receivables_by_contract(t).collect()))
+
+
+def test_many_ids_of_a_batch_are_not_broadcast(spark, stored, monkeypatch):
+    store, version, t = stored
+    ids = t.clears.select("clear_id")
+    assert "BroadcastHashJoin [clear_id" in plan_of(ids.join(store._met(ids), "clear_id", "left_semi"))
+    monkeypatch.setattr(versions, "BLOCK", 1)
+    shown = plan_of(ids.join(store._met(ids), "clear_id", "left_semi"))
+    assert "ShuffledHashJoin [clear_id" in shown and "BroadcastHashJoin" not in shown
+    after = store.apply(version, t.clears.where("clear_id in (1, 3)").withColumn("status", F.lit("skipped")), log=True)
+    assert sorted((r.clear_id, r.sign) for r in store.logged(after).collect()) == [(1, -1), (1, 1), (3, -1), (3, 1)]
+    assert {r.clear_id for r in store.read(after).clears.where("status = 'skipped'").collect()} == {1, 3}
