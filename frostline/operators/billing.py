@@ -14,7 +14,7 @@ from frostline.functions.settings import setting
 from frostline.operators.defaults import number_invoices, touch
 from frostline.operators.documents import as_rows
 from frostline.schemas import FINISHED, INVOICES, LINE_ITEM, MONEY, conform
-from frostline.sources.tables import OpsTables, storm_month
+from frostline.sources.tables import OpsTables, merged, storm_month
 
 STORM_KEY = ["storm_id", "storm_month"]
 
@@ -95,7 +95,7 @@ def receivables_of(t: OpsTables, totals: DataFrame) -> DataFrame:
     who = t.contracts.select(
         "contract_id", "contract_name", "contract_type", "contact_name", "billing_email", "payment_terms_days"
     )
-    return totals.join(who, "contract_id").select(
+    return totals.join(merged(who), "contract_id").select(
         *who.columns, "clear_count", "completed_count", "skipped_count", "total_billable", "first_date", "last_date"
     ).orderBy(F.desc("total_billable"), "contract_id")
 
@@ -209,10 +209,11 @@ def mark_invoiced(t: OpsTables, audit_now: datetime, contract_ids: DataFrame | N
     Sweeps every finished uninvoiced clear of the contracts, also those that bill nothing.
     """
     billed = _open_items(t).select("contract_id").distinct() if contract_ids is None else contract_ids.select("contract_id")
-    swept = t.sites.select("site_id", "contract_id").join(billed, "contract_id", "left_semi").select(
+    swept = t.sites.select("site_id", "contract_id").join(merged(billed), "contract_id", "left_semi").select(
         "site_id", F.lit(True).alias("_swept")
     )
-    joined = t.clears.join(swept, "site_id", "left")
+    # The few clears of a delta meet a hash of the sites; a whole table is moved only where Spark finds the sites too large.
+    joined = t.clears.join(swept.hint("shuffle_hash") if delta else swept, "site_id", "left")
     hit = (
         F.coalesce(F.col("_swept"), F.lit(False)) & (F.col("invoiced") == 0) & F.col("status").isin(*FINISHED)
     )
