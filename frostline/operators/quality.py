@@ -134,6 +134,8 @@ def repeated_settings(settings: DataFrame) -> DataFrame:
 SLOT = "one_clear_per_site_storm"
 
 _HOLDER, _CHILD, _PARENT = 0, 1, 2
+#: Keys that are broadcast at most.
+FEW = 1 << 17
 #: A key is a number ``k`` or a text ``t``, whose hash is ``k`` then.
 _KEY = ("domain", "k", "t")
 
@@ -156,6 +158,12 @@ def _rules() -> list[tuple[str, str]]:
     return [(SLOT, "clears"), *[r[:2] for r in UNIQUE], *[r[:2] for r in REFERENCES], *values]
 
 
+def _domains() -> list[str]:
+    """The domain of every rule, by its place."""
+    keys = {SLOT: SLOT, **{r: r for r, *_ in UNIQUE}, **{r: parent for r, *_, parent, _ in REFERENCES}}
+    return [keys.get(rule, "value") for rule, _ in _rules()]
+
+
 def _said(domain: str, rule: str, role: int, ident: str, k: Column, t: Column, whole: bool) -> Column:
     key = [F.lit(_domain(domain)).alias("domain"), F.lit(role).alias("role"), F.col(ident).cast("long").alias("row_id"),
            k.cast("long").alias("k"), t.cast("string").alias("t")]
@@ -216,14 +224,25 @@ def _bad_keys(entries: DataFrame) -> DataFrame:
     ).where((F.col("_holders") > 1) | (F.col("_role") == _CHILD)).select(*_KEY, "_first")
 
 
+def _met(keys: DataFrame) -> DataFrame:
+    """Written keys for a join: a few are broadcast, many are met by a hash of them, whatever Spark takes their files for."""
+    return keys if keys.count() <= FEW else keys.hint("shuffle_hash")
+
+
 def _violations(bad: DataFrame, judged: DataFrame) -> DataFrame:
-    """Rows of ``judged`` that break a value rule, hold a key that an earlier row holds, or lack a parent."""
-    is_value = F.col("domain") == _domain("value")
-    by_key = F.col("_bad") & ((F.col("role") == _CHILD) | (F.col("row_id") != F.col("_first")))
+    """Rows of ``judged`` that break a value rule, hold a key that an earlier row holds, or lack a parent. The rule says what
+    domain a key is of and what the row says about it, so entries meet the keys as rule, row and key."""
+    domains, rule = [_domain(d) for d in _domains()], F.col("rule")
+    is_value, is_text, refers = (
+        rule.isin(*[i for i, found in enumerate(kind) if found])
+        for kind in ([d == _domain("value") for d in domains], [d in _TEXTS for d in domains], [r in [ref[0] for ref in REFERENCES] for r, _ in _rules()])
+    )
+    by_key = F.col("_bad") & (refers | (F.col("row_id") != F.col("_first")))
     rules, of = (F.array(*map(F.lit, names)) for names in zip(*_rules()))
-    value = F.when(is_value | F.col("domain").isin(*_TEXTS), F.col("t")).otherwise(F.col("k").cast("string"))
-    return judged.join(bad.withColumn("_bad", F.lit(True)), list(_KEY), "left").where(is_value | by_key).select(
-        rules[F.col("rule")].alias("rule"), of[F.col("rule")].alias("table"), "row_id", value.alias("value")
+    value = F.when(is_value | is_text, F.col("t")).otherwise(F.col("k").cast("string"))
+    entries = judged.select(F.array(*map(F.lit, domains))[rule].alias("domain"), "rule", "row_id", "k", "t")
+    return entries.join(bad.withColumn("_bad", F.lit(True)), list(_KEY), "left").where(is_value | by_key).select(
+        rules[rule].alias("rule"), of[rule].alias("table"), "row_id", value.alias("value")
     )
 
 
@@ -238,17 +257,22 @@ def _suspects(entries: DataFrame) -> DataFrame:
     ).where(F.when(refers, F.col("_rows") == 0).otherwise(F.col("_rows") > 1)).select("domain", "k", "_first")
 
 
+def _met(keys: DataFrame) -> DataFrame:
+    """Written keys for a join: few are broadcast, many are met by a hash of them, whatever Spark takes their files for."""
+    return keys if keys.count() <= FEW else keys.hint("shuffle_hash")
+
+
 def dq_violations(t: OpsTables) -> DataFrame:
     """All violations of all rules. Every table is scanned three times: for its keys as numbers, which are aggregated once
     for all rules, for the texts among the few that may be bad, and for its values and the rows that hold or refer to bad
-    keys. What is found is written in between, so that Spark knows its size: few keys are broadcast to the next scan,
-    many are met by a shuffle."""
+    keys. What is found is written in between and counted: few keys are broadcast to the next scan, many are met by a
+    shuffle, by a hash of them, so that the entries are not sorted."""
     bare, text = _entries(t, whole=False), F.col("domain").isin(*_TEXTS)
     suspects = written_once(_suspects(bare), "suspects")
-    texts = _bad_keys(bare.where(text).join(suspects.where(text), ["domain", "k"], "left_semi"))
+    texts = _bad_keys(bare.where(text).join(_met(suspects.where(text)), ["domain", "k"], "left_semi"))
     numbers = suspects.where(~text).select("domain", "k", F.lit("").alias("t"), "_first")
     bad = written_once(numbers.unionByName(texts), "bad-keys")
-    return _violations(bad, _entries(t, whole=True)).unionByName(repeated_settings(t.settings))
+    return _violations(_met(bad), _entries(t, whole=True)).unionByName(repeated_settings(t.settings))
 
 
 def double_bookings(clears: DataFrame) -> DataFrame:
@@ -271,6 +295,8 @@ def gate(t: OpsTables, table: str, violations: DataFrame | None = None) -> tuple
         F.sort_array(F.collect_set("rule")).alias("rules")
     )
     named = broken.withColumnRenamed("row_id", ident)
+    if violations is not None and violations.count() > FEW:
+        named = named.hint("shuffle_hash")  # Spark takes millions of ids for few
     return rows.join(named, ident, "left_anti").select(*rows.columns), rows.join(named, ident)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from frames import table, tables
 
 from frostline.operators import quality
+from frostline.sources.shared import written_once
 
 
 def bad_book(spark):
@@ -94,3 +95,22 @@ def test_keys_are_shuffled_as_numbers(spark, monkeypatch):
     found = sorted(map(str, quality.dq_violations(t).collect()))
     monkeypatch.setattr(quality.F, "xxhash64", lambda *_: quality.F.lit(1))
     assert sorted(map(str, quality.dq_violations(t).collect())) == found
+
+
+def test_many_bad_keys_are_hashed_and_not_sorted_or_broadcast(spark, monkeypatch):
+    """Keys that are many pass neither through the driver nor a sort of all entries, and name the same violations."""
+    t = bad_book(spark)
+
+    def joins(df, key):
+        plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        return {line.split(f"Join [{key}#")[0].split()[-1] for line in plan if f"Join [{key}#" in line}
+
+    few = quality.dq_violations(t)
+    assert joins(few, "domain") == {"BroadcastHash"}
+    found, sides = sorted(map(str, few.collect())), [sorted(map(str, side.collect())) for side in quality.gate(t, "clears")]
+    monkeypatch.setattr(quality, "FEW", 0)
+    many = quality.dq_violations(t)
+    assert joins(many, "domain") == {"ShuffledHash"} and sorted(map(str, many.collect())) == found
+    split = quality.gate(t, "clears", written_once(many, "found"))
+    assert all(joins(side, "clear_id") == {"ShuffledHash"} for side in split)
+    assert [sorted(map(str, side.collect())) for side in split] == sides
